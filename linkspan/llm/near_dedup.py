@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, id_or_null_stand_in, materialise, small_batches
 
 WORDS, ELL, SKETCHES = 5, 3, 18
+#: Ids (8 bytes each) of candidates that may be broadcast to the scan of the texts.
+BROADCAST_IDS = 2_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -213,7 +215,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, similarity:
     a, b = lengths.toDF("a", "na"), lengths.toDF("b", "nb")
     close = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
     close = materialise(close)
-    wanted = close.select(F.col("a").alias("_ls_doc")).union(close.select("b")).distinct()
+    wanted = materialise(close.select(F.col("a").alias("_ls_doc")).union(close.select("b")).distinct())
+    # The ids of candidates are broadcast if they are few enough; else the texts are shuffled.
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     words = texts.join(wanted, "_ls_doc", "left_semi").mapInArrow(_hashed_words, "node long, words binary")
     words = materialise(words.dropDuplicates(["node"]))
     both = close.join(words.toDF("b", "wb"), "b").join(words.toDF("a", "wa"), "a")

@@ -174,8 +174,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = spark.sparkContext.broadcast(twice_filter(lines, bits, min_chars))
     suspects = materialise(lines.mapInArrow(_suspects(shared, bits, min_chars), f"digest binary, {DOC} long"))
     confirmed = suspects.distinct().groupBy("digest").agg(F.count("*").alias("n"), F.max(DOC).alias("_ls_keep")).where(F.col("n") >= min_docs)
+    # Written, so that the join below starts from plain exchanges, whose hot partitions can be split.
+    confirmed = materialise(confirmed.select("digest", "_ls_keep"))
     drops = (
-        suspects.join(confirmed.select("digest", "_ls_keep"), "digest")
+        suspects.join(confirmed, "digest")
         .where(F.col(DOC) != F.col("_ls_keep"))
         .groupBy(DOC)
         .agg(F.collect_set("digest").alias(DROPS))

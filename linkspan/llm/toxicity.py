@@ -158,21 +158,19 @@ def train(texts: list[bytes], labels: list[int], buckets: int = 1 << 20, dim: in
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 3000, max_chars: int = 24_000_000) -> Model | None:
     """Model of a bounded sample of labelled rows, picked by hash; whole texts, at most max_rows of
     each class and max_chars characters."""
-    marked = labels.select(F.col(id_col).alias("_ls_id"), F.col(label_col).cast("int").alias("_ls_y")).where("_ls_y in (0, 1)")
-    rows = docs.select(F.col(id_col).alias("_ls_id"), F.col(text_col).cast("binary").alias("_ls_text")).join(marked, "_ls_id")
-    picked, texts, ys = [], [], []
     rank = F.xxhash64(F.col("_ls_id"), F.lit(17))
-    for y in (1, 0):
-        picked.append(rows.where(F.col("_ls_y") == y).orderBy(rank, "_ls_id").limit(max_rows))
-    for part in picked:
-        size = 0
-        for row in part.select("_ls_text", "_ls_y").toLocalIterator():
-            text = bytes(row["_ls_text"] or b"")
-            size += len(text)
-            if size > max_chars // 2:
-                break
+    marked = labels.select(F.col(id_col).alias("_ls_id"), F.col(label_col).cast("int").alias("_ls_y")).where("_ls_y in (0, 1)").withColumn("_ls_rank", rank)
+    # The sample is picked from the labels alone: at most 2 * max_rows ids are broadcast, no text moves but theirs.
+    picked = [marked.where(F.col("_ls_y") == y).orderBy("_ls_rank", "_ls_id").limit(max_rows) for y in (1, 0)]
+    sample = F.broadcast(picked[0].union(picked[1]))
+    rows = docs.select(F.col(id_col).alias("_ls_id"), F.col(text_col).cast("binary").alias("_ls_text")).join(sample, "_ls_id")
+    texts, ys, size = [], [], [0, 0]
+    for row in rows.orderBy("_ls_rank", "_ls_id", "_ls_y", "_ls_text").select("_ls_text", "_ls_y").toLocalIterator():
+        text, y = bytes(row["_ls_text"] or b""), row["_ls_y"]
+        size[y] += len(text)
+        if size[y] <= max_chars // 2:
             texts.append(text)
-            ys.append(row["_ls_y"])
+            ys.append(y)
     return train(texts, ys)
 
 

@@ -91,7 +91,7 @@ def informative(bags: list[np.ndarray], y: np.ndarray, buckets: int, least: floa
     return np.flatnonzero((g >= least) & (a / n1 > b / n0))
 
 
-def train(texts: list[bytes], labels: list[int], buckets: int = 1 << 20, dim: int = 6, epochs: int = 12, rate: float = 0.1, least: float = 25.0, decay: float = 1e-4, seed: int = 7) -> Model | None:
+def train(texts: list[bytes], labels: list[int], buckets: int = 1 << 20, dim: int = 6, epochs: int = 12, rate: float = 0.1, least: float = 16.0, decay: float = 1e-4, seed: int = 7) -> Model | None:
     """Joint training of embeddings and softmax by mini-batches with adaptive steps."""
     y = np.asarray(labels, np.int64)
     if len(set(labels)) < 2:

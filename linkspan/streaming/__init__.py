@@ -1,0 +1 @@
+"""Left empty on purpose: no operator of this engine works on unbounded input."""

@@ -74,56 +74,73 @@ class Model:
 PRIOR = 0.5
 
 
-def informative(bags: list[np.ndarray], y: np.ndarray, buckets: int, least: float) -> np.ndarray:
-    """Buckets more frequent in texts of class 1, by the likelihood-ratio statistic of text counts."""
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    seen = [np.zeros(buckets, np.float64), np.zeros(buckets, np.float64)]
-    for bag, label in zip(bags, y):
-        seen[label][bag] += 1
-    a, b = seen[1], seen[0]
+def informative(seen: np.ndarray, n: tuple[int, int], least: float) -> np.ndarray:
+    """Buckets more frequent in texts of class 1, by the likelihood-ratio statistic of text counts.
+    seen: texts of class 0 and of class 1 that have a bucket."""
+    n0, n1 = n
+    b, a = seen.astype(np.float64)
 
     def part(observed, expected):
         return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
 
-    both = a + b
-    n = n1 + n0
-    g = 2 * (part(a, both * n1 / n) + part(b, both * n0 / n) + part(n1 - a, (n - both) * n1 / n) + part(n0 - b, (n - both) * n0 / n))
+    both, total = a + b, n0 + n1
+    g = 2 * (part(a, both * n1 / total) + part(b, both * n0 / total) + part(n1 - a, (total - both) * n1 / total) + part(n0 - b, (total - both) * n0 / total))
     return np.flatnonzero((g >= least) & (a / n1 > b / n0))
 
 
-def train(texts: list[bytes], labels: list[int], buckets: int = 1 << 20, dim: int = 6, epochs: int = 12, rate: float = 0.1, least: float = 16.0, decay: float = 1e-4, seed: int = 7) -> Model | None:
+class Cached(dict):
+    """word -> f(word), dropped as a whole when it holds too many."""
+
+    def __init__(self, f, most: int = 100_000):
+        super().__init__()
+        self.f, self.most = f, most
+
+    def __missing__(self, word):
+        if len(self) >= self.most:
+            self.clear()
+        out = self[word] = self.f(word)
+        return out
+
+
+def train(texts: list[bytes], labels: list[int], buckets: int = 1 << 20, dim: int = 6, epochs: int = 12, rate: float = 0.1, least: float = 22.0, decay: float = 1e-4, seed: int = 7) -> Model | None:
     """Joint training of embeddings and softmax by mini-batches with adaptive steps."""
     y = np.asarray(labels, np.int64)
     if len(set(labels)) < 2:
         return None
-    grams: dict[bytes, np.ndarray] = {}
-    words: list[dict[bytes, int]] = []
-    bags = []
-    for text in texts:
-        bag: dict[bytes, int] = {}
-        for w in clean_words(text):
-            bag[w] = bag.get(w, 0) + 1
-        for w in bag:
-            if w not in grams:
-                grams[w] = subwords(w, buckets).astype(np.int32)
-        words.append(bag)
-        bags.append(np.unique(np.concatenate([grams[w] for w in bag])) if bag else np.zeros(0, np.int32))
-    kept = informative(bags, y, buckets, least)
+    # Two passes over the texts; neither keeps more than a bounded cache of words.
+    grams = Cached(lambda w: subwords(w, buckets).astype(np.int32))
+    seen = np.zeros((2, buckets), np.int32)
+    for text, label in zip(texts, y):
+        bag = set(clean_words(text))
+        if bag:
+            seen[label][np.unique(np.concatenate([grams[w] for w in bag]))] += 1
+    kept = informative(seen, (int((y == 0).sum()), int((y == 1).sum())), least)
+    grams.clear()
     place = np.full(buckets, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    del bags
+    nothing = (np.zeros(0, np.int32), 1)
+
+    def kept_grams(word: bytes) -> tuple[np.ndarray, int]:
+        at = place[subwords(word, buckets)]
+        on = at[at >= 0]
+        return (on, len(at)) if len(on) else nothing
+
+    known = Cached(kept_grams)
     rows = []
-    for bag in words:
-        ids, vals, shares = [np.zeros(0, np.int32)], [np.zeros(0)], 0.0
-        for w, n in bag.items():
-            at = place[grams[w]]
-            on = at[at >= 0]
+    for text in texts:
+        ids, vals, shares = [nothing[0]], [np.zeros(0)], 0.0
+        for w in clean_words(text):
+            on, n = known[w]
             if len(on):
-                shares += n * len(on) / len(at)
+                shares += len(on) / n
                 ids.append(on)
-                vals.append(np.full(len(on), n / len(at)))
+                vals.append(np.full(len(on), 1 / n))
         rows.append((np.concatenate(ids), np.concatenate(vals) / (shares + PRIOR)))
-    del grams, words
+    known.clear()
+    # A text without evidence is clean: an empty one for every 20 texts, as class 0.
+    empty = len(rows) // 20 + 1
+    rows += [(nothing[0], np.zeros(0))] * empty
+    y = np.concatenate([y, np.zeros(empty, np.int64)])
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (len(kept), dim))
     out = rng.normal(0, 0.5, (dim, 2))
@@ -155,7 +172,7 @@ def train(texts: list[bytes], labels: list[int], buckets: int = 1 << 20, dim: in
     return Model(kept, emb, out, bias, buckets)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 3000, max_chars: int = 24_000_000) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 3000, max_chars: int = 16_000_000) -> Model | None:
     """Model of a bounded sample of labelled rows, picked by hash; whole texts, at most max_rows of
     each class and max_chars characters."""
     rank = F.xxhash64(F.col("_ls_id"), F.lit(17))

@@ -21,9 +21,9 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with repeated lines removed; n_chars follows the text. A document that had text and
-    loses all of it is dropped: it has nothing left to keep."""
-    out = line_dedup.dedup_lines(docs).where((F.col("n_dropped") < F.col("n_lines")) | (F.col("n_dropped") == 0))
+    """All documents with repeated lines removed; n_chars follows the text. Documents that lose all
+    their lines stay with an empty text; as exact copies, the next stage keeps one of them."""
+    out = line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -46,6 +46,8 @@ ARTICLE_SKIP_WORD = frozenset("ad ads advert comment comments promo recommended
 #: A new block of the left side closes an open one of the right side.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LISTS = frozenset("ul ol dl table".split())
+#: Any other element ends an open head.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 
 
 def _unwanted(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -102,8 +104,12 @@ class Events(HTMLParser):
         if tag == "a":
             self.in_link = 1
         if tag in VOID:
+            if tag not in IN_HEAD and self.stack and self.stack[-1][0] == "head":
+                self.pop_to(len(self.stack) - 1)
             return
         unwanted = _unwanted(tag, attrs)
+        if self.stack and self.stack[-1][0] == "head" and tag not in IN_HEAD:
+            self.pop_to(len(self.stack) - 1)
         if tag in BLOCK:
             self.end_block()
             if self.stack and self.stack[-1][0] == "p":

@@ -9,7 +9,8 @@ counts if some window of ``window`` words (or the whole item, if shorter) has at
 
 Plan: documents are scanned once for seeds. The seeds' table of the benchmark is broadcast after its
 size is checked, else it is joined by shuffle; either way only hits leave the scan. Documents with
-hits are then read again for the comparison. Nothing is collected.
+hits are then read again for the comparison: their ids, broadcast after a check of their number,
+cut the scan, and only texts with hits shuffle to meet them. Nothing is collected.
 
 Defined cases: null and empty texts have no words and match nothing; items of fewer words than a
 mask spans are one seed of all their words, those under MIN_ITEM_WORDS match nothing; rows that
@@ -29,7 +30,7 @@ MASKS = ((0, 1, 3, 6, 7), (0, 2, 3, 4, 8))
 SPAN = 1 + max(mask[-1] for mask in MASKS)
 #: Items of fewer words say too little to be told from chance; they match nothing.
 MIN_ITEM_WORDS = 5
-#: Rows (of 24 bytes and some words) up to which the benchmark's seeds or the hits are broadcast.
+#: Rows of at most 24 bytes (seeds of the benchmark, ids of documents with hits) up to which a side is broadcast.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -83,7 +84,10 @@ def find_contamination(
 
 def _verify(texts: DataFrame, hits: DataFrame, items: DataFrame, id_col: str, item_col: str, window: int, similarity: float) -> DataFrame:
     per_doc = hits.join(items, hits["_ls_item"].eqNullSafe(items["_ls_item"])).groupBy("_ls_doc").agg(F.collect_list(F.struct(items["_ls_item"].alias("item"), F.col("_ls_diag").alias("diag"), F.col("_ls_iw").alias("iw"))).alias("_ls_hits"))
-    with_words = texts.join(_checked(per_doc, hits.count()), "_ls_doc").select("_ls_doc", "_ls_hits", words_of_text(F.col("_ls_text")).alias("_ls_w"))
+    ids = materialise(hits.select("_ls_doc").distinct())
+    # The hits come with the words of their items, so they are joined by shuffle, never broadcast by number.
+    met = texts.join(_checked(ids, ids.count()), "_ls_doc", "left_semi").select("_ls_doc", words_of_text(F.col("_ls_text")).alias("_ls_w"))
+    with_words = met.join(per_doc, "_ls_doc")
     # The document's words under the item, from where both begin.
     cut = F.transform(
         "_ls_hits",

@@ -11,7 +11,10 @@ edit similarity; ``SKETCHES`` of them are taken.
 2. Texts that share a sketch are candidates. A bucket doesn't emit its pairs: each member is paired
    with the bucket's centre (an aggregate, joined back), so the pairs are linear in the members and a
    bucket of a third of the corpus is no single task. Further rounds pair what is still in different
-   classes with other centres of the same buckets.
+   classes with other centres of the same buckets; they test all pairs of up to FULL members. Larger
+   buckets that still hold several classes (texts that share a long passage) are cut by pairs of
+   sketches: two texts that are alike share many sketches, so they meet again in smaller buckets,
+   which get three centres of their own.
 3. Candidates are verified on whole texts by an alignment of their shingle sequences within a band
    around the diagonal (the band is as wide as a similarity of ``similarity`` allows). With m aligned
    shingles of a and b, similarity is m / (a + b - m), the Jaccard similarity for kept order.
@@ -40,6 +43,8 @@ from .common import NULL_ID, id_or_null_stand_in, materialise, small_batches
 WORDS, ELL, SKETCHES = 5, 3, 18
 #: Ids (8 bytes each) of candidates that may be broadcast to the scan of the texts.
 BROADCAST_IDS = 2_000_000
+#: Members of a bucket whose pairs are all tested by its three centres.
+FULL = 3
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -145,10 +150,10 @@ def _verify(similarity: float):
         held, shingles = None, None
         for batch in batches:
             links = []
-            for a, b, wa, wb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "wa", "wb"))):
-                if a != held:  # pairs of one centre come together
-                    held, shingles = a, labelled_shingles(np.frombuffer(wa, np.uint32))
-                if similarity_of(shingles, labelled_shingles(np.frombuffer(wb, np.uint32)), similarity) >= similarity:
+            for a, b, wa, wb in zip(*(batch.column(c).to_pylist() for c in ("centre", "member", "wa", "wb"))):
+                if b != held:  # pairs of one member come together
+                    held, shingles = b, labelled_shingles(np.frombuffer(wb, np.uint32))
+                if similarity_of(labelled_shingles(np.frombuffer(wa, np.uint32)), shingles, similarity) >= similarity:
                     links.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
@@ -170,7 +175,56 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, rounds: int = 3) -> DataFrame:
+#: Centres of a bucket: the least and the greatest node and one picked by hash.
+CENTRES = ("low", "high", "middle")
+
+
+def _with_centres(members: DataFrame, bucket: list[str]) -> DataFrame:
+    """members of buckets of two or more, with the bucket's size and centres."""
+    hashed = [F.min_by("node", F.xxhash64("node", *bucket, F.lit(i))) for i in range(2)]
+    low, high = F.min("node"), F.max("node")
+    middle = F.when(~hashed[0].isin(low, high), hashed[0]).otherwise(hashed[1])
+    centres = members.groupBy(*bucket).agg(F.count("*").alias("size"), low.alias("low"), high.alias("high"), middle.alias("middle")).where("size > 1")
+    # Written, so that the join starts from plain exchanges, whose hot partitions can be split.
+    return members.join(materialise(centres), bucket)
+
+
+def _across(members: DataFrame, centre: str, labels: DataFrame | None) -> DataFrame:
+    """Pairs (centre, member) of a bucket's centre and its members in other classes."""
+    pairs = members.where(F.col(centre) != F.col("node")).select(F.col(centre).alias("centre"), F.col("node").alias("member")).distinct()
+    if labels is None:
+        return pairs
+    for side in ("centre", "member"):
+        pairs = pairs.join(labels.toDF(side, side + "_label"), side, "left")
+    return pairs.where(F.coalesce("centre_label", "centre") != F.coalesce("member_label", "member")).select("centre", "member")
+
+
+class _Links:
+    """Verified links so far and the classes (node, label) they make; no pair is verified twice."""
+
+    def __init__(self, texts: DataFrame, nodes: DataFrame, similarity: float):
+        self.texts, self.nodes, self.similarity = texts, nodes, similarity
+        self.done = self.links = self.labels = None
+
+    def add(self, pairs: DataFrame) -> None:
+        pairs = pairs.groupBy(F.least("centre", "member").alias("a"), F.greatest("centre", "member").alias("b")).agg(F.min("centre").alias("centre"))
+        if self.done is not None:
+            pairs = pairs.join(self.done, ["a", "b"], "left_anti")
+        pairs = materialise(pairs)
+        self.done = pairs if self.done is None else self.done.union(pairs)
+        new = materialise(_verified(pairs, self.texts, self.nodes, self.similarity))
+        if self.labels is not None and new.isEmpty():
+            return
+        self.links = new if self.links is None else self.links.union(new)
+        self.labels = connected(self.links)
+
+    def tag(self, members: DataFrame) -> DataFrame:
+        """members with the label of their class."""
+        own = members if self.labels is None else members.join(self.labels, "node", "left")
+        return own.withColumn("label", F.coalesce("label", "node") if self.labels is not None else F.col("node"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """(id, class_id) for each row of docs: class_id is the least id of its near-duplicate class."""
     small_batches(docs.sparkSession)
     texts = docs.select(id_or_null_stand_in(F.col(id_col)).alias("_ls_doc"), F.col(text_col).cast("binary").alias("_ls_text"))
@@ -178,31 +232,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = sketched.groupBy("key").agg(F.min_by(F.struct("_ls_doc", "n", "values"), "_ls_doc").alias("s")).select("key", F.col("s._ls_doc").alias("node"), F.col("s.n").alias("n"), F.col("s.values").alias("values"))
     nodes = materialise(nodes)
     members = nodes.where("n > 0").select("node", F.posexplode("values").alias("band", "value"))
-    # Buckets of one member have no candidates.
-    sizes = members.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.xxhash64("node", "band")).alias("first")).where("size > 1")
-    members = materialise(members.join(sizes, ["band", "value"]))
-    links, labels, done = None, None, None
-    for number in range(rounds):
-        if number == 0:
-            pairs = members.select(F.col("low").alias("a"), F.col("node").alias("b"))
-        else:
-            # Members whose class isn't that of the bucket's other centre.
-            own = members if labels is None else members.join(labels, "node", "left").withColumn("node_label", F.coalesce("label", "node")).drop("label")
-            if number == 1:
-                pairs = own.select(F.col("high").alias("a"), F.col("node").alias("b"), "node_label")
-            else:
-                by_hash = own.where(F.xxhash64("node", "band") == F.col("first")).select("band", "value", F.col("node").alias("a")).dropDuplicates(["band", "value"])
-                pairs = own.join(by_hash, ["band", "value"]).select("a", F.col("node").alias("b"), "node_label")
-            other = labels.select(F.col("node").alias("a"), F.col("label").alias("a_label"))
-            pairs = pairs.join(other, "a", "left").where(F.coalesce("a_label", "a") != F.col("node_label")).select("a", "b")
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        done = pairs if done is None else done.union(pairs)
-        new = materialise(_verified(pairs, texts, nodes, similarity))
-        links = new if links is None else links.union(new)
-        labels = connected(links)
+    members = materialise(_with_centres(members, ["band", "value"]))
+    found = _Links(texts, nodes, similarity)
+    for centre in CENTRES:
+        # Members whose class isn't that of the centre.
+        found.add(_across(members, centre, found.labels))
+    large = found.tag(members.where(F.col("size") > FULL))
+    mixed = large.groupBy("band", "value").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("band", "value")
+    entries = large.join(materialise(mixed), ["band", "value"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", "value"))).alias("es"))
+    twos = F.flatten(F.transform("es", lambda x, i: F.transform(F.slice("es", i + 2, F.size("es")), lambda y: F.xxhash64(x["band"], x["value"], y["band"], y["value"]))))
+    finer = materialise(_with_centres(entries.select("node", F.explode(twos).alias("value")), ["value"]))
+    found.add(reduce(DataFrame.union, (_across(finer, centre, found.labels) for centre in CENTRES)))
+    labels = found.labels
     classes = nodes.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("class"))
     out = sketched.select("_ls_doc", "key").join(classes, "key")
     blank = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
@@ -210,17 +251,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose whole texts are similar enough."""
+    """Pairs (a, b) whose whole texts are similar enough; pairs come with their centre."""
     lengths = nodes.select("node", "n")
     a, b = lengths.toDF("a", "na"), lengths.toDF("b", "nb")
-    close = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
-    close = materialise(close)
-    wanted = materialise(close.select(F.col("a").alias("_ls_doc")).union(close.select("b")).distinct())
+    close = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+    close = materialise(close.select("centre", (F.col("a") + F.col("b") - F.col("centre")).alias("member")))
+    wanted = materialise(close.select(F.col("centre").alias("_ls_doc")).union(close.select("member")).distinct())
     # The ids of candidates are broadcast if they are few enough; else the texts are shuffled.
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     words = texts.join(wanted, "_ls_doc", "left_semi").mapInArrow(_hashed_words, "node long, words binary")
     words = materialise(words.dropDuplicates(["node"]))
-    both = close.join(words.toDF("b", "wb"), "b").join(words.toDF("a", "wa"), "a")
+    # Members last, by shuffle: a member has few pairs, so the comparisons spread over all tasks; a centre may have very many.
+    both = close.join(words.toDF("centre", "wa"), "centre").join(words.toDF("member", "wb").hint("merge"), "member")
     return both.mapInArrow(_verify(similarity), "a long, b long")
 
 

@@ -243,6 +243,24 @@ def test_near_duplicates_brute_force(spark):
     assert got == {i: root(i) for i in range(len(texts))} and len(links) > 30
 
 
+def test_near_duplicates_among_texts_that_share_a_passage(spark):
+    """Pairs of near copies inside one large group of texts that share over half of their words."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = []
+    for i in range(150):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(40)]
+        changed = [*own[:-1], "changed"]
+        texts += [passage + " " + " ".join(own), passage + " " + " ".join(changed if i % 3 == 0 else rng.sample(own, 40))]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    ids = dict(zip(range(len(texts)), order))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(spark, [(ids[k], t, "s") for k, t in enumerate(texts)])).collect()}
+    for k in range(0, len(texts), 2):
+        a, b = ids[k], ids[k + 1]
+        assert (got[a], got[b]) == ((min(a, b),) * 2 if k // 2 % 3 == 0 else (a, b))
+
+
 def test_alignment_follows_order():
     a = near_dedup.labelled_shingles(np.arange(100, dtype=np.uint32))
     swapped = near_dedup.labelled_shingles(np.concatenate([np.arange(50, 100), np.arange(50)]).astype(np.uint32))
@@ -262,6 +280,8 @@ PARA = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod
         (f"<main><article><section>{PARA * 3}</section><section>b<br>c&nbsp;d</section></article><article class=comment>{PARA * 9}</article></main>", f"{(PARA * 3).strip()} b c d"),
         ("<script>var a='<p>no</p>'</script><style>p{}</style>", ""),
         ("plain <b>te</b>xt", "plain text"),
+        (f"<html><head><title>t</title><meta name=a><body><p>{PARA}<p>More.", f"{PARA.strip()} More."),
+        (f"<head><title>t</title><p>{PARA}<p>More.", f"{PARA.strip()} More."),
     ],
 )
 def test_html_text(html, want):

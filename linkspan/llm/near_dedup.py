@@ -14,7 +14,8 @@ edit similarity; ``SKETCHES`` of them are taken.
    classes with other centres of the same buckets; they test all pairs of up to FULL members. Larger
    buckets that still hold several classes (texts that share a long passage) are cut by pairs of
    sketches: two texts that are alike share many sketches, so they meet again in smaller buckets,
-   which get three centres of their own.
+   which get three centres of their own. The texts of large buckets that hold several classes even
+   then are joined without a bucket (see ``_exact``), which finds all that is left between them.
 3. Candidates are verified on whole texts by an alignment of their shingle sequences within a band
    around the diagonal (the band is as wide as a similarity of ``similarity`` allows). With m aligned
    shingles of a and b, similarity is m / (a + b - m), the Jaccard similarity for kept order.
@@ -29,13 +30,14 @@ with null id (null in the result); repeated rows stay; an empty table gives an e
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_left
 from functools import reduce
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, id_or_null_stand_in, materialise, small_batches
@@ -45,6 +47,8 @@ WORDS, ELL, SKETCHES = 5, 3, 18
 BROADCAST_IDS = 2_000_000
 #: Members of a bucket whose pairs are all tested by its three centres.
 FULL = 3
+#: A shingle of more texts of the mixed buckets is common.
+COMMON = 16
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -160,6 +164,42 @@ def _verify(similarity: float):
     return run
 
 
+def _placed_shingles(batches):
+    for batch in batches:
+        nodes, sizes, found = [], [], []
+        for node, words in zip(batch.column("node").to_pylist(), batch.column("words").to_pylist()):
+            found.append(labelled_shingles(np.frombuffer(words, np.uint32)).view(np.int64))
+            nodes.append(node)
+            sizes.append(len(found[-1]))
+        at = [np.arange(n, dtype=np.int32) for n in sizes]
+        columns = [np.repeat(np.array(nodes, np.int64), sizes), np.concatenate(at) if at else [], np.repeat(np.array(sizes, np.int32), sizes), np.concatenate(found) if found else []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["node", "at", "n", "shingle"])
+
+
+def _parts(similarity: float):
+    """For each node: the rare shingles of its prefix, and the size, key and prefix of its common part."""
+
+    def run(batches):
+        for batch in batches:
+            out = {"node": batch.column("node").to_pylist(), "n": batch.column("n").to_pylist(), "rare": [], "n_common": [], "key": [], "common": []}
+            for n, shared in zip(out["n"], batch.column("shared")):
+                shared = shared.values
+                size, shingle, at = (shared.field(c).to_numpy() for c in ("size", "shingle", "at"))
+                least = math.ceil(similarity * n - 1e-9)  # shingles shared with any text that is alike
+                order = np.lexsort((shingle, size))
+                rare, common = order[size[order] <= COMMON], order[size[order] > COMMON]
+                out["rare"].append(shingle[rare[: max(0, n - least + 1 - (n - len(size)))]].tolist())
+                out["n_common"].append(len(common))
+                enough = len(common) >= least
+                out["key"].append(hashlib.blake2b(shingle[common[np.argsort(at[common])]].tobytes(), digest_size=16).digest() if enough else None)
+                out["common"].append(shingle[common[: len(common) - least + 1]].tolist() if enough else [])
+            yield pa.RecordBatch.from_pydict(
+                {k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.list_(pa.int64())))}
+            )
+
+    return run
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, label): the least node of each component, for nodes that have a link."""
     both = materialise(links.union(links.select("b", "a")).distinct())
@@ -237,12 +277,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for centre in CENTRES:
         # Members whose class isn't that of the centre.
         found.add(_across(members, centre, found.labels))
-    large = found.tag(members.where(F.col("size") > FULL))
-    mixed = large.groupBy("band", "value").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("band", "value")
-    entries = large.join(materialise(mixed), ["band", "value"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", "value"))).alias("es"))
+    entries = _mixed(found.tag(members.where(F.col("size") > FULL))).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", "value"))).alias("es"))
     twos = F.flatten(F.transform("es", lambda x, i: F.transform(F.slice("es", i + 2, F.size("es")), lambda y: F.xxhash64(x["band"], x["value"], y["band"], y["value"]))))
     finer = materialise(_with_centres(entries.select("node", F.explode(twos).alias("value")), ["value"]))
     found.add(reduce(DataFrame.union, (_across(finer, centre, found.labels) for centre in CENTRES)))
+    left = _mixed(found.tag(members.where(F.col("size") > FULL)))
+    left = materialise(found.tag(left.select("node").distinct()))
+    if not left.isEmpty():
+        found.add(_exact(texts, left, similarity))
     labels = found.labels
     classes = nodes.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("class"))
     out = sketched.select("_ls_doc", "key").join(classes, "key")
@@ -250,6 +292,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(blank("_ls_doc").alias(id_col), blank("class").alias("class_id"))
 
 
+def _mixed(large: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several classes."""
+    mixed = large.groupBy("band", "value").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("band", "value")
+    return large.join(materialise(mixed), ["band", "value"])
+
+
+def _exact(texts: DataFrame, left: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (centre, member) whose links join all classes that links between nodes of ``left`` join.
+
+    Shingles are ordered by the texts that hold them, rare ones first. The first one that two alike
+    texts share lies among the first n - ceil(similarity * n) + 1 of both. If it is rare (of at most
+    COMMON texts), their pair is taken from that shingle's texts, in whatever else they agree. If it
+    is common, all they share is common, so the common parts alone make them alike, and a shorter text
+    with the same common part (the same shingles in the same order) does in place of either: each
+    text is paired with the shortest text of its own common part and of each other that it meets."""
+    wanted = left.select(F.col("node").alias("_ls_doc"))
+    wanted = F.broadcast(wanted) if left.count() <= BROADCAST_IDS else wanted
+    words = texts.join(wanted, "_ls_doc", "left_semi").mapInArrow(_hashed_words, "node long, words binary").dropDuplicates(["node"])
+    shingles = materialise(words.mapInArrow(_placed_shingles, "node long, at int, n int, shingle long"))
+    sizes = materialise(shingles.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1"))
+    shared = shingles.join(sizes, "shingle").groupBy("node", "n").agg(F.collect_list(F.struct("size", "shingle", "at")).alias("shared"))
+    parts = shared.mapInArrow(_parts(similarity), "node long, n int, rare array<bigint>, n_common int, key binary, common array<bigint>")
+    parts = materialise(parts.join(left.select("node", "label"), "node"))
+
+    def other(a: str, b: str) -> Column:
+        """In other classes and of lengths that may be alike."""
+        na, nb = F.col(a + ".n"), F.col(b + ".n")
+        return (F.col(a + ".label") != F.col(b + ".label")) & (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-9)
+
+    def alike(a: str, b: str) -> Column:
+        """Common parts that may be enough."""
+        return F.least(a + ".n_common", b + ".n_common") * (1 + similarity) >= similarity * (F.col(a + ".n") + F.col(b + ".n")) - 1e-6
+
+    rare = parts.select("node", "n", "label", F.explode("rare").alias("shingle"))
+    a, b = rare.alias("a"), rare.alias("b")
+    pairs = a.join(b, F.col("a.shingle") == F.col("b.shingle")).where((F.col("a.node") < F.col("b.node")) & other("a", "b"))
+    pairs = pairs.select(F.col("a.node").alias("centre"), F.col("b.node").alias("member"))
+    high = parts.where("key is not null").select("node", "n", "label", "n_common", "key", "common")
+    least = materialise(high.groupBy("key").agg(F.min_by(F.struct("node", "n", "label", "n_common", "common"), F.struct("n", "node")).alias("s")).select("key", "s.*"))
+    a, b = least.alias("a"), high.alias("b")
+    own = a.join(b, F.col("a.key") == F.col("b.key")).where(other("a", "b") & alike("a", "b"))
+    a, b = (x.withColumn("shingle", F.explode("common")).drop("common").alias(name) for x, name in ((least, "a"), (high, "b")))
+    cross = a.join(b, F.col("a.shingle") == F.col("b.shingle")).where((F.col("a.key") != F.col("b.key")) & other("a", "b") & alike("a", "b"))
+    for found in (own, cross):
+        pairs = pairs.union(found.select(F.col("a.node").alias("centre"), F.col("b.node").alias("member")))
+    return pairs
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) whose whole texts are similar enough; pairs come with their centre."""
     lengths = nodes.select("node", "n")

@@ -261,6 +261,30 @@ def test_near_duplicates_among_texts_that_share_a_passage(spark):
         assert (got[a], got[b]) == ((min(a, b),) * 2 if k // 2 % 3 == 0 else (a, b))
 
 
+def test_near_duplicates_equal_brute_force_where_most_of_a_text_is_shared(spark):
+    """A passage of 84 to 87 % of texts whose other words make few of them alike, with short texts and other passages."""
+    rng = random.Random(21)
+    passages = [[f"p{k}x{i}" for i in range(344)] for k in range(2)]
+    passages.append(passages[0][:330] + [f"p2x{i}" for i in range(14)])
+    texts = []
+    for i in range(180):
+        passage = passages[0 if i < 120 else 1 + i % 2]
+        own = [f"o{i}x{j}" for j in range(57)]
+        near = own[:20] + [f"c{i}x{j}" for j in range(rng.choice([36, 37, 38]))] if i % 2 else [f"d{i}x{j}" for j in range(56)]
+        texts += [passage + own, passage + near]
+    texts += [passages[1] + [f"short{j}" for j in range(20)]]
+    rng.shuffle(texts)
+    shingled = [near_dedup.labelled_shingles(near_dedup.word_hashes(" ".join(t).encode())) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and near_dedup.similarity_of(shingled[i], shingled[j], 0.8) >= 0.8:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)])).collect()}
+    assert got == dict(enumerate(label)) and 60 < len(set(label)) < len(texts) - 60
+
+
 def test_alignment_follows_order():
     a = near_dedup.labelled_shingles(np.arange(100, dtype=np.uint32))
     swapped = near_dedup.labelled_shingles(np.concatenate([np.arange(50, 100), np.arange(50)]).astype(np.uint32))

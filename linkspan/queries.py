@@ -235,9 +235,13 @@ _SQUARE = _PAIRS + """, sq AS (SELECT x.idx AS col, y.idx AS row, CASE WHEN x.id
   FROM vars x JOIN vars y ON x.idx // 120 = y.idx // 120 AND x.idx < 120 LEFT JOIN vcor v ON v.a = least(x.idx, y.idx) AND v.b = greatest(x.idx, y.idx))"""
 
 
-def _square(spark: SparkSession, d: str) -> DataFrame:
-    v = fixtures.variants(spark, d).where("idx < 120").select("idx")
-    cells = v.select(F.col("idx").alias("col"), F.explode(F.sequence(F.lit(0), F.lit(119)).cast("array<bigint>")).alias("row"))
+#: The same of all variants.
+_SQUARE_ALL = _SQUARE.replace("x.idx // 120 = y.idx // 120 AND x.idx < 120", "TRUE")
+
+
+def _square(spark: SparkSession, d: str, n: int = 120) -> DataFrame:
+    v = fixtures.variants(spark, d).where(F.col("idx") < n).select("idx")
+    cells = v.select(F.col("idx").alias("col"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias("row"))
     p = fixtures.pairs(spark, d).select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("UNPHASED_R").alias("_r"))
     joined = cells.join(p, (F.least("col", "row") == F.col("_a")) & (F.greatest("col", "row") == F.col("_b")), "left")
     nan = F.lit(float("nan")).cast("float")
@@ -265,6 +269,25 @@ def ingest_square(spark: SparkSession, d: str) -> DataFrame:
     return _shown(m.entries)
 
 
+_BAD_SQL, _FILTER_SQL, _INGEST_SQL = (ORACLES[q].removeprefix("WITH " + _SQUARE) for q in ("square_bad_variants", "square_min_filter", "ingest_square"))
+
+
+@_register("square_bad_variants_all", _SQUARE_ALL + _BAD_SQL)
+def square_bad_variants_all(spark: SparkSession, d: str) -> DataFrame:
+    return dense_index(ingest.good_variants(_square(spark, d, fixtures.variants(spark, d).count()), "UNPHASED_R"), "idx", "new")
+
+
+@_register("square_min_filter_all", _SQUARE_ALL + _FILTER_SQL)
+def square_min_filter_all(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(ingest.min_filter(_square(spark, d, fixtures.variants(spark, d).count()), 0.15, "UNPHASED_R"))
+
+
+@_register("ingest_square_all", _SQUARE_ALL + _INGEST_SQL)
+def ingest_square_all(spark: SparkSession, d: str) -> DataFrame:
+    v = fixtures.variants(spark, d)
+    return _shown(ingest.from_square(_square(spark, d, v.count()), v, 8, 0.15, "UNPHASED_R").entries)
+
+
 # --- reading ---
 
 _GET = "CASE WHEN m.col IS NULL THEN 0.0 WHEN isnan(m.{s}) THEN NULL ELSE m.{s}::DOUBLE END AS {s}"
@@ -325,6 +348,13 @@ def pairwise_multi(spark: SparkSession, d: str) -> DataFrame:
     return _shown(query.pairwise_at(matrix(spark, d), _asked(spark, d), list(STATS)))
 
 
+@_register("pairwise_multi_all", _MATRIX + f" SELECT r.ord::BIGINT AS ord, r.row::BIGINT AS row, r.col::BIGINT AS col, {_get(STATS)} FROM (SELECT idx AS ord, idx AS row, least(idx + idx % 60, (SELECT count(*) FROM vars) - 1) AS col FROM vars) r LEFT JOIN m ON m.col = r.col AND m.row = r.row")
+def pairwise_multi_all(spark: SparkSession, d: str) -> DataFrame:
+    m = matrix(spark, d)
+    asked = m.variants.select(F.col("idx").alias("ord"), F.col("idx").alias("row"), F.least(F.col("idx") + F.col("idx") % 60, F.lit(m.n - 1)).alias("col"))
+    return _shown(query.pairwise_at(m, asked, list(STATS)))
+
+
 _PAIR_ROWS, _PAIR_COLS = [9, 4, 49, 4, 36], [8, 3, 55, 3, 34]
 
 
@@ -500,6 +530,39 @@ def concat_variants(spark: SparkSession, d: str) -> DataFrame:
     return transform.concat_variants(tagged, transform.boundaries(tagged))
 
 
+def _cuts(n: int) -> list[tuple[int, int]]:
+    """Chunks of all n places, each sharing half with the next and more than the 60 places of the LD window."""
+    step = max(n // 4, 61)
+    return [(a, min(a + 2 * step, n) - 1) for a in range(0, max(n - step, 1), step)]
+
+
+_CUTS_ALL = _VARIANTS + """, s AS (SELECT count(*) AS n, greatest(count(*) // 4, 61) AS step FROM vars),
+c AS (SELECT i // step AS chunk, i AS a, least(i + 2 * step, n) - 1 AS b FROM (SELECT n, step, unnest(range(0, greatest(n - step, 1), step)) AS i FROM s))"""
+_BOUNDARIES_SQL = ORACLES["overlap_boundaries"].removeprefix(f"WITH c AS ({_CUT_SQL})")
+
+
+def _tagged_all(spark: SparkSession, d: str) -> DataFrame:
+    v = fixtures.variants(spark, d)
+    return _tagged([v.where(F.col("idx").between(a, b)).withColumn("idx", F.col("idx") - a) for a, b in _cuts(v.count())])
+
+
+@_register("overlap_boundaries_all", _CUTS_ALL + _BOUNDARIES_SQL)
+def overlap_boundaries_all(spark: SparkSession, d: str) -> DataFrame:
+    return transform.boundaries(_tagged_all(spark, d))
+
+
+@_register("concat_overlap_entries_all", _MATRIX + f" SELECT col::BIGINT AS col, row::BIGINT AS row, {_show()} FROM m")
+def concat_overlap_entries_all(spark: SparkSession, d: str) -> DataFrame:
+    m = matrix(spark, d)
+    return _shown(transform.concat([transform.filter_matrix(m, between=c) for c in _cuts(m.n)], overlapping=True).entries)
+
+
+@_register("concat_variants_all", _VARIANTS + " SELECT idx::BIGINT AS idx, chrom, pos, id, ref, alt FROM vars")
+def concat_variants_all(spark: SparkSession, d: str) -> DataFrame:
+    tagged = _tagged_all(spark, d)
+    return transform.concat_variants(tagged, transform.boundaries(tagged))
+
+
 # --- export ---
 
 

@@ -30,3 +30,15 @@ def test_query_equals_sql(spark, duck, name):
     found = duck.execute(ORACLES[name])
     columns = [c[0] for c in found.description]
     assert rows(frame.columns, [tuple(r) for r in frame.collect()]) == rows(columns, found.fetchall())
+
+
+@pytest.mark.parametrize(("name", "column"), [("square_bad_variants", "idx"), ("square_min_filter", "row"), ("ingest_square", "row"), ("pairwise_multi", "row"), ("concat_overlap_entries", "row"), ("concat_variants", "idx"), ("overlap_boundaries", "global_end")])
+def test_whole_table_forms_reach_the_last_variants(spark, duck, name, column):
+    n = duck.execute("SELECT count(*) FROM embeddings").fetchone()[0]
+    got = {r[column] for r in QUERIES[name + "_all"](spark, DATA).collect()}
+    bad = len(range(0, n, 37))  # of a square, every 37th variant
+    if name == "overlap_boundaries":
+        assert max(got) == n
+    else:
+        want = {"square_bad_variants": {i for i in range(n) if i % 37}, "ingest_square": set(range(n - bad))}
+        assert got == want.get(name, set(range(n)))

@@ -3,9 +3,9 @@
 The standard library's parser streams start, end and text events; a page's "lines" are its blocks of
 text. Each block gets the ratio of its text to its tags (link text counts for the tags), ratios are
 smoothed with a Gaussian along the page, and blocks over a threshold (a share of the page's standard
-deviation around its mean) form the content clusters. The element that holds most of the clusters'
-text is the content root; all blocks under it are kept, so that a short paragraph between long ones
-isn't lost, and blocks in navigation, headers, footers, sidebars, notices, adverts, forms, scripts,
+deviation around its mean) form the content clusters. The innermost article or main element that holds
+all clusters, else the deepest element that does, is the content root; all blocks under it are kept, so
+that a short paragraph between long ones isn't lost, and blocks in navigation, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments (by element, role, class or id) never count.
 
 Defined cases: null or empty html gives an empty text; unclosed and stray tags are tolerated;
@@ -159,10 +159,8 @@ def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     return padded / np.convolve(np.ones(len(values)), kernel)[reach : reach + len(values)]
 
 
-def extract(html: str | None, sigma: float = 1.0, level: float = 0.5, share: float = 0.6, plain_share: float = 0.9) -> str:
-    """Main text of one page. level: threshold below the smoothed mean, in standard deviations;
-    share, plain_share: of the clusters' text that a content root must hold if it is an article or
-    main element, and otherwise."""
+def extract(html: str | None, sigma: float = 1.0, level: float = 0.5) -> str:
+    """Main text of one page. level: threshold below the smoothed mean, in standard deviations."""
     if not html:
         return ""
     events = Events()
@@ -186,8 +184,9 @@ def extract(html: str | None, sigma: float = 1.0, level: float = 0.5, share: flo
             for d, e in enumerate(path):
                 size[e] = size.get(e, 0) + len(text)
                 depth[e] = d
-    # An article or main element over most of the text (of several, the innermost), else the deepest element over nearly all.
-    roots = [e for e in size if e in events.semantic and size[e] >= share * total] or [e for e in size if size[e] >= plain_share * total and sum(e in b[3] for b in blocks) > 1]
+    # Elements over all chosen blocks: an article or main element (of several, the innermost), else the deepest of several blocks.
+    whole = [e for e in size if size[e] == total]
+    roots = [e for e in whole if e in events.semantic] or [e for e in whole if sum(e in b[3] for b in blocks) > 1]
     root = max(roots, key=depth.get, default=None)
     return " ".join(b[0] for b in blocks if root is None or root in b[3])
 

@@ -312,6 +312,14 @@ def test_html_text(html, want):
     assert html_text.extract(html) == want
 
 
+def test_html_keeps_chosen_blocks_beside_the_longest():
+    lead, end = "The lead says what this page is about. " * 7 + "It is long.", "The end says where it all came from. " * 7 + "It is long."
+    plain = f"<div id=content><p>{lead}</p><section>{f'<p>{PARA * 3}</p>' * 24}</section><p>{end}</p></div>"
+    assert html_text.extract(plain) == " ".join([lead, *[(PARA * 3).strip()] * 24, end])
+    two = f"<main><p>{lead}</p><article><p>{PARA * 5}</p></article><article><p>{PARA * 3}</p></article></main>"
+    assert html_text.extract(two) == " ".join([lead, (PARA * 5).strip(), (PARA * 3).strip()])
+
+
 def test_html_pages_of_the_data(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     import html as h

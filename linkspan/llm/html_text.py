@@ -97,6 +97,12 @@ class Events(HTMLParser):
             self.skipping -= unwanted
         del self.stack[at:]
 
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # an unknown declaration is a comment up to the next ">"
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "br":

@@ -320,6 +320,10 @@ def test_html_keeps_chosen_blocks_beside_the_longest():
     assert html_text.extract(two) == " ".join([lead, (PARA * 5).strip(), (PARA * 3).strip()])
 
 
+def test_html_reads_on_after_unknown_declarations():
+    assert html_text.extract("<p>a</p><![foo[x]]><p>b</p>") == "a b" and html_text.extract("<p>a<![ x>b") == "ab"
+
+
 def test_html_pages_of_the_data(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     import html as h

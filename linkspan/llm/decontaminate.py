@@ -13,8 +13,8 @@ hits are then read again for the comparison: their ids, broadcast after a check
 cut the scan, and only texts with hits shuffle to meet them. Nothing is collected.
 
 Defined cases: null and empty texts have no words and match nothing; items of fewer words than a
-mask spans are one seed of all their words, those under MIN_ITEM_WORDS match nothing; rows that
-share an id are one document; a null id is one document (null in the result); repeated items are
+mask spans have a seed for each word, which leaves it out, those under MIN_ITEM_WORDS match nothing;
+rows that share an id are one document; a null id is one document (null in the result); repeated items are
 found once; without items or documents the result is empty.
 """
 
@@ -67,9 +67,9 @@ def find_contamination(
     items = benchmark.select(F.col(item_col).alias("_ls_item"), words_of_text(F.col(item_text_col)).alias("_ls_iw")).where(F.size("_ls_iw") >= MIN_ITEM_WORDS)
     masks = list(enumerate(MASKS))
     shorter = [r[0] for r in items.where(F.size("_ls_iw") < SPAN).select(F.size("_ls_iw")).distinct().collect()]  # lengths under SPAN
-    whole = [(100 + n, tuple(range(n))) for n in sorted(shorter)]
+    short = {n: [(10 * n + k, tuple(i for i in range(n) if i != k)) for k in range(n)] for n in sorted(shorter)}
     parts = [items.where(F.size("_ls_iw") >= SPAN).select("_ls_item", F.explode(_seeds("_ls_iw", masks)).alias("s"))]
-    parts += [items.where(F.size("_ls_iw") == len(m)).select("_ls_item", F.explode(_seeds("_ls_iw", [(k, m)])).alias("s")) for k, m in whole]
+    parts += [items.where(F.size("_ls_iw") == n).select("_ls_item", F.explode(_seeds("_ls_iw", less)).alias("s")) for n, less in short.items()]
     seeds = parts[0]
     for part in parts[1:]:
         seeds = seeds.union(part)
@@ -77,7 +77,7 @@ def find_contamination(
     side = _checked(seeds, seeds.count())
     texts = docs.select(id_or_null_stand_in(F.col(id_col)).alias("_ls_doc"), F.col(text_col).alias("_ls_text"))
     words = texts.select("_ls_doc", words_of_text(F.col("_ls_text")).alias("_ls_w"))
-    found = words.select("_ls_doc", F.explode(_seeds("_ls_w", masks + whole)).alias("s")).select("_ls_doc", F.col("s.pos").alias("_ls_pos"), F.col("s.seed").alias("_ls_seed"))
+    found = words.select("_ls_doc", F.explode(_seeds("_ls_w", masks + sum(short.values(), []))).alias("s")).select("_ls_doc", F.col("s.pos").alias("_ls_pos"), F.col("s.seed").alias("_ls_seed"))
     hits = materialise(found.join(side, "_ls_seed").select("_ls_doc", "_ls_item", (F.col("_ls_pos") - F.col("_ls_ipos")).alias("_ls_diag")).distinct())
     return _verify(texts, hits, items, id_col, item_col, window, similarity)
 

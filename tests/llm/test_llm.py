@@ -338,3 +338,15 @@ def test_quality_verdict_rejects_depleted_documents(spark):
     rows = [(i, f"{shared}\n" + " ".join("own" + chr(97 + i // 26) + chr(97 + i % 26) + chr(97 + j % 26) * (1 + j // 26) for j in range(20 if i < 30 else 200)), "h") for i in range(60)]
     got = {r["doc_id"]: r for r in quality_rules.score_quality(frame(spark, rows)).collect()}
     assert all(got[i]["lost_words"] == 40 for i in got) and sorted(i for i in got if got[i]["kept"]) == list(range(30, 60))
+
+
+def test_short_items_are_found_with_a_word_changed(spark):
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in (5, 6, 7, 8)}
+    docs, truth = [], set()
+    for n, item in items.items():
+        for k in range(-1, n):
+            truth.add((len(docs), n))
+            docs.append((len(docs), " ".join(["before", "it", *("zzz" if j == k else w for j, w in enumerate(item)), "after"]), "s"))
+        docs.append((len(docs), " ".join(["before", *("zzz" if j < 2 else w for j, w in enumerate(item))]), "s"))
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(frame(spark, docs), bench).collect()} == truth

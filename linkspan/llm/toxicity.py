@@ -174,7 +174,7 @@ def train(texts: list[bytes], labels: list[int], buckets: int = 1 << 20, dim: in
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 3000, max_chars: int = 16_000_000) -> Model | None:
     """Model of a bounded sample of labelled rows, picked by hash; whole texts, at most max_rows of
-    each class and max_chars characters."""
+    each class and max_chars characters; a text that no longer fits is passed over."""
     rank = F.xxhash64(F.col("_ls_id"), F.lit(17))
     marked = labels.select(F.col(id_col).alias("_ls_id"), F.col(label_col).cast("int").alias("_ls_y")).where("_ls_y in (0, 1)").withColumn("_ls_rank", rank)
     # The sample is picked from the labels alone: at most 2 * max_rows ids are broadcast, no text moves but theirs.
@@ -184,8 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts, ys, size = [], [], [0, 0]
     for row in rows.orderBy("_ls_rank", "_ls_id", "_ls_y", "_ls_text").select("_ls_text", "_ls_y").toLocalIterator():
         text, y = bytes(row["_ls_text"] or b""), row["_ls_y"]
-        size[y] += len(text)
-        if size[y] <= max_chars // 2:
+        if size[y] + len(text) <= max_chars // 2:
+            size[y] += len(text)
             texts.append(text)
             ys.append(y)
     return train(texts, ys)

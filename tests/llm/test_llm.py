@@ -340,6 +340,13 @@ def test_quality_verdict_rejects_depleted_documents(spark):
     assert all(got[i]["lost_words"] == 40 for i in got) and sorted(i for i in got if got[i]["kept"]) == list(range(30, 60))
 
 
+def test_toxicity_sample_passes_over_texts_beyond_the_budget(spark, monkeypatch):
+    rows = [(i, ("very long " * 60 if i % 4 < 2 else f"text {i}"), "s") for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "train", lambda texts, ys: Counter(ys))
+    assert toxicity.fit(frame(spark, rows), labels, max_chars=1000) == {0: 20, 1: 20}
+
+
 def test_short_items_are_found_with_a_word_changed(spark):
     items = {n: [f"i{n}x{k}" for k in range(n)] for n in (5, 6, 7, 8)}
     docs, truth = [], set()

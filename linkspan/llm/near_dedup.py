@@ -8,14 +8,15 @@ edit similarity; ``SKETCHES`` of them are taken.
 
 1. One pass over the texts gives digests and sketches. Exact copies fold into one node each (the
    least id), so copies never meet as pairs.
-2. Texts that share a sketch are candidates. A bucket doesn't emit its pairs: each member is paired
-   with the bucket's centre (an aggregate, joined back), so the pairs are linear in the members and a
-   bucket of a third of the corpus is no single task. Further rounds pair what is still in different
-   classes with other centres of the same buckets; they test all pairs of up to FULL members. Larger
-   buckets that still hold several classes (texts that share a long passage) are cut by pairs of
-   sketches: two texts that are alike share many sketches, so they meet again in smaller buckets,
-   which get three centres of their own. The texts of large buckets that hold several classes even
-   then are joined without a bucket (see ``_exact``), which finds all that is left between them.
+2. Texts that share a sketch are candidates. A bucket doesn't emit its pairs: in a round, each of its
+   members is paired with the bucket's centre if that is of another class. Labels of classes come to
+   the nodes, one row each, before the buckets are formed; the aggregate of a bucket returns its
+   centre with the centre's label and whether it still holds several classes, and only buckets that
+   do are joined back. So the pairs are at most linear in the members, those of members that a round
+   has joined are never made, and a bucket of a third of the corpus is no single task. The rounds
+   take the least and the greatest node and one picked by hash, which tests all pairs of up to four
+   members. The texts of larger buckets that hold several classes even then are joined without a
+   bucket (see ``_exact``), which finds all that is left between them.
 3. Candidates are verified on whole texts by an alignment of their shingle sequences within a band
    around the diagonal (the band is as wide as a similarity of ``similarity`` allows). With m aligned
    shingles of a and b, similarity is m / (a + b - m), the Jaccard similarity for kept order.
@@ -23,8 +24,10 @@ edit similarity; ``SKETCHES`` of them are taken.
    is collected.
 
 Defined cases: texts of fewer than five words are one shingle of all their words; texts without
-words are in a class only with exact copies; rows that share an id are one document, as are rows
-with null id (null in the result); repeated rows stay; an empty table gives an empty table.
+words are copies of others without words only if equal; a null text is an empty one; null ids are one
+document, whose class has the null id; rows that share an id are one document, whose links are those of all
+its texts; repeated rows are one node; very long texts are sketched piece by piece; an empty table
+gives no rows. Other columns take no part.
 """
 
 from __future__ import annotations
@@ -32,7 +35,6 @@ from __future__ import annotations
 import hashlib
 import math
 from bisect import bisect_left
-from functools import reduce
 from zlib import crc32
 
 import numpy as np
@@ -45,8 +47,10 @@ from .common import NULL_ID, id_or_null_stand_in, materialise, small_batches
 WORDS, ELL, SKETCHES = 5, 3, 18
 #: Ids (8 bytes each) of candidates that may be broadcast to the scan of the texts.
 BROADCAST_IDS = 2_000_000
-#: Members of a bucket whose pairs are all tested by its three centres.
-FULL = 3
+#: Rounds of centres; after each, a bucket of up to one member more than rounds has no untested pair.
+ROUNDS = 3
+#: Shingles hashed at once: bounds the memory of a very long text.
+PIECE = 1 << 16
 #: A shingle of more texts of the mixed buckets is common.
 COMMON = 16
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -93,13 +97,14 @@ def labelled_shingles(words: np.ndarray) -> np.ndarray:
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """SKETCHES signed 64-bit values: order-keeping minima."""
-    n = len(shingles)
-    hashed = _mix(shingles[None, :] * _MULTIPLIERS)
-    if n > ELL:
-        least = np.argpartition(hashed, ELL - 1, axis=1)[:, :ELL]
-    else:
-        least = np.broadcast_to(np.arange(n), (SKETCHES, n)).copy()
-    least.sort(axis=1)  # text order
+    least = np.zeros((SKETCHES, 0), np.int64)  # places, the minima of all pieces so far
+    for start in range(0, len(shingles), PIECE):
+        piece = np.broadcast_to(np.arange(start, min(start + PIECE, len(shingles))), (SKETCHES, min(PIECE, len(shingles) - start)))
+        least = np.concatenate([least, piece], axis=1) if start else piece
+        if least.shape[1] > ELL:
+            hashed = _mix(shingles[least] * _MULTIPLIERS)
+            least = np.take_along_axis(least, np.argpartition(hashed, ELL - 1, axis=1)[:, :ELL], axis=1)
+    least = np.sort(least, axis=1)  # text order
     value = np.arange(SKETCHES, dtype=np.uint64)
     for i in range(least.shape[1]):
         value = _mix(value * _MIX[0] + shingles[least[:, i]])
@@ -166,14 +171,16 @@ def _verify(similarity: float):
 
 def _placed_shingles(batches):
     for batch in batches:
-        nodes, sizes, found = [], [], []
+        nodes, marks, sizes, found = [], [], [], []
         for node, words in zip(batch.column("node").to_pylist(), batch.column("words").to_pylist()):
             found.append(labelled_shingles(np.frombuffer(words, np.uint32)).view(np.int64))
             nodes.append(node)
+            marks.append(int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "little", signed=True))
             sizes.append(len(found[-1]))
         at = [np.arange(n, dtype=np.int32) for n in sizes]
-        columns = [np.repeat(np.array(nodes, np.int64), sizes), np.concatenate(at) if at else [], np.repeat(np.array(sizes, np.int32), sizes), np.concatenate(found) if found else []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["node", "at", "n", "shingle"])
+        owner = [np.repeat(np.array(x, t), sizes) for x, t in ((nodes, np.int64), (marks, np.int64), (sizes, np.int32))]
+        columns = [*owner[:2], np.concatenate(at) if at else [], owner[2], np.concatenate(found) if found else []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["node", "mark", "at", "n", "shingle"])
 
 
 def _parts(similarity: float):
@@ -181,20 +188,21 @@ def _parts(similarity: float):
 
     def run(batches):
         for batch in batches:
-            out = {"node": batch.column("node").to_pylist(), "n": batch.column("n").to_pylist(), "rare": [], "n_common": [], "key": [], "common": []}
+            out = {"node": batch.column("node").to_pylist(), "n": batch.column("n").to_pylist(), "n_shared": [], "rare": [], "n_common": [], "key": [], "common": []}
             for n, shared in zip(out["n"], batch.column("shared")):
                 shared = shared.values
                 size, shingle, at = (shared.field(c).to_numpy() for c in ("size", "shingle", "at"))
                 least = math.ceil(similarity * n - 1e-9)  # shingles shared with any text that is alike
                 order = np.lexsort((shingle, size))
                 rare, common = order[size[order] <= COMMON], order[size[order] > COMMON]
+                out["n_shared"].append(len(size))
                 out["rare"].append(shingle[rare[: max(0, n - least + 1 - (n - len(size)))]].tolist())
                 out["n_common"].append(len(common))
                 enough = len(common) >= least
                 out["key"].append(hashlib.blake2b(shingle[common[np.argsort(at[common])]].tobytes(), digest_size=16).digest() if enough else None)
                 out["common"].append(shingle[common[: len(common) - least + 1]].tolist() if enough else [])
             yield pa.RecordBatch.from_pydict(
-                {k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.list_(pa.int64())))}
+                {k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.list_(pa.int64())))}
             )
 
     return run
@@ -215,28 +223,24 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-#: Centres of a bucket: the least and the greatest node and one picked by hash.
-CENTRES = ("low", "high", "middle")
+def _centre(turn: int) -> Column:
+    """The centre of a bucket in a round, with its label: the least node, the greatest, one by hash."""
+    own = F.struct("node", "label")
+    if turn < 2:
+        return (F.min, F.max)[turn](own)
+    picked = [F.min_by(own, F.xxhash64("node", "band", "value", F.lit(i))) for i in range(2)]
+    return F.when(~picked[0]["node"].isin(F.min("node"), F.max("node")), picked[0]).otherwise(picked[1])
 
 
-def _with_centres(members: DataFrame, bucket: list[str]) -> DataFrame:
-    """members of buckets of two or more, with the bucket's size and centres."""
-    hashed = [F.min_by("node", F.xxhash64("node", *bucket, F.lit(i))) for i in range(2)]
-    low, high = F.min("node"), F.max("node")
-    middle = F.when(~hashed[0].isin(low, high), hashed[0]).otherwise(hashed[1])
-    centres = members.groupBy(*bucket).agg(F.count("*").alias("size"), low.alias("low"), high.alias("high"), middle.alias("middle")).where("size > 1")
+def _round(open_nodes: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """open_nodes: (node, label, es), es the (band, value) of buckets that may hold several classes.
+    Pairs (centre, member) of different classes, and (node, band, value, size) of the buckets that do."""
+    members = open_nodes.select("node", "label", F.inline("es"))
+    mixed = members.groupBy("band", "value").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most"), _centre(turn).alias("centre")).where("least < most")
     # Written, so that the join starts from plain exchanges, whose hot partitions can be split.
-    return members.join(materialise(centres), bucket)
-
-
-def _across(members: DataFrame, centre: str, labels: DataFrame | None) -> DataFrame:
-    """Pairs (centre, member) of a bucket's centre and its members in other classes."""
-    pairs = members.where(F.col(centre) != F.col("node")).select(F.col(centre).alias("centre"), F.col("node").alias("member")).distinct()
-    if labels is None:
-        return pairs
-    for side in ("centre", "member"):
-        pairs = pairs.join(labels.toDF(side, side + "_label"), side, "left")
-    return pairs.where(F.coalesce("centre_label", "centre") != F.coalesce("member_label", "member")).select("centre", "member")
+    met = materialise(members.join(materialise(mixed.select("band", "value", "size", "centre")), ["band", "value"]))
+    pairs = met.where("centre.label <> label").select(F.col("centre.node").alias("centre"), F.col("node").alias("member")).distinct()
+    return pairs, met.select("node", "band", "value", "size")
 
 
 class _Links:
@@ -258,9 +262,9 @@ class _Links:
         self.links = new if self.links is None else self.links.union(new)
         self.labels = connected(self.links)
 
-    def tag(self, members: DataFrame) -> DataFrame:
-        """members with the label of their class."""
-        own = members if self.labels is None else members.join(self.labels, "node", "left")
+    def tag(self, nodes: DataFrame) -> DataFrame:
+        """nodes (a row each) with the label of their class."""
+        own = nodes if self.labels is None else nodes.join(self.labels, "node", "left")
         return own.withColumn("label", F.coalesce("label", "node") if self.labels is not None else F.col("node"))
 
 
@@ -271,18 +275,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = materialise(texts.mapInArrow(_sketches, "_ls_doc long, key binary, n int, values array<bigint>"))
     nodes = sketched.groupBy("key").agg(F.min_by(F.struct("_ls_doc", "n", "values"), "_ls_doc").alias("s")).select("key", F.col("s._ls_doc").alias("node"), F.col("s.n").alias("n"), F.col("s.values").alias("values"))
     nodes = materialise(nodes)
-    members = nodes.where("n > 0").select("node", F.posexplode("values").alias("band", "value"))
-    members = materialise(_with_centres(members, ["band", "value"]))
     found = _Links(texts, nodes, similarity)
-    for centre in CENTRES:
-        # Members whose class isn't that of the centre.
-        found.add(_across(members, centre, found.labels))
-    entries = _mixed(found.tag(members.where(F.col("size") > FULL))).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", "value"))).alias("es"))
-    twos = F.flatten(F.transform("es", lambda x, i: F.transform(F.slice("es", i + 2, F.size("es")), lambda y: F.xxhash64(x["band"], x["value"], y["band"], y["value"]))))
-    finer = materialise(_with_centres(entries.select("node", F.explode(twos).alias("value")), ["value"]))
-    found.add(reduce(DataFrame.union, (_across(finer, centre, found.labels) for centre in CENTRES)))
-    left = _mixed(found.tag(members.where(F.col("size") > FULL)))
-    left = materialise(found.tag(left.select("node").distinct()))
+    entries = nodes.where("n > 0").select("node", F.transform("values", lambda v, i: F.struct(i.alias("band"), v.alias("value"))).alias("es"))
+    for turn in range(ROUNDS):
+        pairs, met = _round(found.tag(entries), turn)
+        found.add(pairs)
+        entries = materialise(met.where(F.col("size") > turn + 2).groupBy("node").agg(F.collect_list(F.struct("band", "value")).alias("es")))  # at most SKETCHES a node
+    left = materialise(found.tag(_mixed(found.tag(entries))))
     if not left.isEmpty():
         found.add(_exact(texts, left, similarity))
     labels = found.labels
@@ -292,10 +291,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(blank("_ls_doc").alias(id_col), blank("class").alias("class_id"))
 
 
-def _mixed(large: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several classes."""
-    mixed = large.groupBy("band", "value").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("band", "value")
-    return large.join(materialise(mixed), ["band", "value"])
+def _mixed(open_nodes: DataFrame) -> DataFrame:
+    """(node) of buckets that hold several classes."""
+    members = open_nodes.select("node", "label", F.inline("es"))
+    mixed = members.groupBy("band", "value").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("band", "value")
+    return members.join(materialise(mixed), ["band", "value"]).select("node").distinct()
 
 
 def _exact(texts: DataFrame, left: DataFrame, similarity: float) -> DataFrame:
@@ -309,11 +309,11 @@ def _exact(texts: DataFrame, left: DataFrame, similarity: float) -> DataFrame:
     text is paired with the shortest text of its own common part and of each other that it meets."""
     wanted = left.select(F.col("node").alias("_ls_doc"))
     wanted = F.broadcast(wanted) if left.count() <= BROADCAST_IDS else wanted
-    words = texts.join(wanted, "_ls_doc", "left_semi").mapInArrow(_hashed_words, "node long, words binary").dropDuplicates(["node"])
-    shingles = materialise(words.mapInArrow(_placed_shingles, "node long, at int, n int, shingle long"))
+    words = texts.join(wanted, "_ls_doc", "left_semi").mapInArrow(_hashed_words, "node long, words binary").distinct()
+    shingles = materialise(words.mapInArrow(_placed_shingles, "node long, mark long, at int, n int, shingle long"))
     sizes = materialise(shingles.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1"))
-    shared = shingles.join(sizes, "shingle").groupBy("node", "n").agg(F.collect_list(F.struct("size", "shingle", "at")).alias("shared"))
-    parts = shared.mapInArrow(_parts(similarity), "node long, n int, rare array<bigint>, n_common int, key binary, common array<bigint>")
+    shared = shingles.join(sizes, "shingle").groupBy("node", "mark", "n").agg(F.collect_list(F.struct("size", "shingle", "at")).alias("shared"))
+    parts = shared.mapInArrow(_parts(similarity), "node long, n int, n_shared int, rare array<bigint>, n_common int, key binary, common array<bigint>")
     parts = materialise(parts.join(left.select("node", "label"), "node"))
 
     def other(a: str, b: str) -> Column:
@@ -321,19 +321,20 @@ def _exact(texts: DataFrame, left: DataFrame, similarity: float) -> DataFrame:
         na, nb = F.col(a + ".n"), F.col(b + ".n")
         return (F.col(a + ".label") != F.col(b + ".label")) & (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-9)
 
-    def alike(a: str, b: str) -> Column:
-        """Common parts that may be enough."""
-        return F.least(a + ".n_common", b + ".n_common") * (1 + similarity) >= similarity * (F.col(a + ".n") + F.col(b + ".n")) - 1e-6
+    def alike(a: str, b: str, left: str = "left") -> Column:
+        """What both have left, from a place on, may be enough for the similarity: no place after the
+        first that they share is of use."""
+        return F.least(f"{a}.{left}", f"{b}.{left}") * (1 + similarity) >= similarity * (F.col(a + ".n") + F.col(b + ".n")) - 1e-6
 
-    rare = parts.select("node", "n", "label", F.explode("rare").alias("shingle"))
+    rare = parts.select("node", "n", "label", "n_shared", F.posexplode("rare").alias("at", "shingle")).withColumn("left", F.col("n_shared") - F.col("at"))
     a, b = rare.alias("a"), rare.alias("b")
-    pairs = a.join(b, F.col("a.shingle") == F.col("b.shingle")).where((F.col("a.node") < F.col("b.node")) & other("a", "b"))
+    pairs = a.join(b, F.col("a.shingle") == F.col("b.shingle")).where((F.col("a.node") < F.col("b.node")) & other("a", "b") & alike("a", "b"))
     pairs = pairs.select(F.col("a.node").alias("centre"), F.col("b.node").alias("member"))
     high = parts.where("key is not null").select("node", "n", "label", "n_common", "key", "common")
     least = materialise(high.groupBy("key").agg(F.min_by(F.struct("node", "n", "label", "n_common", "common"), F.struct("n", "node")).alias("s")).select("key", "s.*"))
     a, b = least.alias("a"), high.alias("b")
-    own = a.join(b, F.col("a.key") == F.col("b.key")).where(other("a", "b") & alike("a", "b"))
-    a, b = (x.withColumn("shingle", F.explode("common")).drop("common").alias(name) for x, name in ((least, "a"), (high, "b")))
+    own = a.join(b, F.col("a.key") == F.col("b.key")).where(other("a", "b") & alike("a", "b", "n_common"))
+    a, b = (x.select("key", "node", "n", "label", "n_common", F.posexplode("common").alias("at", "shingle")).withColumn("left", F.col("n_common") - F.col("at")).alias(name) for x, name in ((least, "a"), (high, "b")))
     cross = a.join(b, F.col("a.shingle") == F.col("b.shingle")).where((F.col("a.key") != F.col("b.key")) & other("a", "b") & alike("a", "b"))
     for found in (own, cross):
         pairs = pairs.union(found.select(F.col("a.node").alias("centre"), F.col("b.node").alias("member")))
@@ -345,12 +346,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, similarity:
     lengths = nodes.select("node", "n")
     a, b = lengths.toDF("a", "na"), lengths.toDF("b", "nb")
     close = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-    close = materialise(close.select("centre", (F.col("a") + F.col("b") - F.col("centre")).alias("member")))
+    close = materialise(close.select("centre", (F.col("a") + F.col("b") - F.col("centre")).alias("member")).distinct())
     wanted = materialise(close.select(F.col("centre").alias("_ls_doc")).union(close.select("member")).distinct())
     # The ids of candidates are broadcast if they are few enough; else the texts are shuffled.
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     words = texts.join(wanted, "_ls_doc", "left_semi").mapInArrow(_hashed_words, "node long, words binary")
-    words = materialise(words.dropDuplicates(["node"]))
+    words = materialise(words.distinct())
     # Members last, by shuffle: a member has few pairs, so the comparisons spread over all tasks; a centre may have very many.
     both = close.join(words.toDF("centre", "wa"), "centre").join(words.toDF("member", "wb").hint("merge"), "member")
     return both.mapInArrow(_verify(similarity), "a long, b long")

@@ -357,3 +357,39 @@ def test_short_items_are_found_with_a_word_changed(spark):
         docs.append((len(docs), " ".join(["before", *("zzz" if j < 2 else w for j, w in enumerate(item))]), "s"))
     bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(frame(spark, docs), bench).collect()} == truth
+
+
+def test_near_duplicates_in_a_large_group_with_random_edits(spark):
+    """Copies of one text that isn't there itself, so that some pairs of the group are alike and others not: every link counts."""
+    rng = random.Random(33)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for i in range(260):
+        text = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 4])):
+            text[at] = f"e{i}x{at}"
+        texts.append(text)
+    shingled = [near_dedup.labelled_shingles(near_dedup.word_hashes(" ".join(t).encode())) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and near_dedup.similarity_of(shingled[i], shingled[j], 0.8) >= 0.8:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)])).collect()}
+    assert got == dict(enumerate(label)) and 1 < len(set(label)) < 200
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(80)) for c in "xyz")
+    rows = [(1, one, "s"), (1, two, "s"), (2, one + " more", "s"), (3, two + " more", "s"), (4, three, "s"), (None, three + " end", "s"), (5, three, "s"), (5, three, "s")]
+    got = near_dedup.near_duplicates(frame(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["class_id"]) for r in got) == Counter({(1, 1): 2, (2, 1): 1, (3, 1): 1, (4, None): 1, (None, None): 1, (5, None): 2})
+
+
+def test_sketches_of_long_texts_come_piece_by_piece(monkeypatch):
+    shingles = near_dedup.labelled_shingles(np.random.default_rng(1).integers(0, 50, 3000).astype(np.uint32))
+    whole = near_dedup.sketch(shingles)
+    monkeypatch.setattr(near_dedup, "PIECE", 7)
+    assert (near_dedup.sketch(shingles) == whole).all()
+    assert near_dedup.sketch(near_dedup._mix(np.arange(2_000_000, dtype=np.uint64))).shape == (near_dedup.SKETCHES,)

@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Prefix up to a non-digit, the last run of digits, then no digit.
-PATTERN = r"^(.*\D)(\d+)(\D*)$"
+#: The last run of digits after something else.
+LAST_RUN = "[^0-9]([0-9]+)[^0-9]*$"
+
+
+def _is_number(ident: Column) -> Column:
+    return ident.rlike("^[0-9]+$")
 
 
 def id_number(ident: Column) -> Column:
     """Number in an identifier: its last run of digits as a long; all-digit identifiers are their own
-    number; null if there is no digit (``has_number`` tells)."""
-    return F.when(ident.rlike(r"^\d+$"), ident).when(ident.rlike(PATTERN), F.regexp_extract(ident, PATTERN, 2)).try_cast("bigint")
+    number; null if no digit follows something else (``has_number`` tells whether there is any)."""
+    digits = F.when(_is_number(ident), ident).otherwise(F.regexp_extract(ident, LAST_RUN, 1))
+    return digits.try_cast("bigint")
 
 
 def id_template(ident: Column) -> Column:
     """Identifier with % in place of that run; all-digit identifiers are their own template."""
-    return F.when(ident.rlike(PATTERN), F.regexp_replace(ident, PATTERN, "$1%$3")).otherwise(ident)
+    run = F.regexp_extract(ident, LAST_RUN, 1)
+    rest = F.regexp_extract(ident, "[^0-9]*$", 0)
+    head = F.substring(ident, F.lit(1), F.length(ident) - F.length(run) - F.length(rest))
+    return F.when(_is_number(ident) | (run == ""), ident).otherwise(F.concat(head, F.lit("%"), rest))
 
 
 def join_id(number: Column, template: Column) -> Column:

@@ -18,21 +18,33 @@ def genomic_chunks(bounds: DataFrame, window: int, chunk: int | None = None, ove
 
 
 def nonempty_chunks(chunks: DataFrame, variants: DataFrame) -> DataFrame:
-    """Chunks with their number of variants; empty ones, and chromosomes of empty ones only, go."""
-    # Variants lie in at most as many chunks as one chunk overlaps; a range join on the chromosome.
-    v = variants.select("chrom", F.col("pos").cast("long").alias("pos"))
-    return chunks.join(v, (chunks["chrom"] == v["chrom"]) & v["pos"].between(chunks["start"], chunks["end"])).groupBy(chunks["chrom"], "chunk_id", "start", "end").agg(F.count("*").alias("n_variants"))
+    """Chunks (a chromosome's are equally long and equally far apart) with their number of variants;
+    empty ones, and chromosomes of empty ones only, go. The chunks over a variant are computed from
+    its position, as many as overlap there, and only counts meet the chunks."""
+    grid = chunks.groupBy("chrom").agg(F.min("start").alias("_origin"), F.max("start").alias("_last"), F.max("chunk_id").alias("_k"), F.max(F.col("end") - F.col("start") + 1).alias("_span"))
+    step = F.expr("CASE WHEN _k > 1 THEN (_last - _origin) div (_k - 1) ELSE 1 END")
+    placed = variants.select("chrom", F.col("pos").cast("long").alias("pos")).join(F.broadcast(grid), "chrom").withColumn("_step", step)
+    first, last = F.expr("greatest(0, (pos - _origin - _span + _step) div _step)"), F.expr("least(_k - 1, (pos - _origin) div _step)")
+    within = placed.where("pos >= _origin").select("chrom", first.alias("_a"), last.alias("_b")).where("_a <= _b")
+    counts = within.select("chrom", F.explode(F.sequence((F.col("_a") + 1).cast("long"), (F.col("_b") + 1).cast("long"))).alias("chunk_id")).groupBy("chrom", "chunk_id").agg(F.count("*").alias("n_variants"))
+    return chunks.join(counts, ["chrom", "chunk_id"]).select("chrom", "chunk_id", "start", "end", "n_variants")
 
 
 def window_pairs(variants: DataFrame, window: int, carry: list[str]) -> DataFrame:
     """Pairs of variants of a chromosome, A before B (by place), at most window apart. An equi-join on
-    bins as wide as the window: B is sent to its bin and the next one, A only to its own, so each
-    pair meets once and a task holds two windows of variants."""
-    binned = variants.withColumn("_bin", F.expr(f"pos div {int(window) + 1}"))
-    # Each pair within the window lies in one bin or two neighbouring ones.
-    a = binned.select("chrom", F.col("_bin").alias("bin"), *(F.col(c).alias(f"{c}_a") for c in ("idx", "pos", "id", *carry)))
-    b = binned.select("chrom", F.explode(F.array(F.col("_bin") - 1, F.col("_bin"), F.col("_bin") + 1)).alias("bin"), *(F.col(c).alias(f"{c}_b") for c in ("idx", "pos", "id", *carry)))
-    return a.join(b, ["chrom", "bin"]).where((F.col("idx_a") < F.col("idx_b")) & (F.abs(F.col("pos_b") - F.col("pos_a")) <= window)).drop("bin")
+    bins as wide as the window: of a pair, the variant that lies before meets the other in its own bin
+    or in the next one, to which it is sent as well, so each pair meets once and a task holds two
+    windows of variants."""
+    wide = int(window) + 1
+    v = variants.select("chrom", F.struct(F.col("pos").cast("long").alias("pos"), "idx").alias("at"), F.struct("idx", "pos", "id", *carry).alias("v"), F.expr(f"pos div {wide}").alias("bin"))
+    left = v.select("chrom", F.col("at").alias("at_x"), F.col("v").alias("x"), F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    right = v.select("chrom", F.col("at").alias("at_y"), F.col("v").alias("y"), "bin")
+    met = left.join(right, ["chrom", "bin"]).where((F.col("at_x") < F.col("at_y")) & (F.col("at_y.pos") - F.col("at_x.pos") <= window))
+    ahead = F.col("x.idx") < F.col("y.idx")
+    first, second = F.when(ahead, F.col("x")).otherwise(F.col("y")), F.when(ahead, F.col("y")).otherwise(F.col("x"))
+    names = ["idx", "pos", "id", *carry]
+    pairs = met.select("chrom", first.alias("a"), second.alias("b"))
+    return pairs.select("chrom", *(F.col(f"a.{c}").alias(f"{c}_a") for c in names), *(F.col(f"b.{c}").alias(f"{c}_b") for c in names))
 
 
 def _dot(x: str, y: str) -> Column:

@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import has_number, id_number, id_template
+from ..functions import ids as names
 
 
 def build_index(variants: DataFrame) -> DataFrame:
-    """variants with rsnum and rslev (number and template of the identifier). An identifier without a
+    """variants with id_number and id_template (number and template of the identifier). An identifier without a
     digit, or two with the same number and template, is an error."""
-    bad = variants.where(~has_number(F.col("id"))).limit(1).collect()
+    bad = variants.where(~names.has_number(F.col("id"))).limit(1).collect()
     if bad:
         raise ValueError(f"identifier {bad[0]['id']!r} has no digit")
-    index = variants.withColumns({"rsnum": id_number(F.col("id")), "rslev": id_template(F.col("id"))})
+    index = variants.withColumns({"id_number": names.id_number(F.col("id")), "id_template": names.id_template(F.col("id"))})
     twice = repeated_keys(index).limit(1).collect()
     if twice:
-        raise ValueError(f"identifiers are not unique: {twice[0]['rslev']} with number {twice[0]['rsnum']}")
+        raise ValueError(f"identifiers are not unique: {twice[0]['id_template']} with number {twice[0]['id_number']}")
     return index
 
 
 def repeated_keys(index: DataFrame) -> DataFrame:
-    return index.groupBy("rsnum", "rslev").agg(F.count("*").alias("n")).where("n > 1")
+    return index.groupBy("id_number", "id_template").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def save_index(index: DataFrame, path: str) -> None:
@@ -37,14 +37,14 @@ def request(spark: SparkSession, ids: list[str]) -> DataFrame:
 
 def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (ord, id) joined to the index by number and template; every match of a repeat stays."""
-    keys = wanted.withColumns({"rsnum": id_number(F.col("id")), "rslev": id_template(F.col("id"))})
-    return keys.join(index.select("idx", "chrom", "pos", "rsnum", "rslev"), ["rsnum", "rslev"]).select("ord", "id", "idx", "chrom", "pos")
+    keys = wanted.withColumns({"id_number": names.id_number(F.col("id")), "id_template": names.id_template(F.col("id"))})
+    return keys.join(index.select("idx", "chrom", "pos", "id_number", "id_template"), ["id_number", "id_template"]).select("ord", "id", "idx", "chrom", "pos")
 
 
 def missing(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """Requested identifiers that the index lacks."""
-    keys = wanted.withColumns({"rsnum": id_number(F.col("id")), "rslev": id_template(F.col("id"))})
-    return keys.join(index, ["rsnum", "rslev"], "left_anti").select("id").distinct()
+    keys = wanted.withColumns({"id_number": names.id_number(F.col("id")), "id_template": names.id_template(F.col("id"))})
+    return keys.join(index, ["id_number", "id_template"], "left_anti").select("id").distinct()
 
 
 def by_place(index: DataFrame, places: DataFrame) -> DataFrame:

@@ -20,8 +20,12 @@ def sized(variants: DataFrame, n: int) -> DataFrame:
 
 
 def duplicate_ids(variants: DataFrame) -> DataFrame:
-    """(id, n, lines): identifiers that occur more than once, with their 1-based places."""
-    return variants.groupBy("id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.col("idx") + 1)).alias("lines")).where("n > 1")
+    """(id, n, lines): identifiers that occur more than once, with their first two 1-based places (one
+    that a large part of the list has, such as a dot, never has its places gathered)."""
+    counts = variants.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    first = variants.select("id", "idx", F.row_number().over(W.partitionBy("id").orderBy("idx")).alias("_k")).where("_k <= 2")
+    places = first.groupBy("id").agg(F.sort_array(F.collect_list(F.col("idx") + 1)).alias("lines"))
+    return counts.join(places, "id")
 
 
 def require_unique_ids(variants: DataFrame) -> DataFrame:
@@ -45,12 +49,12 @@ def min_filter(cells: DataFrame, min_abs: float, column: str) -> DataFrame:
     return cells.where(~(F.abs(F.col(column)) < F.lit(min_abs)))
 
 
-def index_pairs(pairs: DataFrame, variants: DataFrame, n: int) -> DataFrame:
+def index_pairs(pairs: DataFrame, variants: DataFrame, n: int, carry: list[str] | None = None) -> DataFrame:
     """(col, row, statistics): identifiers to places, A to the column and B to the row."""
     ids = variants.select("id", "idx")
     a, b = ids.toDF("ID_A", "col"), ids.toDF("ID_B", "row")
     stats = in_order(pairs.columns)
-    return pairs.join(sized(a, n), "ID_A").join(sized(b, n), "ID_B").select("col", "row", *(F.col(s).cast("float").alias(s) for s in stats))
+    return pairs.join(sized(a, n), "ID_A").join(sized(b, n), "ID_B").select("col", "row", *(carry or []), *(F.col(s).cast("float").alias(s) for s in stats))
 
 
 def check_pair_order(pairs: DataFrame, line: str) -> None:
@@ -79,7 +83,10 @@ def diagonal(variants: DataFrame, stats: list[str]) -> DataFrame:
 def from_pairs(pairs: DataFrame, variants: DataFrame, bits: int = 8, min_abs: float = 0.01, min_col: str = "PHASED_R", columns: list[str] | None = None, layout: str = "full", strict: bool = False, check: bool = True) -> LDMatrix:
     """Matrix of a pair table: identifiers joined to places, rows under the minimum dropped, both
     triangles and the diagonal filled in, values quantised. ``columns`` picks statistics (all if not
-    given). Pairs in any order are taken; strict asks for the order that ``check_pair_order`` tells."""
+    given). Pairs in any order are taken; strict asks for the order that ``check_pair_order`` tells, by
+    the column ``line`` that ``read_pairs`` numbers on request."""
+    if strict and "line" not in pairs.columns:
+        raise ValueError("the order can only be checked on pairs that were read with line='line'")
     check_stat(min_col)
     n = variants.count()
     if check:
@@ -89,11 +96,9 @@ def from_pairs(pairs: DataFrame, variants: DataFrame, bits: int = 8, min_abs: fl
             raise ValueError(f"variant {lost[0]['id']} is not in the variant list")
     kept = min_filter(pairs, min_abs, min_col)
     stats = in_order(columns if columns is not None else pairs.columns)
-    placed = index_pairs(kept, variants, n)
     if strict:
-        from ..sources.text import numbered
-
-        check_pair_order(numbered(placed, "line"), "line")
+        check_pair_order(index_pairs(kept, variants, n, ["line"]), "line")
+    placed = index_pairs(kept, variants, n)
     placed = placed.select(F.least("col", "row").alias("col"), F.greatest("col", "row").alias("row"), *stats)
     cells = placed if layout == "upper" else symmetrise(placed)
     entries = cells.unionByName(diagonal(variants, stats))

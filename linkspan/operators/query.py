@@ -14,13 +14,31 @@ from ..schema import check_available
 from . import index as ix
 from .matrix import LDMatrix
 
-#: Requested places up to which a request is broadcast and its places become scan predicates.
+#: Requests (16 bytes each) up to which they are broadcast to the entries, and places up to which a
+#: list of them is a scan predicate.
 BROADCAST_REQUEST, PREDICATE_PLACES = 200_000, 1000
 
 
+def asked_entries(requests: DataFrame, matrix: LDMatrix) -> DataFrame:
+    """Entries that requests (row, col) can meet. The request's size is looked up first; up to
+    BROADCAST_REQUEST it goes to the scan as a predicate on columns and rows and as a broadcast
+    semi-join, so that only entries that are asked for are ever shuffled."""
+    keys = requests.select("row", "col")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("row", "col") for f in (F.min, F.max)]
+    size = keys.agg(F.count("*").alias("n"), *ends).first()
+    entries = matrix.both_triangles()
+    if size["n"] > BROADCAST_REQUEST or not size["n"]:
+        return entries
+    if size["n"] <= PREDICATE_PLACES:
+        near = _predicate("col", sorted({r["col"] for r in keys.select("col").distinct().collect()})) & F.col("row").between(size["min_row"], size["max_row"])
+    else:
+        near = F.col("col").between(size["min_col"], size["max_col"]) & F.col("row").between(size["min_row"], size["max_row"])
+    return entries.where(near).join(F.broadcast(keys.distinct()), ["row", "col"], "left_semi")
+
+
 def read(requests: DataFrame, matrix: LDMatrix, types: list[str], entries: DataFrame | None = None) -> DataFrame:
     """requests (row, col, ...) with a double column for each statistic."""
-    source = matrix.both_triangles() if entries is None else entries
+    source = asked_entries(requests, matrix) if entries is None else entries
     values = source.select("row", "col", *types, F.lit(True).alias("_hit"))
     joined = requests.join(values, ["row", "col"], "left")
     return joined.select(*requests.columns, *(F.when(F.col("_hit"), F.col(s).cast("double")).otherwise(F.lit(0.0)).alias(s) for s in types))
@@ -95,20 +113,21 @@ def _kind(values: list) -> str:
 
 
 def check_inputs(rows: list, cols: list, pairwise: bool) -> str:
-    """Kind of the input; errors for empty, mixed, repeated, non-positive and unequal input."""
-    if not rows or not cols:
-        raise ValueError("rows and columns must be non-empty")
-    kind = _kind(rows)
-    if kind != _kind(cols):
-        raise TypeError("rows and columns must be of the same type")
-    if pairwise:
-        if len(rows) != len(cols):
-            raise ValueError("pairwise queries need rows and columns of equal length")
-    elif len(set(rows)) < len(rows) or len(set(cols)) < len(cols):
-        raise ValueError("rows and columns must not have duplicate entries")
-    if kind == "places" and min(*rows, *cols) < 1:
-        raise ValueError("places must be positive integers")
-    return kind
+    """Kind of the two lists (ids or places). Both must have members of one kind; places count from 1;
+    pairs need as many rows as columns, a grid has each row and each column once."""
+    kinds = {_kind(axis) if axis else None for axis in (rows, cols)}
+    repeats = any(len(set(axis)) < len(axis) for axis in (rows, cols))
+    rules = (
+        (None in kinds, ValueError, "rows and columns must be non-empty"),
+        (len(kinds) > 1, TypeError, "rows and columns must be of the same type"),
+        (pairwise and len(rows) != len(cols), ValueError, "pairwise queries need rows and columns of equal length"),
+        (not pairwise and repeats, ValueError, "rows and columns must not have duplicate entries"),
+        (kinds == {"places"} and min([*rows, *cols]) < 1, ValueError, "places must be positive integers"),
+    )
+    for broken, error, what in rules:
+        if broken:
+            raise error(what)
+    return kinds.pop()
 
 
 def resolve(matrix: LDMatrix, names: list[str]) -> list[int]:

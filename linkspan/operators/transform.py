@@ -80,30 +80,30 @@ def concat(matrices: list[LDMatrix], overlapping: bool = False) -> LDMatrix:
     check_boundaries(bounds)
     entries = concat_entries(union_all(m.entries.withColumn("chunk", F.lit(i).cast("long")) for i, m in enumerate(matrices)), first.entries.sparkSession.createDataFrame(bounds, BOUNDS))
     variants = concat_variants(tagged, first.entries.sparkSession.createDataFrame(bounds, BOUNDS))
-    return first.with_entries(entries, variants=variants, n=bounds[-1]["global_start"] + bounds[-1]["n_variants"])
+    return first.with_entries(entries, variants=variants, n=bounds[-1]["place_start"] + bounds[-1]["n_variants"])
 
 
-BOUNDS = "chunk long, n_variants long, first_overlap_end long, second_overlap_start long, global_start long, global_end long, matched boolean"
+BOUNDS = "chunk long, n_variants long, shared_before long, shared_from long, place_start long, place_end long, matched boolean"
 
 
 def boundaries(tagged: DataFrame) -> DataFrame:
-    """Per chunk of variants (chunk, idx, id): n_variants; first_overlap_end (variants shared with the
-    chunk before), second_overlap_start (first variant shared with the next), global_start and
-    global_end (exclusive) of the chunk, matched (the shared variants agree one by one)."""
+    """Per chunk of variants (chunk, idx, id): n_variants; shared_before (variants shared with the
+    chunk before), shared_from (first variant shared with the next), place_start and
+    place_end (exclusive) of the chunk, matched (the shared variants agree one by one)."""
     sizes = tagged.groupBy("chunk").agg(F.count("*").alias("n_variants"))
     # The first variant of the next chunk is the pivot.
     pivots = tagged.where("idx = 0").select((F.col("chunk") - 1).alias("chunk"), F.col("id"))
     at = tagged.join(F.broadcast(pivots), ["chunk", "id"]).groupBy("chunk").agg(F.min("idx").alias("pivot"))
-    ends = sizes.join(at, "chunk", "left").select("chunk", "n_variants", F.coalesce("pivot", "n_variants").alias("second_overlap_start"))
+    ends = sizes.join(at, "chunk", "left").select("chunk", "n_variants", F.coalesce("pivot", "n_variants").alias("shared_from"))
     w = W.orderBy("chunk")  # a row for each chunk
-    overlap = F.col("n_variants") - F.col("second_overlap_start")
-    own = ends.withColumn("first_overlap_end", F.coalesce(F.lag(overlap).over(w), F.lit(0)))
-    own = own.withColumn("global_start", F.coalesce(F.sum(F.col("n_variants") - overlap).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    overlap = F.col("n_variants") - F.col("shared_from")
+    own = ends.withColumn("shared_before", F.coalesce(F.lag(overlap).over(w), F.lit(0)))
+    own = own.withColumn("place_start", F.coalesce(F.sum(F.col("n_variants") - overlap).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     # All shared variants must agree: place in the chunk less the pivot is the place in the next.
-    left = tagged.join(F.broadcast(ends.select("chunk", "second_overlap_start")), "chunk").where("idx >= second_overlap_start").select((F.col("chunk") + 1).alias("chunk"), (F.col("idx") - F.col("second_overlap_start")).alias("idx"), F.col("id").alias("left_id"))
+    left = tagged.join(F.broadcast(ends.select("chunk", "shared_from")), "chunk").where("idx >= shared_from").select((F.col("chunk") + 1).alias("chunk"), (F.col("idx") - F.col("shared_from")).alias("idx"), F.col("id").alias("left_id"))
     agree = left.join(tagged, ["chunk", "idx"], "left").groupBy("chunk").agg(F.min(F.coalesce(F.col("left_id") == F.col("id"), F.lit(False))).alias("agrees")).select((F.col("chunk") - 1).alias("chunk"), "agrees")
     return own.join(agree, "chunk", "left").select(
-        "chunk", "n_variants", "first_overlap_end", "second_overlap_start", "global_start", (F.col("global_start") + F.col("n_variants")).alias("global_end"), F.coalesce("agrees", F.lit(True)).alias("matched")
+        "chunk", "n_variants", "shared_before", "shared_from", "place_start", (F.col("place_start") + F.col("n_variants")).alias("place_end"), F.coalesce("agrees", F.lit(True)).alias("matched")
     )
 
 
@@ -111,21 +111,21 @@ def check_boundaries(bounds: list[dict]) -> None:
     for b in bounds:
         if not b["matched"]:
             raise ValueError(f"chunks {b['chunk']} and {b['chunk'] + 1} overlap but their variants differ")
-        if b["first_overlap_end"] > b["second_overlap_start"]:
+        if b["shared_before"] > b["shared_from"]:
             raise ValueError(f"chunk {b['chunk']} overlaps chunks that are not its neighbours")
 
 
 def concat_entries(tagged: DataFrame, bounds: DataFrame) -> DataFrame:
     """Entries (chunk, col, row, ...) at their global places, each pair from its owner: rows up to the
     column from the earlier chunk and rows past it from the later one where columns are shared."""
-    b = F.broadcast(bounds.select("chunk", "first_overlap_end", "second_overlap_start", "global_start"))
-    shared_before, shared_after = F.col("col") < F.col("first_overlap_end"), F.col("col") >= F.col("second_overlap_start")
-    owner = (~shared_before | (F.col("row") > F.col("col"))) & (~shared_after | (F.col("row") <= F.col("col")))
-    return tagged.join(b, "chunk").where(owner).select((F.col("col") + F.col("global_start")).alias("col"), (F.col("row") + F.col("global_start")).alias("row"), *in_order(tagged.columns))
+    b = F.broadcast(bounds.select("chunk", "shared_before", "shared_from", "place_start"))
+    in_previous, in_next = F.col("col") < F.col("shared_before"), F.col("col") >= F.col("shared_from")
+    owner = (~in_previous | (F.col("row") > F.col("col"))) & (~in_next | (F.col("row") <= F.col("col")))
+    return tagged.join(b, "chunk").where(owner).select((F.col("col") + F.col("place_start")).alias("col"), (F.col("row") + F.col("place_start")).alias("row"), *in_order(tagged.columns))
 
 
 def concat_variants(tagged: DataFrame, bounds: DataFrame) -> DataFrame:
     """Variants of all chunks, those shared with the chunk before left out, at their global places."""
-    b = F.broadcast(bounds.select("chunk", "first_overlap_end", "global_start"))
+    b = F.broadcast(bounds.select("chunk", "shared_before", "place_start"))
     columns = [c for c in tagged.columns if c not in ("chunk", "idx")]
-    return tagged.join(b, "chunk").where("idx >= first_overlap_end").select((F.col("idx") + F.col("global_start")).alias("idx"), *columns)
+    return tagged.join(b, "chunk").where("idx >= shared_before").select((F.col("idx") + F.col("place_start")).alias("idx"), *columns)

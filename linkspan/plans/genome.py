@@ -16,6 +16,10 @@ from ..operators.matrix import LDMatrix
 from ..schema import check_bits, check_stat
 
 
+#: Positions of one chromosome that are ranked together; a genome has some 30,000 such stretches.
+PLACE_STRETCH = 100_000
+
+
 def check_parameters(vcf: str | None = None, pfile: str | None = None, bits: int = 8, min_col: str = "PHASED_R", window_kb: int = 1000, r2: float = 0.01) -> None:
     if (vcf is None) == (pfile is None):
         raise ValueError("give exactly one of the VCF and the pfile template")
@@ -35,13 +39,17 @@ def select_variants(variants: DataFrame, extract: DataFrame | None = None, exclu
 
 
 def place_variants(variants: DataFrame) -> DataFrame:
-    """variants with places in the order of chromosome and position, ranked per chromosome."""
+    """variants with places in the order of chromosome and position: ranks within stretches of
+    PLACE_STRETCH positions plus the counts of the stretches before, so no task holds a chromosome."""
     from pyspark.sql import Window as W
 
-    ranked = variants.withColumn("_r", F.row_number().over(W.partitionBy("chrom").orderBy("pos", "id")) - 1)
-    sizes = variants.groupBy("chrom").count()
-    before = sizes.select("chrom", F.coalesce(F.sum("count").over(W.orderBy(chrom_rank(F.col("chrom"))).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return ranked.join(F.broadcast(before), "chrom").withColumn("idx", (F.col("_before") + F.col("_r")).cast("long")).drop("_r", "_before")
+    stretch = F.expr(f"pos div {PLACE_STRETCH}")
+    cut = variants.withColumn("_s", stretch)
+    ranked = cut.withColumn("_r", F.row_number().over(W.partitionBy("chrom", "_s").orderBy("pos", "id")) - 1)
+    sizes = cut.groupBy("chrom", "_s").count()
+    earlier = W.orderBy(chrom_rank(F.col("chrom")), "chrom", "_s").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select("chrom", "_s", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
+    return ranked.join(F.broadcast(before), ["chrom", "_s"]).withColumn("idx", (F.col("_before") + F.col("_r")).cast("long")).drop("_r", "_s", "_before")
 
 
 def pair_table(variants: DataFrame, window: int, r2: float, stat: str = "UNPHASED_R2") -> DataFrame:

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from . import fixtures
 from .functions import codec, ids
 from .operators import chunks, export, index, ingest, metrics, query, transform
-from .operators.matrix import LDMatrix, column_pointers, delta_decode, delta_encode, quantised
-from .sources.text import dense_index, numbered
+from .operators.matrix import LDMatrix, column_pointers, delta_decode, delta_encode, open_matrix, quantised, read_meta, save
+from .plans import genome
+from .session import fresh_path
+from .sources import text
+from .sources.text import dense_index
 
 STATS = ("PHASED_R", "UNPHASED_R", "D", "DPRIME")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,12 +101,12 @@ def _forms(spark: SparkSession, d: str) -> DataFrame:
 
 @_register(
     "id_parse_join",
-    _VARIANTS + ", " + _FORMS + r""" SELECT idx::BIGINT AS idx, id, CASE WHEN regexp_full_match(id, '\d+') THEN id::BIGINT ELSE regexp_extract(id, '^(.*\D)(\d+)(\D*)$', 2)::BIGINT END AS rsnum,
-    CASE WHEN regexp_full_match(id, '\d+') THEN id ELSE regexp_replace(id, '^(.*\D)(\d+)(\D*)$', '\1%\3') END AS rslev, id AS rejoined FROM forms""",
+    _VARIANTS + ", " + _FORMS + r""" SELECT idx::BIGINT AS idx, id, CASE WHEN regexp_full_match(id, '[0-9]+') THEN id::BIGINT ELSE regexp_extract(id, '[^0-9]([0-9]+)[^0-9]*$', 1)::BIGINT END AS id_number,
+    CASE WHEN regexp_full_match(id, '[0-9]+') THEN id ELSE regexp_replace(id, '([^0-9])[0-9]+([^0-9]*)$', '\1%\2') END AS id_template, id AS rejoined FROM forms""",
 )
 def id_parse_join(spark: SparkSession, d: str) -> DataFrame:
-    f = _forms(spark, d).withColumns({"rsnum": ids.id_number(F.col("id")), "rslev": ids.id_template(F.col("id"))})
-    return f.withColumn("rejoined", ids.join_id(F.col("rsnum"), F.col("rslev")))
+    f = _forms(spark, d).withColumns({"id_number": ids.id_number(F.col("id")), "id_template": ids.id_template(F.col("id"))})
+    return f.withColumn("rejoined", ids.join_id(F.col("id_number"), F.col("id_template")))
 
 
 def _wanted(spark: SparkSession, d: str) -> DataFrame:
@@ -230,17 +233,14 @@ def roundtrip_error(spark: SparkSession, d: str) -> DataFrame:
     return metrics.roundtrip_metrics(p, "x", "y").select("nonzero_original", "nonzero_decoded", "max_diff", F.round("corr_all", 9).alias("corr_all"))
 
 
-#: A square matrix: UNPHASED_R of all cells of the first 120 variants; every 37th variant is bad.
+#: A square matrix: UNPHASED_R of all cells; every 37th variant is bad.
 _SQUARE = _PAIRS + """, sq AS (SELECT x.idx AS col, y.idx AS row, CASE WHEN x.idx % 37 = 0 OR y.idx % 37 = 0 THEN 'nan'::FLOAT WHEN x.idx = y.idx THEN 1.0::FLOAT ELSE coalesce(v.UNPHASED_R, 0.0::FLOAT) END AS r
-  FROM vars x JOIN vars y ON x.idx // 120 = y.idx // 120 AND x.idx < 120 LEFT JOIN vcor v ON v.a = least(x.idx, y.idx) AND v.b = greatest(x.idx, y.idx))"""
+  FROM vars x CROSS JOIN vars y LEFT JOIN vcor v ON v.a = least(x.idx, y.idx) AND v.b = greatest(x.idx, y.idx))"""
 
 
-#: The same of all variants.
-_SQUARE_ALL = _SQUARE.replace("x.idx // 120 = y.idx // 120 AND x.idx < 120", "TRUE")
-
-
-def _square(spark: SparkSession, d: str, n: int = 120) -> DataFrame:
-    v = fixtures.variants(spark, d).where(F.col("idx") < n).select("idx")
+def _square(spark: SparkSession, d: str) -> DataFrame:
+    v = fixtures.variants(spark, d).select("idx")
+    n = v.count()
     cells = v.select(F.col("idx").alias("col"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias("row"))
     p = fixtures.pairs(spark, d).select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("UNPHASED_R").alias("_r"))
     joined = cells.join(p, (F.least("col", "row") == F.col("_a")) & (F.greatest("col", "row") == F.col("_b")), "left")
@@ -265,29 +265,10 @@ def square_min_filter(spark: SparkSession, d: str) -> DataFrame:
   SELECT x.new::BIGINT AS col, y.new::BIGINT AS row, ({_d(_q('r', 8), 8)})::DOUBLE AS UNPHASED_R FROM sq JOIN k x ON x.idx = col JOIN k y ON y.idx = row WHERE NOT abs(r) < 0.15::DOUBLE""",
 )
 def ingest_square(spark: SparkSession, d: str) -> DataFrame:
-    m = ingest.from_square(_square(spark, d), fixtures.variants(spark, d).where("idx < 120"), 8, 0.15, "UNPHASED_R")
+    m = ingest.from_square(_square(spark, d), fixtures.variants(spark, d), 8, 0.15, "UNPHASED_R")
     return _shown(m.entries)
 
 
-_BAD_SQL, _FILTER_SQL, _INGEST_SQL = (ORACLES[q].removeprefix("WITH " + _SQUARE) for q in ("square_bad_variants", "square_min_filter", "ingest_square"))
-
-
-@_register("square_bad_variants_all", _SQUARE_ALL + _BAD_SQL)
-def square_bad_variants_all(spark: SparkSession, d: str) -> DataFrame:
-    return dense_index(ingest.good_variants(_square(spark, d, fixtures.variants(spark, d).count()), "UNPHASED_R"), "idx", "new")
-
-
-@_register("square_min_filter_all", _SQUARE_ALL + _FILTER_SQL)
-def square_min_filter_all(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(ingest.min_filter(_square(spark, d, fixtures.variants(spark, d).count()), 0.15, "UNPHASED_R"))
-
-
-@_register("ingest_square_all", _SQUARE_ALL + _INGEST_SQL)
-def ingest_square_all(spark: SparkSession, d: str) -> DataFrame:
-    v = fixtures.variants(spark, d)
-    return _shown(ingest.from_square(_square(spark, d, v.count()), v, 8, 0.15, "UNPHASED_R").entries)
-
-
 # --- reading ---
 
 _GET = "CASE WHEN m.col IS NULL THEN 0.0 WHEN isnan(m.{s}) THEN NULL ELSE m.{s}::DOUBLE END AS {s}"
@@ -339,17 +320,8 @@ def submatrix_by_id(spark: SparkSession, d: str) -> DataFrame:
     return _shown(query.fetch(matrix(spark, d), name(_SOME), name(_OTHER), "UNPHASED_R"))
 
 
-def _asked(spark: SparkSession, d: str) -> DataFrame:
-    return fixtures.variants(spark, d).select(F.col("idx").alias("ord"), ((F.col("idx") * 7) % 100).alias("row"), ((F.col("idx") * 3) % 100).alias("col"))
-
-
-@_register("pairwise_multi", _MATRIX + f" SELECT r.ord::BIGINT AS ord, r.row::BIGINT AS row, r.col::BIGINT AS col, {_get(STATS)} FROM (SELECT idx AS ord, idx * 7 % 100 AS row, idx * 3 % 100 AS col FROM vars) r LEFT JOIN m ON m.col = r.col AND m.row = r.row")
+@_register("pairwise_multi", _MATRIX + f" SELECT r.ord::BIGINT AS ord, r.row::BIGINT AS row, r.col::BIGINT AS col, {_get(STATS)} FROM (SELECT idx AS ord, idx AS row, least(idx + idx % 60, (SELECT count(*) FROM vars) - 1) AS col FROM vars) r LEFT JOIN m ON m.col = r.col AND m.row = r.row")
 def pairwise_multi(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(query.pairwise_at(matrix(spark, d), _asked(spark, d), list(STATS)))
-
-
-@_register("pairwise_multi_all", _MATRIX + f" SELECT r.ord::BIGINT AS ord, r.row::BIGINT AS row, r.col::BIGINT AS col, {_get(STATS)} FROM (SELECT idx AS ord, idx AS row, least(idx + idx % 60, (SELECT count(*) FROM vars) - 1) AS col FROM vars) r LEFT JOIN m ON m.col = r.col AND m.row = r.row")
-def pairwise_multi_all(spark: SparkSession, d: str) -> DataFrame:
     m = matrix(spark, d)
     asked = m.variants.select(F.col("idx").alias("ord"), F.col("idx").alias("row"), F.least(F.col("idx") + F.col("idx") % 60, F.lit(m.n - 1)).alias("col"))
     return _shown(query.pairwise_at(m, asked, list(STATS)))
@@ -492,15 +464,6 @@ def concat_block_diagonal(spark: SparkSession, d: str) -> DataFrame:
     return _shown(transform.concat(_by_chrom(spark, d)).entries)
 
 
-#: Three chunks of the first 240 variants' places, each sharing 60 or more with the next.
-_CUTS = ((0, 119), (60, 199), (135, 239))
-
-
-def _overlapping(spark: SparkSession, d: str) -> list[LDMatrix]:
-    m = matrix(spark, d)
-    return [transform.filter_matrix(m, between=c) for c in _CUTS]
-
-
 def _tagged(parts: list[DataFrame]) -> DataFrame:
     out = None
     for i, part in enumerate(parts):
@@ -509,57 +472,35 @@ def _tagged(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-_CUT_SQL = " UNION ALL ".join(f"SELECT {i} AS chunk, {a} AS a, {b} AS b" for i, (a, b) in enumerate(_CUTS))
-
-
-@_register("overlap_boundaries", f"c AS ({_CUT_SQL}) SELECT chunk::BIGINT AS chunk, (b - a + 1)::BIGINT AS n_variants, coalesce(lag(b) OVER w - a + 1, 0)::BIGINT AS first_overlap_end, coalesce(lead(a) OVER w, b + 1)::BIGINT - a AS second_overlap_start, a::BIGINT AS global_start, (b + 1)::BIGINT AS global_end, TRUE AS matched FROM c WINDOW w AS (ORDER BY chunk)")
-def overlap_boundaries(spark: SparkSession, d: str) -> DataFrame:
-    v = fixtures.variants(spark, d)
-    return transform.boundaries(_tagged([v.where(F.col("idx").between(a, b)).withColumn("idx", F.col("idx") - a) for a, b in _CUTS]))
-
-
-@_register("concat_overlap_entries", _MATRIX + f" SELECT col::BIGINT AS col, row::BIGINT AS row, {_show()} FROM m WHERE col < 240 AND row < 240")
-def concat_overlap_entries(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(transform.concat(_overlapping(spark, d), overlapping=True).entries)
-
-
-@_register("concat_variants", _VARIANTS + " SELECT idx::BIGINT AS idx, chrom, pos, id, ref, alt FROM vars WHERE idx < 240")
-def concat_variants(spark: SparkSession, d: str) -> DataFrame:
-    v = fixtures.variants(spark, d)
-    tagged = _tagged([v.where(F.col("idx").between(a, b)).withColumn("idx", F.col("idx") - a) for a, b in _CUTS])
-    return transform.concat_variants(tagged, transform.boundaries(tagged))
-
-
 def _cuts(n: int) -> list[tuple[int, int]]:
     """Chunks of all n places, each sharing half with the next and more than the 60 places of the LD window."""
     step = max(n // 4, 61)
     return [(a, min(a + 2 * step, n) - 1) for a in range(0, max(n - step, 1), step)]
 
 
-_CUTS_ALL = _VARIANTS + """, s AS (SELECT count(*) AS n, greatest(count(*) // 4, 61) AS step FROM vars),
+_CUTS = _VARIANTS + """, s AS (SELECT count(*) AS n, greatest(count(*) // 4, 61) AS step FROM vars),
 c AS (SELECT i // step AS chunk, i AS a, least(i + 2 * step, n) - 1 AS b FROM (SELECT n, step, unnest(range(0, greatest(n - step, 1), step)) AS i FROM s))"""
-_BOUNDARIES_SQL = ORACLES["overlap_boundaries"].removeprefix(f"WITH c AS ({_CUT_SQL})")
 
 
-def _tagged_all(spark: SparkSession, d: str) -> DataFrame:
+def _tagged_chunks(spark: SparkSession, d: str) -> DataFrame:
     v = fixtures.variants(spark, d)
     return _tagged([v.where(F.col("idx").between(a, b)).withColumn("idx", F.col("idx") - a) for a, b in _cuts(v.count())])
 
 
-@_register("overlap_boundaries_all", _CUTS_ALL + _BOUNDARIES_SQL)
-def overlap_boundaries_all(spark: SparkSession, d: str) -> DataFrame:
-    return transform.boundaries(_tagged_all(spark, d))
+@_register("overlap_boundaries", _CUTS + " SELECT chunk::BIGINT AS chunk, (b - a + 1)::BIGINT AS n_variants, coalesce(lag(b) OVER w - a + 1, 0)::BIGINT AS shared_before, coalesce(lead(a) OVER w, b + 1)::BIGINT - a AS shared_from, a::BIGINT AS place_start, (b + 1)::BIGINT AS place_end, TRUE AS matched FROM c WINDOW w AS (ORDER BY chunk)")
+def overlap_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    return transform.boundaries(_tagged_chunks(spark, d))
 
 
-@_register("concat_overlap_entries_all", _MATRIX + f" SELECT col::BIGINT AS col, row::BIGINT AS row, {_show()} FROM m")
-def concat_overlap_entries_all(spark: SparkSession, d: str) -> DataFrame:
+@_register("concat_overlap_entries", _MATRIX + f" SELECT col::BIGINT AS col, row::BIGINT AS row, {_show()} FROM m")
+def concat_overlap_entries(spark: SparkSession, d: str) -> DataFrame:
     m = matrix(spark, d)
     return _shown(transform.concat([transform.filter_matrix(m, between=c) for c in _cuts(m.n)], overlapping=True).entries)
 
 
-@_register("concat_variants_all", _VARIANTS + " SELECT idx::BIGINT AS idx, chrom, pos, id, ref, alt FROM vars")
-def concat_variants_all(spark: SparkSession, d: str) -> DataFrame:
-    tagged = _tagged_all(spark, d)
+@_register("concat_variants", _VARIANTS + " SELECT idx::BIGINT AS idx, chrom, pos, id, ref, alt FROM vars")
+def concat_variants(spark: SparkSession, d: str) -> DataFrame:
+    tagged = _tagged_chunks(spark, d)
     return transform.concat_variants(tagged, transform.boundaries(tagged))
 
 
@@ -587,7 +528,169 @@ def printed_values(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.pairs(spark, d).select("a", "b", export.six_digits(F.col("UNPHASED_R")).alias("text"))
 
 
-@_register("file_order", _VARIANTS + " SELECT count(*)::BIGINT AS n, count(DISTINCT idx)::BIGINT AS n_places, max(idx)::BIGINT AS last FROM vars")
+# --- files and stored matrices ---
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _kept(spark: SparkSession, d: str, name: str, write: Callable[[str], None]) -> str:
+    """Path of what write stores, once for an application and an input."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORED:
+        path = fresh_path(spark)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def _stored(spark: SparkSession, d: str) -> LDMatrix:
+    return open_matrix(spark, _kept(spark, d, "matrix", lambda path: save(matrix(spark, d), path)))
+
+
+def _variant_file(spark: SparkSession, d: str) -> str:
+    return _kept(spark, d, "variants", lambda path: export.write_variants(fixtures.variants(spark, d), path))
+
+
+def _pair_file(spark: SparkSession, d: str) -> str:
+    def write(path: str) -> None:
+        p = fixtures.pairs(spark, d).orderBy("a", "b")
+        export.write_lines(p.select(F.col("ID_A").alias("#ID_A"), "REF_A", "ALT_A", "ID_B", "REF_B", "ALT_B", *STATS), path)
+
+    return _kept(spark, d, "pairs", write)
+
+
+_ROWS = " SELECT idx::BIGINT AS idx, chrom, pos, id, ref, alt FROM vars"
+
+
+@_register("vars_roundtrip", _VARIANTS + _ROWS)
+def vars_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The variant list through its text form, with places by file order."""
+    return text.read_variants(spark, _variant_file(spark, d))
+
+
+@_register("file_order", _VARIANTS + " SELECT idx::BIGINT AS idx, id FROM vars")
 def file_order(spark: SparkSession, d: str) -> DataFrame:
-    v = numbered(fixtures.variants(spark, d).drop("idx").repartition(5, "id"))
-    return v.agg(F.count("*").alias("n"), F.countDistinct("idx").alias("n_places"), F.max("idx").alias("last"))
+    """Places over parts of rising length, which a scan deals to tasks longest first."""
+
+    def write(path: str) -> None:
+        v = fixtures.variants(spark, d)
+        part = F.floor(F.sqrt(F.col("idx") / v.count()) * 7).cast("int")
+        for k in range(7):
+            v.where(part == k).coalesce(1).sortWithinPartitions("idx").select(F.col("id").alias("value")).write.text(f"{path}/part{k + 5}.txt")
+
+    path = _kept(spark, d, "parts", write)
+    return text.read_ids(spark, [f"{path}/part{k}.txt" for k in range(5, 12)])
+
+
+@_register("vars_whitespace_scan", _VARIANTS + _ROWS)
+def vars_whitespace_scan(spark: SparkSession, d: str) -> DataFrame:
+    def write(path: str) -> None:
+        export.write_variants(fixtures.variants(spark, d).withColumn("chrom", F.concat(F.lit("  "), "chrom", F.lit("  "))), path)
+
+    return text.read_variants(spark, _kept(spark, d, "spaced", write), whitespace=True)
+
+
+@_register("text_counts", _PAIRS + " SELECT 5::BIGINT AS variant_fields, (SELECT count(*) FROM vars)::BIGINT AS variant_rows, 'PHASED_R,UNPHASED_R,D,DPRIME' AS stats, (SELECT count(*) FROM vcor)::BIGINT AS pair_rows")
+def text_counts(spark: SparkSession, d: str) -> DataFrame:
+    v, p = _variant_file(spark, d), _pair_file(spark, d)
+    row = (text.count_fields(spark, v), text.count_rows(spark, v), ",".join(text.stat_columns(text.header_fields(spark, p))), text.count_rows(spark, p))
+    return spark.createDataFrame([row], "variant_fields long, variant_rows long, stats string, pair_rows long")
+
+
+@_register("read_pair_table", _PAIRS + " SELECT (row_number() OVER (ORDER BY a, b) - 1)::BIGINT AS line, 'rs' || (a + 1000) AS ID_A, 'A' AS REF_A, 'C' AS ALT_A, 'rs' || (b + 1000) AS ID_B, 'A' AS REF_B, 'C' AS ALT_B, " + _show() + " FROM vcor")
+def read_pair_table(spark: SparkSession, d: str) -> DataFrame:
+    """The pair table from text, each pair with its line."""
+    return _shown(text.read_pairs(spark, _pair_file(spark, d), "line"))
+
+
+@_register("ingest_files", _MATRIX + f" SELECT col::BIGINT AS col, row::BIGINT AS row, {_show()} FROM m")
+def ingest_files(spark: SparkSession, d: str) -> DataFrame:
+    """Pair table and variant list from text, checked and in strict order."""
+    pairs = text.read_pairs(spark, _pair_file(spark, d), "line")
+    return _shown(ingest.from_pairs(pairs, text.read_variants(spark, _variant_file(spark, d)), 16, 0.2, "UNPHASED_R", strict=True).entries)
+
+
+@_register("keep_list_file", _VARIANTS + " SELECT (row_number() OVER (ORDER BY idx) - 1)::BIGINT AS idx, chrom, pos, id, ref, alt FROM vars WHERE idx % 5 <> 2")
+def keep_list_file(spark: SparkSession, d: str) -> DataFrame:
+    """A list of places from text, and the variants it keeps as text again."""
+    v = fixtures.variants(spark, d)
+    listed = _kept(spark, d, "keep", lambda path: v.where("idx % 5 <> 2").select(F.col("idx").cast("string").alias("value")).write.text(path))
+    subset = _kept(spark, d, "subset", lambda path: export.write_variants(v, path, text.read_keep(spark, listed)))
+    return text.read_variants(spark, subset)
+
+
+@_register("tabular_file", _MATRIX + " SELECT (row_number() OVER (ORDER BY col, row) - 1)::BIGINT AS line, 'rs' || (col + 1000) AS ID_A, 'A' AS REF_A, 'C' AS ALT_A, 'rs' || (row + 1000) AS ID_B, 'A' AS REF_B, 'C' AS ALT_B, printf('%.6f', UNPHASED_R::DOUBLE)::DOUBLE AS UNPHASED_R FROM m WHERE row > col")
+def tabular_file(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix as a pair table in text, read back; values are printed with six digits."""
+    path = _kept(spark, d, "tabular", lambda path: export.write_tabular(_stored(spark, d), path))
+    back = text.read_pairs(spark, path, "line")
+    return back.select("line", *text.PAIR_COLUMNS, F.round(F.col("UNPHASED_R").cast("double"), 6).alias("UNPHASED_R"))
+
+
+@_register("stored_entries", _MATRIX + f" SELECT col::BIGINT AS col, row::BIGINT AS row, {_show()} FROM m")
+def stored_entries(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(_stored(spark, d).entries)
+
+
+@_register("stored_meta", _MATRIX + " SELECT (SELECT count(*) FROM vars)::BIGINT AS n_rows, (SELECT count(*) FROM vars)::BIGINT AS n_cols, count(*)::BIGINT AS nnz, 16::BIGINT AS bits, 'full' AS layout, '2.1' AS version, 'PHASED_R,UNPHASED_R,D,DPRIME' AS stats FROM m")
+def stored_meta(spark: SparkSession, d: str) -> DataFrame:
+    _stored(spark, d)
+    meta = read_meta(spark, _kept(spark, d, "matrix", lambda path: None))
+    row = (*meta["dim"].values(), meta["nnz"], meta["bits"], meta["format"], meta["version"], ",".join(meta["stats"]))
+    return spark.createDataFrame([row], "n_rows long, n_cols long, nnz long, bits long, layout string, version string, stats string")
+
+
+@_register("stored_column", _MATRIX + f" SELECT v.idx::BIGINT AS row, 10::BIGINT AS col, {_get(STATS)} FROM vars v LEFT JOIN m ON m.col = 10 AND m.row = v.idx")
+def stored_column(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(query.column_at(_stored(spark, d), 10, list(STATS)))
+
+
+@_register("stored_submatrix", _MATRIX + _LIST)
+def stored_submatrix(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(query.submatrix_at(_stored(spark, d), _SOME, _OTHER, ["UNPHASED_R"]))
+
+
+@_register("stored_pairwise", _MATRIX + f" SELECT r.ord::BIGINT AS ord, r.row::BIGINT AS row, r.col::BIGINT AS col, {_get(STATS)} FROM (SELECT idx AS ord, idx AS row, least(idx + idx % 60, (SELECT count(*) FROM vars) - 1) AS col FROM vars) r LEFT JOIN m ON m.col = r.col AND m.row = r.row")
+def stored_pairwise(spark: SparkSession, d: str) -> DataFrame:
+    m = _stored(spark, d)
+    asked = m.variants.select(F.col("idx").alias("ord"), F.col("idx").alias("row"), F.least(F.col("idx") + F.col("idx") % 60, F.lit(m.n - 1)).alias("col"))
+    return _shown(query.pairwise_at(m, asked, list(STATS)))
+
+
+@_register("pairwise_order", _MATRIX + f" SELECT r.place::BIGINT AS place, {_get(('UNPHASED_R',))}, 'rs' || (r.row + 1000) AS var1, 'rs' || (r.col + 1000) AS var2 FROM (SELECT unnest({_PAIR_ROWS}) AS row, unnest({_PAIR_COLS}) AS col, unnest({list(range(len(_PAIR_ROWS)))}) AS place) r LEFT JOIN m ON m.col = r.col AND m.row = r.row")
+def pairwise_order(spark: SparkSession, d: str) -> DataFrame:
+    """A pairwise query's rows with their place in the answer: the order asked for."""
+    got = query.fetch(_stored(spark, d), [f"rs{p + 1000}" for p in _PAIR_ROWS], [f"rs{p + 1000}" for p in _PAIR_COLS], "UNPHASED_R", pairwise=True)
+    rows = [(i, *r) for i, r in enumerate(_shown(got).collect())]  # as many as asked for
+    return spark.createDataFrame(rows, "place long, UNPHASED_R double, var1 string, var2 string")
+
+
+@_register("submatrix_order", _MATRIX + ", s AS (" + _LIST.strip() + ") SELECT (row_number() OVER (ORDER BY row, col) - 1)::BIGINT AS place, row, col, UNPHASED_R FROM s")
+def submatrix_order(spark: SparkSession, d: str) -> DataFrame:
+    """A grid's rows with their place in the answer: by place on both axes, whatever was asked."""
+    name = lambda places: [f"rs{p + 1000}" for p in reversed(places)]
+    rows = [(i, *r) for i, r in enumerate(_shown(query.fetch(_stored(spark, d), name(_SOME), name(_OTHER), "UNPHASED_R")).collect())]  # as many as asked for
+    return spark.createDataFrame(rows, "place long, row long, col long, UNPHASED_R double")
+
+
+@_register("stored_index_region", _VARIANTS + " SELECT idx::BIGINT AS idx, id, pos, CAST(regexp_extract(id, '[0-9]+') AS BIGINT) AS id_number, 'rs%' AS id_template FROM vars WHERE chrom = '21' AND pos BETWEEN 150000 AND 220000")
+def stored_index_region(spark: SparkSession, d: str) -> DataFrame:
+    path = _kept(spark, d, "index", lambda path: index.save_index(index.build_index(fixtures.variants(spark, d)), path))
+    return index.region(spark.read.parquet(path), "21", 150000, 220000).select("idx", "id", "pos", "id_number", "id_template")
+
+
+@_register("stored_filter_range", _MATRIX + f" SELECT (col - 30)::BIGINT AS col, (row - 30)::BIGINT AS row, {_show()} FROM m WHERE col BETWEEN 30 AND 150 AND row BETWEEN 30 AND 150")
+def stored_filter_range(spark: SparkSession, d: str) -> DataFrame:
+    """A range in its text form, of a stored matrix."""
+    return _shown(transform.filter_matrix(_stored(spark, d), between=text.parse_range("30-150")).entries)
+
+
+@_register("path_template", "t AS (SELECT unnest(['20', '21', 'Y']) AS c, unnest([0, 1, 2]) AS place) SELECT place::BIGINT AS place, 'ld/chr' || c || '.vcor' AS path FROM t")
+def path_template(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(text.expand_template("ld/chr{CHR}.vcor", "20, 21,Y"))), "place long, path string")
+
+
+@_register("genome_places", _VARIANTS + " SELECT id, (row_number() OVER (ORDER BY chrom, pos, id) - 1)::BIGINT AS idx FROM vars")
+def genome_places(spark: SparkSession, d: str) -> DataFrame:
+    """Places in the order of chromosomes and positions, of variants in no order."""
+    return genome.place_variants(fixtures.variants(spark, d).drop("idx")).select("id", "idx")

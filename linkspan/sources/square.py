@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import numbered
+from .text import numbered_records
 
 
 def _cells(stat: str):
@@ -24,7 +24,7 @@ def read_square(spark: SparkSession, path: str, n: int, stat: str = "PHASED_R")
     """(col, row, stat) of all n * n cells. Fixed-length records, one a matrix column, are read in
     parallel; only the cut into cells runs in Python, on whole columns."""
     records = spark.createDataFrame(spark.sparkContext.binaryRecords(path, 4 * n).map(lambda r: (bytearray(r),)), "body binary")
-    return numbered(records, "col").mapInArrow(_cells(stat), f"col long, row long, {stat} float")
+    return numbered_records(records, "col").mapInArrow(_cells(stat), f"col long, row long, {stat} float")
 
 
 def cells_of(square: DataFrame, stat: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..functions.ids import natural_key
 from ..schema import STATS, in_order
 
 #: The leading columns of a variant list, and of a pair table.
@@ -16,16 +17,35 @@ VARIANT_COLUMNS = ("CHROM", "POS", "ID", "REF", "ALT")
 PAIR_COLUMNS = ("ID_A", "REF_A", "ALT_A", "ID_B", "REF_B", "ALT_B")
 
 
-def numbered(rows: DataFrame, name: str = "idx") -> DataFrame:
-    """rows with their 0-based place in input order. No task holds all rows: a row's place is its
-    place in its partition plus the rows of the partitions before (a table of partitions)."""
-    place = F.monotonically_increasing_id()
-    marked = rows.withColumn("_place", place)
-    part, within = F.shiftright("_place", 33), F.col("_place") - F.shiftleft(F.shiftright("_place", 33), 33)
+#: What tells the blocks of a file scan apart: task, file, start and length.
+_BLOCK = ("_part", "_file", "_start", "_length")
+
+
+def numbered(lines: DataFrame, name: str = "idx") -> DataFrame:
+    """lines (a file scan, filtered or not, with its hidden ``_metadata``) with their 0-based place in
+    file order: files in natural order of their paths, blocks by their start. A scan deals blocks to
+    tasks by their size, so the order of tasks isn't that of the files; a line's place is its place
+    in its block plus the lines of all blocks before (a table of blocks). The scan runs twice; a
+    block that the second run cuts or deals otherwise than the first is an error."""
+    own = {"_part": F.spark_partition_id(), "_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_length": F.col("_metadata.file_block_length"), "_place": F.monotonically_increasing_id()}
+    marked = lines.select("*", *(c.alias(k) for k, c in own.items()))
+    sizes = marked.groupBy(*_BLOCK).agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    earlier = W.orderBy(natural_key(F.col("_file")), "_file", "_start").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select(*_BLOCK, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    joined = marked.join(F.broadcast(before), list(_BLOCK), "left")
+    moved = F.raise_error(F.lit("the file scan was cut otherwise when its lines were numbered")).cast("long")
+    return joined.withColumn(name, F.coalesce(F.col("_place") + F.col("_shift"), moved)).drop(*_BLOCK, "_place", "_shift")
+
+
+def numbered_records(rows: DataFrame, name: str = "idx") -> DataFrame:
+    """rows of one file of fixed-length records with their 0-based place: there, tasks are in file order."""
+    marked = rows.withColumn("_place", F.monotonically_increasing_id())
+    part = F.shiftright("_place", 33)
     sizes = marked.groupBy(part.alias("_part")).count()
     before = sizes.select("_part", F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    joined = marked.withColumns({"_part": part, "_within": within}).join(F.broadcast(before), "_part")
-    return joined.withColumn(name, (F.col("_before") + F.col("_within")).cast("long")).drop("_place", "_part", "_within", "_before")
+    joined = marked.withColumn("_part", part).join(F.broadcast(before), "_part")
+    within = F.col("_place") - F.shiftleft("_part", 33)
+    return joined.withColumn(name, (F.col("_before") + within).cast("long")).drop("_place", "_part", "_before")
 
 
 def dense_index(rows: DataFrame, order: str, name: str, bucket: int = 1 << 16) -> DataFrame:
@@ -97,14 +117,18 @@ def stat_columns(names: list[str]) -> list[str]:
     return in_order([n.lstrip("#") for n in names])
 
 
-def read_pairs(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Pair table: identifiers, alleles and every statistic of the header as float. Broken lines fail."""
+def read_pairs(spark: SparkSession, path: str | list[str], line: str | None = None) -> DataFrame:
+    """Pair table: identifiers, alleles and every statistic of the header as float. Broken lines fail.
+    line: name of a column for the place of each pair in the file."""
     first = path if isinstance(path, str) else path[0]
     names = header_fields(spark, first)
     known = set(STATS)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     raw = spark.read.csv(path, sep="\t", header=False, comment="#", schema=schema, mode="FAILFAST")
     keys = [F.col(n) for n in names if n in PAIR_COLUMNS]
+    if line is not None:
+        raw = numbered(raw, line)
+        keys.append(F.col(line))
     return raw.select(*keys, *(_number(F.col(s)).alias(s) for s in stat_columns(names) if s in known))
 
 

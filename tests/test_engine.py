@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkspan import cli, fixtures
+from linkspan import cli, fixtures, session
 from linkspan.functions import codec, ids
-from linkspan.operators import export, index, ingest, query, transform
+from linkspan.operators import chunks, export, index, ingest, metrics, query, transform
 from linkspan.operators.matrix import LDMatrix, open_matrix, save
 from linkspan.plans import genome
 from linkspan.schema import MAX_ERROR
@@ -217,3 +217,72 @@ def test_genome_equals_chunks(spark):
     assert whole.n == parts.n == 100 and shown(whole) == shown(parts)
     with pytest.raises(ValueError):
         genome.check_parameters(vcf="a", pfile="b")
+
+
+def test_places_follow_files_whatever_their_length(spark, tmp_path):
+    names = [f"id{i}" for i in range(90)]
+    cuts = [0, 3, 9, 18, 30, 48, 90]
+    for k in range(6):
+        (tmp_path / f"part-{k + 7}.txt").write_text("# note\n" + "".join(f"{x}\n\n" for x in names[cuts[k] : cuts[k + 1]]))
+    assert [r["id"] for r in text.read_ids(spark, str(tmp_path)).orderBy("idx").collect()] == names
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")  # several blocks a file
+        assert [(r["idx"], r["id"]) for r in text.read_ids(spark, str(tmp_path)).orderBy("idx").collect()] == list(enumerate(names))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+def test_own_variant_files_read_back_in_order(spark, tmp_path):
+    rows = [(i, "1", 10 + i, f"rs{i}", "A", "C" * (1 + i // 4 % 50)) for i in range(400)]
+    given = spark.createDataFrame(rows, "idx long, chrom string, pos int, id string, ref string, alt string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        export.write_variants(given, str(tmp_path / "v"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [tuple(r) for r in text.read_variants(spark, str(tmp_path / "v")).orderBy("idx").collect()] == rows
+
+
+def test_strict_order_is_that_of_the_file(spark, files, tmp_path):
+    d, _ = files
+    variants = text.read_variants(spark, str(d / "v.pvar"))
+    pairs = text.read_pairs(spark, str(d / "p.vcor"), "line")
+    assert ingest.from_pairs(pairs, variants, 8, 0.0, "UNPHASED_R", strict=True).entries.count() == N * N
+    lines = (d / "p.vcor").read_text().split("\n")
+    lines[5], lines[40] = lines[40], lines[5]
+    (tmp_path / "w.vcor").write_text("\n".join(lines))
+    wrong = text.read_pairs(spark, str(tmp_path / "w.vcor"), "line")
+    with pytest.raises(ValueError, match="not in order"):
+        ingest.from_pairs(wrong, variants, 8, 0.0, "UNPHASED_R", strict=True)
+    with pytest.raises(ValueError, match="line="):
+        ingest.from_pairs(pairs.drop("line"), variants, 8, 0.0, "UNPHASED_R", strict=True)
+
+
+def test_window_pairs_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, str(rng.integers(1, 3)), int(rng.integers(0, 200)), f"v{i}") for i in range(80)]  # places in no order of positions, equal positions
+    got = chunks.window_pairs(spark.createDataFrame(rows, "idx long, chrom string, pos int, id string"), 17, [])
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and abs(a[2] - b[2]) <= 17)
+    assert sorted((r["idx_a"], r["idx_b"]) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize(("chunk", "overlap"), [(None, None), (50, 13), (20, 0), (1000, 10)])
+def test_variants_of_chunks_by_brute_force(spark, chunk, overlap):
+    rng = np.random.default_rng(4)
+    rows = [(str(rng.integers(1, 3)), int(x)) for x in rng.integers(5, 90, 40)] + [("X", 7), ("1", 400)]
+    variants = spark.createDataFrame(rows, "chrom string, pos int")
+    cut = chunks.genomic_chunks(metrics.chrom_bounds(variants), 15, chunk, overlap)
+    want = sorted((c["chrom"], c["chunk_id"], n) for c in cut.collect() if (n := sum(x == c["chrom"] and c["start"] <= p <= c["end"] for x, p in rows)))
+    assert sorted((r["chrom"], r["chunk_id"], r["n_variants"]) for r in chunks.nonempty_chunks(cut, variants).collect()) == want
+
+
+def test_shared_folder_must_be_given_on_a_cluster(monkeypatch):
+    class Elsewhere:
+        applicationId, master = "app-elsewhere", "spark://somewhere:7077"  # noqa: N815
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.run_folder(type("S", (), {"sparkContext": Elsewhere(), "conf": {}})())

@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from linkspan.queries import ORACLES, QUERIES
+from linkspan.operators import query
+from linkspan.queries import ORACLES, QUERIES, _stored
 
 DATA = "/root/testdata/sf0.001"
 
@@ -32,13 +33,27 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(frame.columns, [tuple(r) for r in frame.collect()]) == rows(columns, found.fetchall())
 
 
-@pytest.mark.parametrize(("name", "column"), [("square_bad_variants", "idx"), ("square_min_filter", "row"), ("ingest_square", "row"), ("pairwise_multi", "row"), ("concat_overlap_entries", "row"), ("concat_variants", "idx"), ("overlap_boundaries", "global_end")])
-def test_whole_table_forms_reach_the_last_variants(spark, duck, name, column):
+@pytest.mark.parametrize(("name", "column"), [("square_bad_variants", "idx"), ("square_min_filter", "row"), ("ingest_square", "row"), ("pairwise_multi", "row"), ("concat_overlap_entries", "row"), ("concat_variants", "idx"), ("overlap_boundaries", "place_end")])
+def test_queries_reach_the_last_variants(spark, duck, name, column):
     n = duck.execute("SELECT count(*) FROM embeddings").fetchone()[0]
-    got = {r[column] for r in QUERIES[name + "_all"](spark, DATA).collect()}
+    got = {r[column] for r in QUERIES[name](spark, DATA).collect()}
     bad = len(range(0, n, 37))  # of a square, every 37th variant
     if name == "overlap_boundaries":
         assert max(got) == n
     else:
         want = {"square_bad_variants": {i for i in range(n) if i % 37}, "ingest_square": set(range(n - bad))}
         assert got == want.get(name, set(range(n)))
+
+
+def test_small_requests_reach_the_scan(spark):
+    """Predicates on columns and rows are pushed down, and no entry is shuffled before it was asked for."""
+    m = _stored(spark, DATA)
+    asked = spark.createDataFrame([(0, 8, 3), (1, 3, 5)], "ord long, row long, col long")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    try:
+        plan = query.pairwise_at(m, asked, ["D"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = next(x for x in plan.split("\n") if "FileScan" in x)
+    assert "In(col, [3,5])" in scan and "GreaterThanOrEqual(row,3)" in scan and "LessThanOrEqual(row,8)" in scan
+    assert scan.split("ReadSchema: ")[1].startswith("struct<col:bigint,row:bigint,D:") and "LeftSemi, BuildRight" in plan

@@ -2,45 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fresh_path
+
 #: White space of every text contract here: [\x20\x09-\x0D].
 WS_CLASS = "[\\x20\\x09-\\x0D]"
 WS_BYTES = b" \t\n\x0b\x0c\r"
 #: Stand-in for a null id where an operator needs an order: below every real id.
 NULL_ID = -(2**63)
-_OWN_DIR: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one of our own only where that is unset (tests)."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="linkspan-"))
-    return _OWN_DIR[0]
-
-
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors,
-    and lets several consumers reuse one computation. checkpoint() would compute the plan twice."""
+    """Write df once to the run's shared folder and read it back: cuts lineage, survives lost executors,
+    and lets several consumers reuse one computation. checkpoint() would compute the plan twice. The
+    folder goes when the application ends, as results read from it until then."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/linkspan-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch, so that very long texts don't meet in one batch."""
+    """Bound the bytes of an Arrow batch, so that very long texts don't meet in one batch. The settings
+    stay with the session: plans are run after this returns, and read them then."""
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
         spark.conf.set(key, value)
 

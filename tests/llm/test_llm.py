@@ -158,26 +158,81 @@ def test_chat_examples_and_round_trip(spark):
     assert back[2]["loss_chars"] == 0 and back[4]["loss_sha256"] == sha("aa") and back[None]["turns_sha256"] == sha("\n\n")
 
 
-def test_pfair_windows_and_lag(spark):
-    shares = {"a": 7, "b": 2, "c": 1, "d": 3}
-    period = sum(shares.values())
-    table = source_mix.edf_period(shares)
-    assert sorted(slot for *_, slot in table) == list(range(period))
-    done = Counter()
-    for s, j, release, deadline, slot in sorted(table, key=lambda x: x[-1]):
-        assert release <= slot < deadline and j == done[s]
+def lags(schedule, weights):
+    """Largest deviation of a source from its target over all prefixes of the slots."""
+    total, at = sum(weights.values()), np.array([list(weights).index(s) for s in schedule])
+    worst = 0
+    for k, w in enumerate(weights.values()):
+        ran = np.cumsum(at == k)
+        # In whole numbers: total * blocks - slots * weight, over the total.
+        worst = max(worst, int(np.abs(total * ran - w * np.arange(1, len(at) + 1)).max()))
+    return worst / total
+
+
+def test_pfair_by_brute_force():
+    """The schedule against one that looks at all sources in every slot."""
+    rng = random.Random(5)
+    for _ in range(60):
+        names = "abcdefg"[: rng.randint(1, 7)]
+        weights, blocks = {s: rng.choice([1, 2, rng.randint(1, 60)]) for s in names}, {s: rng.randint(0, 30) for s in names}
+        left, start, want, first = {s: n for s, n in blocks.items() if n}, 0, [], True
+        while left:
+            total, ran = sum(weights[s] for s in left), dict.fromkeys(left, 0)
+            slot = 0
+            while True:
+                due, s = min((-(-(n + 1) * total // weights[s]), s) for s, n in ran.items() if n * total // weights[s] <= slot)
+                if ran[s] == left[s]:
+                    break
+                assert ran[s] * total // weights[s] <= slot < due
+                want.append((s, blocks[s] - left[s] + ran[s], start + ran[s] * total // weights[s], start + due, start + slot, first))
+                ran[s] += 1
+                slot += 1
+            left = {s: n - ran[s] for s, n in left.items() if n > ran[s]}
+            start, first = start + slot, False
+        assert list(source_mix.pfair(weights, blocks)) == want and len(want) == sum(blocks.values())
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 2, "c": 0.0004}, {"a": 0.1, "b": 0.2, "c": 0.7}, {"a": 1 / 3, "b": 3**0.5, "c": 1e-7}, {"a": 5}])
+def test_a_million_slots_stay_within_a_block_of_the_given_weights(weights):
+    whole = source_mix.whole_weights(weights)
+    assert all(whole[s] / whole["a"] == pytest.approx(w / weights["a"]) for s, w in weights.items())
+    endless = {s: 10**7 for s in weights}
+    slots = [s for (s, *_), _ in zip(source_mix.pfair(whole, endless), range(10**6))]
+    if sum(whole.values()) < 2**40:
+        assert lags(slots, whole) < 1
+    total, done = sum(whole.values()), Counter()
+    for t, s in enumerate(slots, 1):
         done[s] += 1
-        assert all(abs(done[x] - (slot + 1) * shares[x] / period) < 1 for x in shares)
+        if t % 9973 == 0 or t == len(slots):
+            assert all(abs(total * done[x] - t * c) < total for x, c in whole.items())
+
+
+def test_mix_of_documents(spark):
     rows = [(i, f"t{i}", "abcd"[i % 4] if i % 3 else "a") for i in range(700)]
-    got = source_mix.mix_sources(frame(spark, rows), {"a": 4, "b": 1, "c": 1, "d": 2}, block_docs=4, resolution=8).collect()
+    weights = {"a": 4, "b": 1, "c": 1, "d": 2.5}
+    got = source_mix.mix_sources(frame(spark, rows), weights, block_docs=4).collect()
     assert len(got) == 700 and len({(r["slot"], r["offset"]) for r in got}) == 700
-    taken = Counter((r["source"], r["slot"]) for r in got)
-    assert len({slot for _, slot in taken}) == len(taken)  # one block a slot
+    taken = {r["slot"]: r["source"] for r in got}
+    counts = Counter(s for *_, s in rows)
+    assert sorted(taken) == list(range(sum(-(-n // 4) for n in counts.values())))  # every slot, one source each
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
     end = 1 + max(r["slot"] for r in got if r["in_mix"])
-    for t in range(1, end + 1):
-        for s, w in (("a", 4), ("b", 1), ("c", 1), ("d", 2)):
-            assert abs(sum(1 for x, slot in taken if x == s and slot < t) - t * w / 8) < 1
-    assert {s for s, slot in taken if slot < end} == set("abcd") and any(not r["in_mix"] for r in got)
+    assert lags([taken[t] for t in range(end)], {s: int(2 * w) for s, w in weights.items()}) < 1 and any(not r["in_mix"] for r in got)
+    for bad in (0, -1, float("nan")):
+        with pytest.raises(ValueError, match="positive"):
+            source_mix.mix_sources(frame(spark, rows), {"a": bad})
+    small = source_mix.mix_sources(frame(spark, rows), weights, block_docs=4, bucket_rows=3).collect()  # blocks over several buckets
+    assert sorted((r["doc_id"], r["block"], r["offset"], r["slot"]) for r in small) == sorted((r["doc_id"], r["block"], r["offset"], r["slot"]) for r in got)
+
+
+def test_blocks_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "MAX_BLOCKS", 30)
+    rows = [(i, f"t{i}", "ab"[i % 2]) for i in range(200)]
+    got = source_mix.mix_sources(frame(spark, rows), {"a": 1, "b": 1}, block_docs=2).collect()
+    assert len(got) == 200 and max(r["offset"] for r in got) == 7 and {r["slot"] for r in got} == set(range(26))
+    monkeypatch.setattr(source_mix, "MAX_SOURCES", 1)
+    with pytest.raises(ValueError, match="pool"):
+        source_mix.mix_sources(frame(spark, rows))
 
 
 def test_lm_base_score_and_normalisation(spark):

@@ -3,10 +3,16 @@
 The standard library's parser streams start, end and text events; a page's "lines" are its blocks of
 text. Each block gets the ratio of its text to its tags (link text counts for the tags), ratios are
 smoothed with a Gaussian along the page, and blocks over a threshold (a share of the page's standard
-deviation around its mean) form the content clusters. The innermost article or main element that holds
-all clusters, else the deepest element that does, is the content root; all blocks under it are kept, so
-that a short paragraph between long ones isn't lost, and blocks in navigation, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments (by element, role, class or id) never count.
+deviation around its mean) form the content clusters, runs of such blocks. The clusters choose the
+regions: if one article or main element holds all of them, it is the region; else each cluster's
+region is the least element over it that holds several blocks, or the innermost article or main over
+that. All blocks of the regions are kept, so that a short paragraph between long ones isn't lost;
+all others go. What the task excludes by name never counts, whatever its ratio: blocks in navigation,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments (by element,
+role, class or id). A form around most of the page's text is a wrapper, not a form to fill in.
+
+Work is linear in the page, however deep or unclosed its elements: elements are numbered as they
+open, an element's blocks are an interval of numbers, and open elements are found by their tag.
 
 Defined cases: null or empty html gives an empty text; unclosed and stray tags are tolerated;
 character references are decoded; white space in a block becomes one space; blocks are joined by one
@@ -16,6 +22,7 @@ space in page order; nothing is capped; repeated rows give equal rows; other col
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from html.parser import HTMLParser
 
 import numpy as np
@@ -32,7 +39,7 @@ BLOCK = frozenset(
     " header hgroup html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Never main text.
-SKIP = frozenset("aside button canvas dialog fieldset footer form head header iframe input label menu nav noscript object option script search select style svg template textarea title".split())
+SKIP = frozenset("aside button canvas dialog fieldset footer head header iframe input label menu nav noscript object option script search select style svg template textarea title".split())
 SKIP_ROLE = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search toolbar".split())
 #: Words of a class or id that mark what isn't the article.
 SKIP_WORD = frozenset(
@@ -67,35 +74,61 @@ def _unwanted(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Events(HTMLParser):
-    """Collects blocks: (text, tags, link characters, path of open elements)."""
+    """Collects blocks and elements, numbered as they open; number 0 is the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, serial number, unwanted
-        self.serial = 0
-        self.semantic: set[int] = set()  # serial numbers of article and main elements
+        self.stack: list[tuple[str, int, bool]] = []  # tag, number, unwanted
+        self.open: dict[str, list[int]] = {}  # tag -> places in the stack
+        self.open_blocks: list[int] = []  # places of block elements
+        self.parent, self.last = [0], [0]  # by number: the element around it, the last element in it
+        self.semantic: set[int] = set()  # numbers of article and main elements
         self.skipping = 0
         self.in_link = 0
         self.text: list[str] = []
         self.tags = 1
         self.link_chars = 0
-        self.blocks: list[tuple[str, int, int, tuple[int, ...]]] = []
+        #: text, tags, link characters, number of the element, number of the form around it (or 0)
+        self.blocks: list[tuple[str, int, int, int, int]] = []
 
     def end_block(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.blocks.append((text, self.tags, self.link_chars, tuple(e[1] for e in self.stack)))
+                forms = self.open.get("form")
+                self.blocks.append((text, self.tags, self.link_chars, self.stack[-1][1] if self.stack else 0, self.stack[forms[0]][1] if forms else 0))
         self.text, self.tags, self.link_chars = [], 1, 0
 
     def close(self) -> None:
         super().close()
         self.end_block()
+        self.pop_to(0)
+        self.last[0] = len(self.parent) - 1
+
+    def push(self, tag: str, unwanted: bool) -> int:
+        number, at = len(self.parent), len(self.stack)
+        self.parent.append(self.stack[-1][1] if self.stack else 0)
+        self.last.append(number)
+        self.stack.append((tag, number, unwanted))
+        self.open.setdefault(tag, []).append(at)
+        if tag in BLOCK:
+            self.open_blocks.append(at)
+        self.skipping += unwanted
+        return number
 
     def pop_to(self, at: int) -> None:
-        for tag, _, unwanted in self.stack[at:]:
+        newest = len(self.parent) - 1
+        while len(self.stack) > at:
+            tag, number, unwanted = self.stack.pop()
+            self.last[number] = newest
             self.skipping -= unwanted
-        del self.stack[at:]
+            self.open[tag].pop()
+            if tag in BLOCK:
+                self.open_blocks.pop()
+
+    def topmost(self, tags) -> int:
+        """Place of the innermost open element of these tags, or -1."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
 
     def parse_html_declaration(self, i):
         try:
@@ -109,29 +142,22 @@ class Events(HTMLParser):
             self.text.append(" ")
         if tag == "a":
             self.in_link = 1
+        if tag not in IN_HEAD and self.stack and self.stack[-1][0] == "head":
+            self.pop_to(len(self.stack) - 1)
         if tag in VOID:
-            if tag not in IN_HEAD and self.stack and self.stack[-1][0] == "head":
-                self.pop_to(len(self.stack) - 1)
             return
         unwanted = _unwanted(tag, attrs)
-        if self.stack and self.stack[-1][0] == "head" and tag not in IN_HEAD:
-            self.pop_to(len(self.stack) - 1)
         if tag in BLOCK:
             self.end_block()
             if self.stack and self.stack[-1][0] == "p":
                 self.pop_to(len(self.stack) - 1)
-            for at in range(len(self.stack) - 1, -1, -1):
-                if self.stack[at][0] in CLOSES.get(tag, ()):
-                    self.pop_to(at)
-                    break
-                if self.stack[at][0] in LISTS or tag not in CLOSES:
-                    break
+            same = self.topmost(CLOSES.get(tag, ()))
+            if same > self.topmost(LISTS):
+                self.pop_to(same)
         if tag in BLOCK or unwanted:
-            self.serial += 1
+            number = self.push(tag, unwanted)
             if tag in ("article", "main") or ("role", "main") in attrs or ("itemprop", "articleBody") in attrs:
-                self.semantic.add(self.serial)
-            self.stack.append((tag, self.serial, unwanted))
-            self.skipping += unwanted
+                self.semantic.add(number)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -144,12 +170,11 @@ class Events(HTMLParser):
             self.in_link = 0
         if tag in BLOCK:
             self.end_block()
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                self.pop_to(at)
-                return
-            if tag == "p" or tag not in BLOCK and self.stack[at][0] in BLOCK:
-                return
+        at = self.topmost((tag,))
+        # A paragraph's end closes the innermost element only, an inline end none beyond a block.
+        least = len(self.stack) - 1 if tag == "p" else 0 if tag in BLOCK or not self.open_blocks else self.open_blocks[-1]
+        if at >= max(0, least):
+            self.pop_to(at)
 
     def handle_data(self, data):
         if not self.skipping:
@@ -165,6 +190,52 @@ def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     return padded / np.convolve(np.ones(len(values)), kernel)[reach : reach + len(values)]
 
 
+def without_forms(blocks: list, semantic: set[int], last: list[int]) -> list:
+    """Blocks outside of forms; one that holds over half of the text, and all articles that have any,
+    is no form to fill in but a wrapper of the page."""
+    size: dict[int, int] = {}
+    for text, _, _, _, form in blocks:
+        size[form] = size.get(form, 0) + len(text)
+    wrapper = next((f for f, n in size.items() if f and 2 * n > sum(size.values())), 0)
+    if wrapper:
+        own = [b[3] for b in blocks if b[4] != wrapper]
+        if any(bisect_left(own, e) < bisect_right(own, last[e]) for e in semantic):
+            wrapper = 0
+    return [b for b in blocks if b[4] in (0, wrapper)]
+
+
+def clusters(blocks: list, sigma: float, level: float) -> list[tuple[int, int]]:
+    """First and last block of each run of blocks over the threshold."""
+    ratio = np.array([max(0, len(b[0]) - b[2]) / b[1] for b in blocks], float)
+    even = smooth(ratio, sigma)
+    over = np.concatenate([[False], even >= even.mean() - level * even.std(), [False]])
+    turns = np.flatnonzero(over[1:] != over[:-1])
+    return [(int(a), int(b) - 1) for a, b in zip(turns[::2], turns[1::2])]
+
+
+def without_forms(blocks: list, semantic: set[int], last: list[int]) -> list:
+    """Blocks outside of forms; one that holds over half of the text, and all articles that have any,
+    is no form to fill in but a wrapper of the page."""
+    size: dict[int, int] = {}
+    for text, _, _, _, form in blocks:
+        size[form] = size.get(form, 0) + len(text)
+    wrapper = next((f for f, n in size.items() if f and 2 * n > sum(size.values())), 0)
+    if wrapper:
+        own = [b[3] for b in blocks if b[4] != wrapper]
+        if any(bisect_left(own, e) < bisect_right(own, last[e]) for e in semantic):
+            wrapper = 0
+    return [b for b in blocks if b[4] in (0, wrapper)]
+
+
+def clusters(blocks: list, sigma: float, level: float) -> list[tuple[int, int]]:
+    """First and last block of each run of blocks over the threshold."""
+    ratio = np.array([max(0, len(b[0]) - b[2]) / b[1] for b in blocks], float)
+    even = smooth(ratio, sigma)
+    over = np.concatenate([[False], even >= even.mean() - level * even.std(), [False]])
+    turns = np.flatnonzero(over[1:] != over[:-1])
+    return [(int(a), int(b) - 1) for a, b in zip(turns[::2], turns[1::2])]
+
+
 def extract(html: str | None, sigma: float = 1.0, level: float = 0.5) -> str:
     """Main text of one page. level: threshold below the smoothed mean, in standard deviations."""
     if not html:
@@ -172,29 +243,44 @@ def extract(html: str | None, sigma: float = 1.0, level: float = 0.5) -> str:
     events = Events()
     try:
         events.feed(html)
-        events.close()
     except (AssertionError, ValueError):  # the parser gives up on some broken declarations
-        events.end_block()
-    blocks = events.blocks
+        events.rawdata = ""
+    events.close()
+    blocks, parent, last = without_forms(events.blocks, events.semantic, events.last), events.parent, events.last
     if not blocks:
         return ""
-    ratio = np.array([max(0, len(t) - links) / tags for t, tags, links, _ in blocks], float)
-    even = smooth(ratio, sigma)
-    chosen = even >= even.mean() - level * even.std()
-    size: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    total = 0
-    for (text, _, _, path), on in zip(blocks, chosen):
-        if on:
-            total += len(text)
-            for d, e in enumerate(path):
-                size[e] = size.get(e, 0) + len(text)
-                depth[e] = d
-    # Elements over all chosen blocks: an article or main element (of several, the innermost), else the deepest of several blocks.
-    whole = [e for e in size if size[e] == total]
-    roots = [e for e in whole if e in events.semantic] or [e for e in whole if sum(e in b[3] for b in blocks) > 1]
-    root = max(roots, key=depth.get, default=None)
-    return " ".join(b[0] for b in blocks if root is None or root in b[3])
+    # Blocks are not in the order of their elements' numbers (text may follow a nested element).
+    numbers = sorted(b[3] for b in blocks)
+
+    def over(places: range | list[int]) -> int:
+        """Least element over blocks; elements are numbered so that a nested one has a greater number."""
+        low, high = min(blocks[i][3] for i in places), max(blocks[i][3] for i in places)
+        while not low <= high <= last[low]:
+            low = parent[low]
+        return low
+
+    def article(element: int) -> int | None:
+        while element and element not in events.semantic:
+            element = parent[element]
+        return element or None
+
+    runs = clusters(blocks, sigma, level)
+    whole = article(over([i for a, b in runs for i in range(a, b + 1)]))
+    regions = [whole] if whole else []
+    if not regions:
+        for a, b in runs:
+            if regions and regions[-1] <= blocks[a][3] and blocks[b][3] <= last[regions[-1]] and regions[-1] <= over(range(a, b + 1)):
+                continue  # inside the region before
+            element = over(range(a, b + 1))
+            while element and bisect_right(numbers, last[element]) - bisect_left(numbers, element) < 2:
+                element = parent[element]
+            regions.append(article(element) or element)
+    edge = np.zeros(len(parent) + 1, np.int64)
+    for element in regions:
+        edge[element] += 1
+        edge[last[element] + 1] -= 1
+    inside = np.cumsum(edge) > 0
+    return " ".join(b[0] for b in blocks if inside[b[3]])
 
 
 def _extract(columns: list[str]):

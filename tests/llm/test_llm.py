@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -379,6 +380,68 @@ def test_html_reads_on_after_unknown_declarations():
     assert html_text.extract("<p>a</p><![foo[x]]><p>b</p>") == "a b" and html_text.extract("<p>a<![ x>b") == "ab"
 
 
+LINKS = "<div>" + "".join(f"<a href=x{i}>Page {i}</a> " for i in range(8)) + "</div>"
+
+
+def test_html_regions_come_from_the_clusters(monkeypatch):
+    """Pages without article or telling names: what the ratios don't choose goes, and stays if they are switched off."""
+    body = "".join(f"<p>{PARA * 2}</p>" for _ in range(6))
+    page = f"<body>{LINKS * 3}<div><h2>Title</h2>{body}<p>Short.</p>{body}</div>{LINKS * 2}<div>Version 3</div></body>"
+    want = " ".join(["Title", *[(PARA * 2).strip()] * 6, "Short.", *[(PARA * 2).strip()] * 6])
+    assert html_text.extract(page) == want
+    two = f"<body>{LINKS * 3}<div>{body}</div>{LINKS * 4}<div>{body}</div>{LINKS * 3}</body>"
+    assert html_text.extract(two) == " ".join([(PARA * 2).strip()] * 12)
+    monkeypatch.setattr(html_text, "clusters", lambda blocks, *_: [(0, len(blocks) - 1)])
+    assert "Page 7" in html_text.extract(page) and "Version 3" in html_text.extract(page) and "Page 7" in html_text.extract(two)
+
+
+def test_html_time_is_linear_in_deep_pages():
+    began = time.time()
+    assert html_text.extract("<div>x" * 100_000).count("x") == 100_000
+    assert html_text.extract("<div>" * 50_000 + "<td><li>" * 50_000 + "</section>y</b>" * 50_000).count("y") == 50_000
+    assert html_text.extract("<table><tr><td><ul><li>" * 20_000 + "z").count("z") == 1
+    assert time.time() - began < 12
+
+
+def test_html_form_around_the_page():
+    text = f"<h1>T</h1><p>{PARA * 3}</p><p>{PARA}</p>"
+    want = f"T {(PARA * 3).strip()} {PARA.strip()}"
+    assert html_text.extract(f"<body><form action=x><input name=s>{text}<button>Go</button></form></body>") == want
+    assert html_text.extract(f"<body>{text}<form><p>{PARA}</p></form></body>") == want
+    assert html_text.extract(f"<body><article>{text}</article><form><p>{PARA * 30}</p></form></body>") == want
+
+
+LINKS = "<div>" + "".join(f"<a href=x{i}>Page {i}</a> " for i in range(8)) + "</div>"
+
+
+def test_html_regions_come_from_the_clusters(monkeypatch):
+    """Pages without article or telling names: what the ratios don't choose goes, and stays if they are switched off."""
+    body = "".join(f"<p>{PARA * 2}</p>" for _ in range(6))
+    page = f"<body>{LINKS * 3}<div><h2>Title</h2>{body}<p>Short.</p>{body}</div>{LINKS * 2}<div>Version 3</div></body>"
+    want = " ".join(["Title", *[(PARA * 2).strip()] * 6, "Short.", *[(PARA * 2).strip()] * 6])
+    assert html_text.extract(page) == want
+    two = f"<body>{LINKS * 3}<div>{body}</div>{LINKS * 4}<div>{body}</div>{LINKS * 3}</body>"
+    assert html_text.extract(two) == " ".join([(PARA * 2).strip()] * 12)
+    monkeypatch.setattr(html_text, "clusters", lambda blocks, *_: [(0, len(blocks) - 1)])
+    assert "Page 7" in html_text.extract(page) and "Version 3" in html_text.extract(page) and "Page 7" in html_text.extract(two)
+
+
+def test_html_time_is_linear_in_deep_pages():
+    began = time.time()
+    assert html_text.extract("<div>x" * 100_000).count("x") == 100_000
+    assert html_text.extract("<div>" * 50_000 + "<td><li>" * 50_000 + "</section>y</b>" * 50_000).count("y") == 50_000
+    assert html_text.extract("<table><tr><td><ul><li>" * 20_000 + "z").count("z") == 1
+    assert time.time() - began < 12
+
+
+def test_html_form_around_the_page():
+    text = f"<h1>T</h1><p>{PARA * 3}</p><p>{PARA}</p>"
+    want = f"T {(PARA * 3).strip()} {PARA.strip()}"
+    assert html_text.extract(f"<body><form action=x><input name=s>{text}<button>Go</button></form></body>") == want
+    assert html_text.extract(f"<body>{text}<form><p>{PARA}</p></form></body>") == want
+    assert html_text.extract(f"<body><article>{text}</article><form><p>{PARA * 30}</p></form></body>") == want
+
+
 def test_html_pages_of_the_data(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     import html as h

@@ -511,3 +511,56 @@ def test_sketches_of_long_texts_come_piece_by_piece(monkeypatch):
     monkeypatch.setattr(near_dedup, "PIECE", 7)
     assert (near_dedup.sketch(shingles) == whole).all()
     assert near_dedup.sketch(near_dedup._mix(np.arange(2_000_000, dtype=np.uint64))).shape == (near_dedup.SKETCHES,)
+
+
+def held_by_brute_force(docs, items, window=13, similarity=0.8):
+    """(document, item) pairs with an alignment that counts, every diagonal compared."""
+    out = set()
+    for d, words in docs:
+        for i, item in items:
+            n = len(item)
+            w = min(window, n)
+            for diag in range(-n + 1, len(words)):
+                same = [0 <= diag + j < len(words) and words[diag + j] == item[j] for j in range(n)]
+                if any(10 * sum(same[k : k + w]) >= 10 * similarity * w for k in range(n - w + 1)):
+                    out.add((d, i))
+                    break
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_contamination_of_all_lengths_and_all_changes(spark, monkeypatch, broadcast):
+    """Items of 1 to 16 words with every pair of words changed, one word lost or inserted, and cut short, in documents of any length."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 1 << 20)
+    items = [(n, [f"i{n}x{k}" for k in range(n)]) for n in range(1, 17)]
+    docs = []
+    for n, item in items:
+        for a in range(n):
+            for b in range(a, n):
+                if a == b or n > 8 or (a + b) % 3 == 0:
+                    docs.append(["zz" if k in (a, b) else w for k, w in enumerate(item)])
+        docs += [["before", *item], [*item, "after"], item[: n // 2] + item[n // 2 + 1 :], [*item[: n // 2], "new", *item[n // 2 :]], item[n // 3 :], item[: n - n // 3]]
+    docs = list(enumerate(docs))
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items], "item_id long, text string")
+    got = decontaminate.find_contamination(frame(spark, [(d, " ".join(x), "s") for d, x in docs]), bench).collect()
+    want = held_by_brute_force(docs, items)
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and 300 < len(want) < len(docs)
+
+
+def test_masks_leave_no_case_open():
+    from itertools import combinations
+
+    for similarity in (0.6, 0.8, 0.9, 1.0):
+        for n in range(1, 14):
+            differ = decontaminate.allowed(n, similarity)
+            masks = decontaminate.masks_for(n, differ)
+            for changed in combinations(range(n), differ):
+                assert any(not set(changed) & {p + at for p in m} for m in masks for at in range(n - m[-1])), (n, similarity, changed)
+
+
+def test_contamination_with_repeated_ids_and_hot_seeds(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six"), (None, "seven eight nine ten eleven twelve"), (2, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
+    rows = [(1, "x one two three four five six", "s"), (1, "nothing", "s"), (2, "alpha beta gamma delta epsilon zeta " * 50, "s"), (None, "seven eight nine ten eleven twelve", "s")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(frame(spark, rows), bench).collect()}
+    assert got == {(1, 1), (2, 1), (2, 2), (None, None)}

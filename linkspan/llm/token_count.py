@@ -8,7 +8,9 @@ tokens); a character outside the vocabulary costs one byte token for each UTF-8
 
 Each task inserts the distinct pre-tokens it meets in a trie. A node keeps the best forward score of
 the path that leads to it, computed once for all pre-tokens that share the prefix, and the count at
-terminals. The trie is dropped when it holds ``max_nodes`` nodes; that bounds memory and changes no
+terminals. The trie is dropped when it holds ``max_nodes`` nodes or pre-tokens of MAX_HELD bytes; of a
+pre-token, only the first MAX_DEPTH characters enter it, and the scores of the rest are carried on with
+as many scores as the longest piece needs. That bounds memory, whatever a text holds, and changes no
 result. There is no shuffle.
 
 Defined cases: null or empty text has no tokens; repeated rows are counted alike; other columns pass.
@@ -26,6 +28,8 @@ from pyspark.sql import types as T
 from .common import small_batches
 
 MARK = "▁"
+#: Depth of the trie in characters, and bytes of pre-tokens whose counts are kept.
+MAX_DEPTH, MAX_HELD = 256, 32 << 20
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -53,17 +57,18 @@ class ForwardTrie:
         self.children: list[dict[str, int]] = [{}]
         self.score, self.tokens = [0.0], [0]
         self.terminal: dict[bytes, int] = {}
+        self.held = 0
 
     def count(self, word: bytes) -> int:
         known = self.terminal.get(word)
         if known is not None:
             return known
-        if len(self.children) > self.max_nodes:
+        if len(self.children) > self.max_nodes or self.held > MAX_HELD:
             self.clear()
         text = MARK + word.decode("utf-8", "replace")
         children, score, tokens, pieces, longest = self.children, self.score, self.tokens, self.pieces, self.longest
         path, node = [0], 0
-        for end, char in enumerate(text, 1):
+        for end, char in enumerate(text[:MAX_DEPTH] if len(text) > MAX_DEPTH else text, 1):
             child = children[node].get(char)
             if child is None:
                 n_bytes = len(char.encode("utf-8", "replace"))
@@ -82,9 +87,30 @@ class ForwardTrie:
                 tokens.append(fewest)
             node = child
             path.append(node)
+        if len(text) > MAX_DEPTH:
+            return self._rest(text, [(score[x], tokens[x]) for x in path[-longest:]])
         self.terminal[word] = tokens[node]
+        self.held += len(word)
         return tokens[node]
 
+    def _rest(self, text: str, last: list[tuple[float, int]]) -> int:
+        """Tokens of the best segmentation from the scores of the places up to MAX_DEPTH."""
+        pieces, longest = self.pieces, self.longest
+        for end in range(MAX_DEPTH + 1, len(text) + 1):
+            n_bytes = len(text[end - 1].encode("utf-8", "replace"))
+            best, fewest = last[-1][0] + n_bytes * self.byte_cost, last[-1][1] + n_bytes
+            base = end - len(last)
+            for start in range(base, end):
+                gain = pieces.get(text[start:end])
+                if gain is not None:
+                    now, n = last[start - base][0] + gain, last[start - base][1] + 1
+                    if now > best or now == best and n < fewest:
+                        best, fewest = now, n
+            last.append((best, fewest))
+            if len(last) > longest:
+                del last[0]
+        return last[-1][1]
+
 
 def _count(shared, columns: list[str], text_col: str, max_nodes: int):
     def run(batches):

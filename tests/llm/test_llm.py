@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -564,3 +565,26 @@ def test_contamination_with_repeated_ids_and_hot_seeds(spark):
     rows = [(1, "x one two three four five six", "s"), (1, "nothing", "s"), (2, "alpha beta gamma delta epsilon zeta " * 50, "s"), (None, "seven eight nine ten eleven twelve", "s")]
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(frame(spark, rows), bench).collect()}
     assert got == {(1, 1), (2, 1), (2, 2), (None, None)}
+
+
+def test_token_counts_of_endless_words(monkeypatch):
+    """Words without an end: the same counts with a trie of any depth, in bounded memory."""
+    pieces = token_count.load_pieces(token_count.TOKENIZER)
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdeéz漢", k=n)).encode() for n in (5, 255, 256, 257, 600, 3000)]
+    monkeypatch.setattr(token_count, "MAX_DEPTH", 10_000)
+    whole = [token_count.ForwardTrie(pieces).count(w) for w in words]
+    monkeypatch.setattr(token_count, "MAX_DEPTH", 256)
+    trie = token_count.ForwardTrie(pieces)
+    assert [trie.count(w) for w in words] == whole
+    monkeypatch.setattr(token_count, "MAX_DEPTH", 20)
+    assert [token_count.ForwardTrie(pieces).count(w) for w in words] == whole
+    monkeypatch.setattr(token_count, "MAX_DEPTH", 256)
+    few = {p: x for p, x in pieces.items() if len(p) < 3}  # for speed; memory is the same
+    trie = token_count.ForwardTrie(few)
+    tracemalloc.start()
+    assert trie.count(b"abcab" * 50_000) > 10**5 and len(trie.children) <= 257 and not trie.terminal
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3_000_000  # the text, decoded and with its mark
+    assert trie.count(b"abcab" * 2_000_000) > 10**6 and len(trie.children) <= 257 and not trie.terminal

@@ -588,3 +588,69 @@ def test_token_counts_of_endless_words(monkeypatch):
     tracemalloc.stop()
     assert most < 3_000_000  # the text, decoded and with its mark
     assert trie.count(b"abcab" * 2_000_000) > 10**6 and len(trie.children) <= 257 and not trie.terminal
+
+
+def test_lm_score_by_brute_force(spark):
+    """Scores token by token from the model's tables, and the sums within classes word by word."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    _, counts, model = lm_score.fit(docs)
+    count = {r["words"]: (r["c"], r["ending"]) for r in counts.collect()}
+    weights, sums = (dict(zip(a.tolist(), b.tolist())) for a, b in ((model.words.features, model.words.weights), (model.words.cells, model.words.log_sums)))
+    kept, C = set(model.words.contexts.tolist()), lm_score.CLASSES
+    assert len(weights) > 500
+    number = lambda *xs: int(lm_score._hash(*(np.array([x]) for x in xs))[0])
+
+    def context_of(one, two):
+        return next((c for c in (number(0, one, two), number(1, one), number(2, two)) if c in kept), None)
+
+    def score(text):
+        out, history, one, two = 0.0, [lm_score.START_CLASS] * 3, 1, 2
+        for word in [*(text or "").encode().lower().split(), lm_score.END]:
+            key = lm_score.word_key(word)
+            c = model.top.get(key, lm_score.TOP + lm_score.ending(word))
+            out += model.table[((history[0] * C + history[1]) * C + history[2]) * C + c]
+            if lm_score.TOP <= c < lm_score.END_CLASS:
+                out += math.log10(count.get(key, (0, 0))[0] + 0.5) - model.log_sizes[c]
+                context = context_of(one, two)
+                if context is not None:
+                    out += (weights.get(number(context, key), 0.0) - sums.get(number(context, c), 0.0)) / math.log(10)
+            history = [c, *history[:2]]
+            one, two = key, one if one != 1 else 2
+        return out
+
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_documents(docs).collect()}
+    texts = [r for r in docs.orderBy("doc_id").collect() if len(r["text"] or "") < 4000][:40]
+    assert all(got[r["doc_id"]] == pytest.approx(score(r["text"]), rel=1e-5) for r in texts)
+    words = {c: [(k, n) for k, (n, e) in count.items() if model.top.get(k, lm_score.TOP + e) == c] for c in range(lm_score.TOP, lm_score.END_CLASS)}
+    for context in sorted(kept)[:30]:
+        c = next(c for c in words if number(context, c) in sums) if any(number(context, c) in sums for c in words) else None
+        if c is not None:
+            size = 10 ** model.log_sizes[c]
+            whole = sum((n + 0.5) / size * math.exp(weights.get(number(context, k), 0.0)) for k, n in words[c]) + 0.5 / size
+            assert whole == pytest.approx(math.exp(sums[number(context, c)]), rel=1e-3)
+
+
+def test_lm_gains_on_held_out_text(spark):
+    scored = lm_score.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score") - F.sum("base_score"), F.sum("n_tokens")).first()
+    assert scored[0] / scored[1] > 0.25
+
+
+def test_lm_weights_meet_their_gradient(monkeypatch):
+    rng = np.random.default_rng(3)
+    cell = np.repeat(np.arange(50), 6)
+    p, n = rng.uniform(1e-6, 0.02, 300), rng.integers(1, 40, 300).astype(float)
+    total = np.bincount(cell, n)[cell] + rng.integers(0, 9, 50)[cell]
+    few, sums = lm_score.word_weights(cell, p, n, total)
+    monkeypatch.setattr(lm_score, "WORD_UPDATES", 3000)
+    weight, log_sum = lm_score.word_weights(cell, p, n, total)
+    assert np.abs((few - sums) - (weight - log_sum)).max() < 0.02  # the updates made by default come near
+    q = p * np.exp(weight - log_sum)
+    assert np.abs(n - total * q - weight / lm_score.SPREAD).max() < 1e-3
+    assert np.allclose(np.exp(log_sum), (1 + np.bincount(cell, p * np.expm1(weight)))[cell])
+
+
+def test_most_frequent_features_without_a_sort(spark):
+    rows = spark.createDataFrame([(i, i, 1 + i % 7) for i in range(7000)], "context long, word long, n long")
+    assert lm_score.most_frequent(rows, 10**6).count() == 7000 and lm_score.most_frequent(rows.limit(0), 10).count() == 0
+    got = Counter(r["n"] for r in lm_score.most_frequent(rows, 2500).collect())
+    assert got[7] == got[6] == 1000 and 400 < got[5] < 600 and not got[4]

@@ -6,12 +6,15 @@ except in the document with the largest id that holds them.
 
 1. Each task hashes its lines and emits, per filter segment, the bit positions seen once and those
    seen twice (in two documents). Segments are merged on the executors: a bit is set in the
-   "twice" filter if one task had it twice or two tasks had it.
+   "twice" filter if one task had it twice or two tasks had it. Parts are merged in two steps, so that
+   a merge holds about the root of the number of tasks.
 2. The twice filter (size bound: ``MAX_FILTER_BITS`` bits = 128 MB; a fuller filter only lets more
    lines through) is broadcast. Only lines whose bits are all set, the suspected repeats, shuffle.
 3. Suspects are confirmed exactly on a 128-bit digest: distinct (digest, document), then count and
    largest document with map-side combine, so a line that a third of the corpus holds is no hot
-   task. Confirmed (document, digests) lists join back to the texts, which are rebuilt in place.
+   task. Confirmed (document, digests) lists join back to the texts that lose lines, which are
+   rebuilt; their ids, broadcast after a check of their number, tell them from all other texts, which
+   pass through without a shuffle.
 
 Defined cases: null or empty text is one empty line; rows that share an id are one document; a null
 id is one document below all others; repeated rows stay; an empty table gives an empty table. Other
@@ -21,6 +24,7 @@ columns pass through unchanged whatever their names.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,10 @@ from .common import WS_BYTES, id_or_null_stand_in, materialise, small_batches
 
 MIN_FILTER_BITS, MAX_FILTER_BITS, SEGMENT_BITS = 20, 30, 20
 DOC, TEXT, DROPS = "_ls_doc", "_ls_text", "_ls_drops"
+#: Ids (8 bytes each) of documents that lose lines that may be broadcast.
+BROADCAST_IDS = 2_000_000
+#: Bytes of text that one step of merging stands for at least: the square of its parts' number.
+MERGE_BYTES = 64 << 20
 
 
 def digest(raw: bytes, min_chars: int) -> bytes | None:
@@ -99,20 +107,35 @@ def _filter_parts(bits: int, min_chars: int):
     return run
 
 
-def _merge_segment(table: pa.Table) -> pa.Table:
-    """All parts of one segment: its bits of the twice filter."""
+def _seen(table: pa.Table) -> np.ndarray:
+    """Times (2: or more) that parts of one segment have each bit."""
     seen = np.zeros(1 << SEGMENT_BITS, np.uint8)
-    for once, twice in zip(table.column("once").to_pylist(), table.column("twice").to_pylist()):
+    for once, twice in zip(table.column("once"), table.column("twice")):
         part = np.zeros(1 << SEGMENT_BITS, np.uint8)
-        part[np.frombuffer(once, np.uint32)] = 1
-        part[np.frombuffer(twice, np.uint32)] = 2
+        part[np.frombuffer(once.as_buffer(), np.uint32)] = 1
+        part[np.frombuffer(twice.as_buffer(), np.uint32)] = 2
         seen = np.minimum(seen + part, 2)
-    return pa.table({"segment": table.column("segment").slice(0, 1).combine_chunks(), "bits": pa.array([np.packbits(seen >= 2, bitorder="little").tobytes()], pa.binary())})
+    return seen
+
+
+def _merge_some(table: pa.Table) -> pa.Table:
+    """Some parts of one segment as one."""
+    seen = _seen(table)
+    out = [pa.array([np.flatnonzero(seen >= n).astype(np.uint32).tobytes()], pa.binary()) for n in (1, 2)]
+    return pa.table({"segment": table.column("segment").slice(0, 1).combine_chunks(), "once": out[0], "twice": out[1]})
+
+
+def _merge_segment(table: pa.Table) -> pa.Table:
+    """All parts of one segment: its bits of the twice filter."""
+    return pa.table({"segment": table.column("segment").slice(0, 1).combine_chunks(), "bits": pa.array([np.packbits(_seen(table) >= 2, bitorder="little").tobytes()], pa.binary())})
 
 
-def twice_filter(lines: DataFrame, bits: int, min_chars: int) -> bytes:
+def twice_filter(lines: DataFrame, bits: int, min_chars: int, size: int = 0) -> bytes:
     """The merged twice-seen filter. At most 2**MAX_FILTER_BITS bits reach the driver."""
     parts = lines.select(TEXT).mapInArrow(_filter_parts(bits, min_chars), "segment int, once binary, twice binary")
+    groups = math.isqrt(size // MERGE_BYTES)
+    if groups > 1:
+        parts = parts.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(groups))).groupBy("segment", "group").applyInArrow(_merge_some, "segment int, once binary, twice binary")
     merged = parts.groupBy("segment").applyInArrow(_merge_segment, "segment int, bits binary")
     whole = np.zeros(max(1, (1 << bits) // 8), np.uint8)
     step = (1 << SEGMENT_BITS) // 8
@@ -171,22 +194,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = lines.agg(F.sum(F.octet_length(TEXT)).alias("n")).first()["n"] or 0
     # 8 bits for each line that could be there (a key has min_chars bytes and a line end at least).
     bits = min(MAX_FILTER_BITS, max(MIN_FILTER_BITS, int(8 * size / (min_chars + 1)).bit_length()))
-    shared = spark.sparkContext.broadcast(twice_filter(lines, bits, min_chars))
+    shared = spark.sparkContext.broadcast(twice_filter(lines, bits, min_chars, size))
     suspects = materialise(lines.mapInArrow(_suspects(shared, bits, min_chars), f"digest binary, {DOC} long"))
     confirmed = suspects.distinct().groupBy("digest").agg(F.count("*").alias("n"), F.max(DOC).alias("_ls_keep")).where(F.col("n") >= min_docs)
     # Written, so that the join below starts from plain exchanges, whose hot partitions can be split.
     confirmed = materialise(confirmed.select("digest", "_ls_keep"))
-    drops = (
-        suspects.join(confirmed, "digest")
-        .where(F.col(DOC) != F.col("_ls_keep"))
-        .groupBy(DOC)
-        .agg(F.collect_set("digest").alias(DROPS))
-    )
+    drops = materialise(suspects.join(confirmed, "digest").where(F.col(DOC) != F.col("_ls_keep")).groupBy(DOC).agg(F.collect_set("digest").alias(DROPS)))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    kept = [F.col(c) for c in columns if c != text_col]
-    joined = (
-        docs.select(*kept, id_or_null_stand_in(F.col(id_col)).alias(DOC), F.col(text_col).cast("binary").alias(TEXT))
-        .join(drops, DOC, "left")
-    )
     schema = T.StructType([T.StructField(c, T.StringType() if c == text_col else docs.schema[c].dataType) for c in columns] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.mapInArrow(_rebuild(min_chars, text_col, columns), schema)
+    tagged = docs.select(*(F.col(c) for c in columns if c != text_col), id_or_null_stand_in(F.col(id_col)).alias(DOC), F.col(text_col).cast("binary").alias(TEXT))
+    if drops.count() > BROADCAST_IDS:
+        return tagged.join(drops, DOC, "left").mapInArrow(_rebuild(min_chars, text_col, columns), schema)
+    losing = F.broadcast(drops.select(DOC))
+    rebuilt = tagged.join(losing, DOC, "left_semi").join(drops.hint("merge"), DOC).mapInArrow(_rebuild(min_chars, text_col, columns), schema)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    same = docs.select(*(text.alias(c) if c == text_col else F.col(c) for c in columns), id_or_null_stand_in(F.col(id_col)).alias(DOC)).join(losing, DOC, "left_anti")
+    n_lines = (F.length(F.col(text_col)) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1).cast("long")
+    return rebuilt.unionByName(same.select(*columns, n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")))

@@ -86,7 +86,7 @@ places AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i,
 norm AS (SELECT d.doc_id, d.source, trim(regexp_replace(regexp_replace(lower(l), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS k, len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS nw
          FROM (SELECT doc_id, unnest(ls) AS l FROM w) x JOIN docs d USING (doc_id)),
 hosts AS (SELECT source, count(*) AS n FROM docs GROUP BY source),
-often AS (SELECT source, k FROM (SELECT source, k, count(DISTINCT doc_id) AS n FROM norm GROUP BY source, k) JOIN hosts h USING (source) WHERE norm_n(n) ),
+often AS (SELECT c.source, c.k FROM (SELECT source, k, count(DISTINCT doc_id) AS n FROM norm GROUP BY source, k) c JOIN hosts h ON c.source = h.source WHERE c.n > 20 AND c.n > 0.02 * h.n),
 lost AS (SELECT doc_id, sum(nw) AS lost FROM norm JOIN often USING (source, k) GROUP BY doc_id),
 base AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
@@ -95,10 +95,7 @@ base AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        coalesce(lost, 0)::BIGINT AS lost_words, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(lost, 0) <= 0.5 * n_words AS kept
 FROM base LEFT JOIN lost USING (doc_id)
-""".replace(
-    "SELECT source, k FROM (SELECT source, k, count(DISTINCT doc_id) AS n FROM norm GROUP BY source, k) JOIN hosts h USING (source) WHERE norm_n(n) ",
-    "SELECT c.source, c.k FROM (SELECT source, k, count(DISTINCT doc_id) AS n FROM norm GROUP BY source, k) c JOIN hosts h ON c.source = h.source WHERE c.n > 20 AND c.n > 0.02 * h.n",
-)
+"""
 
 _OP5 = r"""
 WITH t AS (

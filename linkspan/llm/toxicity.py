@@ -180,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # The sample is picked from the labels alone: at most 2 * max_rows ids are broadcast, no text moves but theirs.
     picked = [marked.where(F.col("_ls_y") == y).orderBy("_ls_rank", "_ls_id").limit(max_rows) for y in (1, 0)]
     sample = F.broadcast(picked[0].union(picked[1]))
-    rows = docs.select(F.col(id_col).alias("_ls_id"), F.col(text_col).cast("binary").alias("_ls_text")).join(sample, "_ls_id")
+    # A text that can't fit stays where it is.
+    rows = docs.select(F.col(id_col).alias("_ls_id"), F.col(text_col).cast("binary").alias("_ls_text")).where(F.coalesce(F.octet_length("_ls_text"), F.lit(0)) <= max_chars // 2).join(sample, "_ls_id")
     texts, ys, size = [], [], [0, 0]
     for row in rows.orderBy("_ls_rank", "_ls_id", "_ls_y", "_ls_text").select("_ls_text", "_ls_y").toLocalIterator():
         text, y = bytes(row["_ls_text"] or b""), row["_ls_y"]

@@ -654,3 +654,52 @@ def test_most_frequent_features_without_a_sort(spark):
     assert lm_score.most_frequent(rows, 10**6).count() == 7000 and lm_score.most_frequent(rows.limit(0), 10).count() == 0
     got = Counter(r["n"] for r in lm_score.most_frequent(rows, 2500).collect())
     assert got[7] == got[6] == 1000 and 400 < got[5] < 600 and not got[4]
+
+
+def test_quality_lines_are_removed(spark):
+    shared, twice = "A shared line 7 of the host", "a shared line 9 OF the host"  # one line, normalised
+    rows = [(i, "\n".join(["", shared if i % 2 else twice, f"own line {'x' * (i + 1)}", " "]), "h") for i in range(30)]
+    rows += [(100, f"{shared}\nother host", "g"), (101, None, "h"), (102, shared, None), (None, f"{shared}\nkept", "h"), (3, f"{shared}\nagain", "h")]
+    got = Counter((r["doc_id"], r["text"]) for r in quality_rules.remove_lines(frame(spark, rows)).collect())
+    want = Counter((i, "\n".join(x for x in (t or "").split("\n") if s != "h" or x not in (shared, twice))) for i, t, s in rows)
+    assert got == want
+    # Rows of one id are one document of a line.
+    few = [(i % 15, f"{shared}\nline {'y' * i}", "h") for i in range(40)]
+    assert all(shared in r["text"] for r in quality_rules.remove_lines(frame(spark, few)).collect())
+    assert all(r["lost_words"] == 0 for r in quality_rules.score_quality(frame(spark, few)).collect())
+
+
+def test_line_dedup_merges_in_steps_and_by_shuffle(spark, monkeypatch):
+    rng = random.Random(6)
+    pool = [" ".join(f"line{i}word{j}" for j in range(6)) for i in range(40)]
+    docs = frame(spark, [(i, "\n".join(rng.choices(pool, k=rng.randint(0, 9)) + ["short"]), "s") for i in range(120)]).repartition(13)
+    shown = lambda: sorted((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs).collect())
+    whole = shown()
+    monkeypatch.setattr(line_dedup, "MERGE_BYTES", 1000)
+    assert shown() == whole
+    monkeypatch.setattr(line_dedup, "BROADCAST_IDS", 0)
+    assert shown() == whole and sum(r[3] for r in whole) > 100
+    monkeypatch.setattr(line_dedup, "twice_filter", lambda lines, bits, *_: np.full((1 << bits) // 8, 255, np.uint8))  # full: every line is a suspect
+    assert shown() == whole
+
+
+def test_toxicity_scores_by_brute_force_and_ties(spark):
+    clean = [" ".join(f"word{i * j % 97}" for j in range(30)) for i in range(60)]
+    model = toxicity.train([(t + (" vile" if i % 3 == 0 else "")).encode() for i, t in enumerate(clean)], [int(i % 3 == 0) for i in range(60)], buckets=1 << 12)
+    texts = [None, "", "  ", "vile", "so VILE!", "v1le vilest", clean[0], "vile " * 40, "..."]
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score_toxicity(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), model).collect()}
+    for i, text in enumerate(texts):
+        share = total = 0.0
+        for raw in (text or "").lower().split():
+            word = raw.strip(toxicity.STRIP.decode())
+            if word:
+                marked = f"<{word}>"
+                grams = [marked[k : k + n] for n in range(3, 7) for k in range(len(marked) - n + 1)] + ([marked] if len(marked) > 6 else [])
+                at = [zlib.crc32(g.encode()) % (1 << 12) for g in grams]
+                share += sum(bool(model.kept[a]) for a in at) / len(at)
+                total += sum(float(model.margins[a]) for a in at if model.kept[a]) / len(at)
+        want = 1 / (1 + math.exp(-(model.bias + total / (share + toxicity.PRIOR))))
+        assert got[i][0] == pytest.approx(want, rel=1e-5) and got[i][1] == int(got[i][0] >= 0.7)
+    assert got[3][0] > 0.7 > got[6][0] and got[0] == got[1] == got[2] == got[8]
+    at_threshold = toxicity.score_toxicity(frame(spark, [(3, "vile", "s")]), model, threshold=got[3][0])
+    assert at_threshold.first()["predicted"] == 1

@@ -330,12 +330,16 @@ def _exact(texts: DataFrame, left: DataFrame, similarity: float) -> DataFrame:
     a, b = rare.alias("a"), rare.alias("b")
     pairs = a.join(b, F.col("a.shingle") == F.col("b.shingle")).where((F.col("a.node") < F.col("b.node")) & other("a", "b") & alike("a", "b"))
     pairs = pairs.select(F.col("a.node").alias("centre"), F.col("b.node").alias("member"))
-    high = parts.where("key is not null").select("node", "n", "label", "n_common", "key", "common")
-    least = materialise(high.groupBy("key").agg(F.min_by(F.struct("node", "n", "label", "n_common", "common"), F.struct("n", "node")).alias("s")).select("key", "s.*"))
+    # Of texts of one class with the same common part, the shortest is alike to all that any of them is alike to.
+    entry = F.struct("node", "n", "label", "n_common", "common")
+    high = parts.where("key is not null").groupBy("key", "label").agg(F.min_by(entry, F.struct("n", "node")).alias("s")).select("key", "s.*")
+    high = materialise(high)
+    least = materialise(high.groupBy("key").agg(F.min_by(entry, F.struct("n", "node")).alias("s")).select("key", "s.*"))
+    high = materialise(high.join(least.select("key", F.col("node").alias("first")), "key").withColumn("first", F.col("first") == F.col("node")))
     a, b = least.alias("a"), high.alias("b")
     own = a.join(b, F.col("a.key") == F.col("b.key")).where(other("a", "b") & alike("a", "b", "n_common"))
-    a, b = (x.select("key", "node", "n", "label", "n_common", F.posexplode("common").alias("at", "shingle")).withColumn("left", F.col("n_common") - F.col("at")).alias(name) for x, name in ((least, "a"), (high, "b")))
-    cross = a.join(b, F.col("a.shingle") == F.col("b.shingle")).where((F.col("a.key") != F.col("b.key")) & other("a", "b") & alike("a", "b"))
+    a, b = (x.select("key", "node", "n", "label", "n_common", *flag, F.posexplode("common").alias("at", "shingle")).withColumn("left", F.col("n_common") - F.col("at")).alias(name) for x, name, flag in ((least, "a", []), (high, "b", ["first"])))
+    cross = a.join(b, F.col("a.shingle") == F.col("b.shingle")).where(F.when(F.col("b.first"), F.col("a.key") < F.col("b.key")).otherwise(F.col("a.key") != F.col("b.key")) & other("a", "b") & alike("a", "b"))
     for found in (own, cross):
         pairs = pairs.union(found.select(F.col("a.node").alias("centre"), F.col("b.node").alias("member")))
     return pairs

@@ -595,8 +595,9 @@ def test_lm_score_by_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     _, counts, model = lm_score.fit(docs)
     count = {r["words"]: (r["c"], r["ending"]) for r in counts.collect()}
-    weights, sums = (dict(zip(a.tolist(), b.tolist())) for a, b in ((model.words.features, model.words.weights), (model.words.cells, model.words.log_sums)))
-    kept, C = set(model.words.contexts.tolist()), lm_score.CLASSES
+    signed = lambda keys: keys.sorted.view(np.int64).tolist()
+    weights, sums = (dict(zip(signed(a), b.tolist())) for a, b in ((model.words.features, model.words.weights), (model.words.cells, model.words.log_sums)))
+    kept, C = set(signed(model.words.contexts)), lm_score.CLASSES
     assert len(weights) > 500
     number = lambda *xs: int(lm_score._hash(*(np.array([x]) for x in xs))[0])
 
@@ -703,3 +704,13 @@ def test_toxicity_scores_by_brute_force_and_ties(spark):
     assert got[3][0] > 0.7 > got[6][0] and got[0] == got[1] == got[2] == got[8]
     at_threshold = toxicity.score_toxicity(frame(spark, [(3, "vile", "s")]), model, threshold=got[3][0])
     assert at_threshold.first()["predicted"] == 1
+
+
+def test_lm_keys_are_found():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 300, 50_000):
+        held = rng.integers(-(2**63), 2**63 - 1, n)
+        keys = lm_score.Keys(np.concatenate([held, held]))
+        asked = np.concatenate([held, rng.integers(-(2**63), 2**63 - 1, 100), [0, -1, 2**63 - 1, -(2**63)]])
+        places = dict(zip(keys.sorted.view(np.int64).tolist(), range(len(keys))))
+        assert keys.find(asked).tolist() == [places.get(x, -1) for x in asked.tolist()]

@@ -1,15 +1,17 @@
-"""Command line: compress, filter, decompress and concat of stored matrices."""
+"""Command line: compress, filter, decompress, concat, import, index, fetch, neighbors and genome of
+stored matrices."""
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from .operators import export, ingest, transform
-from .operators.matrix import open_matrix, save
+from .operators import export, index, ingest, query, transform
+from .operators.matrix import LDMatrix, open_matrix, save
 from .schema import BITS, STATS
 from .sources import text
+from .sources.archive import is_archive, open_archive, read_archive_variants, write_archive
 from .sources.square import read_square
 
 
@@ -38,14 +40,55 @@ def parser() -> argparse.ArgumentParser:
     p = verbs.add_parser("decompress")
     p.add_argument("-i", "--input", required=True)
     p.add_argument("-o", "--output_prefix", required=True)
-    p.add_argument("-t", "--type", choices=("binary", "tabular"), default="binary")
+    p.add_argument("-t", "--type", choices=("binary", "tabular", "archive"), default="binary")
     p = verbs.add_parser("concat")
     p.add_argument("-i", "--inputs", nargs="+", required=True)
     p.add_argument("-o", "--output_prefix", required=True)
     p.add_argument("--overlapping", action="store_true")
+    p = verbs.add_parser("import", help="store an archive")
+    p.add_argument("-i", "--input", required=True)
+    p.add_argument("-o", "--output_prefix", required=True)
+    p = verbs.add_parser("index", help="index of the variants, sorted by position")
+    p.add_argument("-i", "--input", required=True)
+    p.add_argument("-o", "--output_prefix", required=True)
+    p.add_argument("-s", "--snp_file")
+    p = verbs.add_parser("fetch", help="values of variants by place (from 1) or identifier")
+    p.add_argument("-i", "--input", required=True)
+    p.add_argument("-r", "--rows", nargs="+", required=True)
+    p.add_argument("-c", "--cols", nargs="+", required=True)
+    p.add_argument("-t", "--types", nargs="+", choices=STATS, default=["UNPHASED_R"])
+    p.add_argument("--pairwise", action="store_true")
+    p.add_argument("-o", "--output", help="folder for the rows; else they are printed")
+    p = verbs.add_parser("neighbors", help="variants in LD with one")
+    p.add_argument("-i", "--input", required=True)
+    p.add_argument("-v", "--variant", required=True)
+    p.add_argument("-t", "--type", choices=STATS, default="UNPHASED_R2")
+    p.add_argument("-a", "--abs_threshold", type=float, default=0.8)
+    p.add_argument("-g", "--genomic_length", type=int, default=100_000)
+    p.add_argument("-o", "--output", help="folder for the rows; else they are printed")
     return top
 
 
+def _asked(words: list[str]) -> list:
+    """Places, if all words are numbers, else identifiers."""
+    return [int(w) for w in words] if all(w.isdigit() for w in words) else words
+
+
+def _open(spark: SparkSession, path: str) -> LDMatrix:
+    """A stored matrix, or an archive if path is the prefix of one."""
+    return open_archive(spark, path) if is_archive(path) else open_matrix(spark, path)
+
+
+def _give(rows: DataFrame, path: str | None) -> None:
+    """Rows to a folder, or printed one partition at a time."""
+    if path:
+        export.write_lines(rows, path)
+        return
+    print("\t".join(rows.columns))
+    for row in rows.toLocalIterator():
+        print("\t".join("" if x is None else str(x) for x in row))
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("linkspan").getOrCreate()
@@ -59,13 +102,26 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             out = ingest.from_pairs(text.read_pairs(spark, args.ld_file), variants, args.bits, args.min, args.min_col, args.columns)
         save(out, args.output_prefix)
     elif args.verb == "filter":
-        matrix = open_matrix(spark, args.input)
+        matrix = _open(spark, args.input)
         keep = text.read_keep(spark, args.keep) if args.keep else None
         save(transform.filter_matrix(matrix, keep=keep, between=text.parse_range(args.range) if args.range else None), args.output_prefix)
     elif args.verb == "decompress":
-        export.decompress(open_matrix(spark, args.input), args.output_prefix, args.type)
-    else:
-        save(transform.concat([open_matrix(spark, p) for p in args.inputs], args.overlapping), args.output_prefix)
+        matrix = _open(spark, args.input)
+        if args.type == "archive":
+            write_archive(matrix, args.output_prefix)
+        else:
+            export.decompress(matrix, args.output_prefix, args.type)
+    elif args.verb == "concat":
+        save(transform.concat([_open(spark, p) for p in args.inputs], args.overlapping), args.output_prefix)
+    elif args.verb == "import":
+        save(open_archive(spark, args.input), args.output_prefix)
+    elif args.verb == "index":
+        variants = read_archive_variants(spark, args.snp_file) if args.snp_file else _open(spark, args.input).variants
+        index.save_index(index.build_index(variants), args.output_prefix)
+    elif args.verb == "fetch":
+        _give(query.fetch(_open(spark, args.input), _asked(args.rows), _asked(args.cols), args.types, args.pairwise), args.output)
+    elif args.verb == "neighbors":
+        _give(query.neighbors(_open(spark, args.input), *_asked([args.variant]), args.type, args.abs_threshold, args.genomic_length), args.output)
 
 
 if __name__ == "__main__":

@@ -14,6 +14,7 @@ from .operators.matrix import LDMatrix, column_pointers, delta_decode, delta_enc
 from .plans import genome
 from .session import fresh_path
 from .sources import text
+from .sources.archive import open_archive, write_archive
 from .sources.text import dense_index
 
 STATS = ("PHASED_R", "UNPHASED_R", "D", "DPRIME")
@@ -632,6 +633,19 @@ def stored_entries(spark: SparkSession, d: str) -> DataFrame:
     return _shown(_stored(spark, d).entries)
 
 
+@_register("archive_entries", _MATRIX + f" SELECT col::BIGINT AS col, row::BIGINT AS row, {_show()} FROM m")
+def archive_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix through its archive form: distances of rows and quantised values."""
+    path = _kept(spark, d, "archive", lambda path: write_archive(_stored(spark, d), path))
+    return _shown(open_archive(spark, path).entries)
+
+
+@_register("archive_variants", _VARIANTS + " SELECT idx::BIGINT AS idx, chrom, pos, id, ref, alt FROM vars")
+def archive_variants(spark: SparkSession, d: str) -> DataFrame:
+    path = _kept(spark, d, "archive", lambda path: write_archive(_stored(spark, d), path))
+    return open_archive(spark, path, ["D"]).variants
+
+
 @_register("stored_meta", _MATRIX + " SELECT (SELECT count(*) FROM vars)::BIGINT AS n_rows, (SELECT count(*) FROM vars)::BIGINT AS n_cols, count(*)::BIGINT AS nnz, 16::BIGINT AS bits, 'full' AS layout, '2.1' AS version, 'PHASED_R,UNPHASED_R,D,DPRIME' AS stats FROM m")
 def stored_meta(spark: SparkSession, d: str) -> DataFrame:
     _stored(spark, d)

@@ -10,7 +10,7 @@ from linkspan.operators import chunks, export, index, ingest, metrics, query, tr
 from linkspan.operators.matrix import LDMatrix, open_matrix, save
 from linkspan.plans import genome
 from linkspan.schema import MAX_ERROR
-from linkspan.sources import square, text
+from linkspan.sources import archive, square, text
 
 N = 23
 
@@ -286,3 +286,114 @@ def test_shared_folder_must_be_given_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         session.run_folder(type("S", (), {"sparkContext": Elsewhere(), "conf": {}})())
+
+
+def put_archive(prefix, columns, version, bits=8):
+    """Bytes of an archive by hand: columns are lists of (row, code)."""
+    put = lambda suffix, kind, values: np.array(values, kind).tofile(f"{prefix}{suffix}")
+    stored, far, index = [], [], [0]
+    for j, column in enumerate(columns):
+        rows = [r for r, _ in column]
+        for k, r in enumerate(rows):
+            step = (r - rows[k - 1]) if k else (j - r)
+            fits = 0 <= step < 32767
+            stored.append(step if fits else 32767)
+            far += [] if fits else [step % 2**32]
+        index.append(len(far))
+    put(".p.bin", "<u8", np.cumsum([0, *map(len, columns)]))
+    if version == "1.1":
+        put(".i.bin", "<u4", [r for c in columns for r, _ in c])
+    else:
+        put(".i.bin", "<i2", stored)
+        put(".io.bin", "<u4", far)
+        put(".io.index", "<u8", index)
+    put(".x.D.bin", archive.WIDTHS[bits], [x for c in columns for _, x in c])
+    n, known = len(columns), "" if version == "1.1" else f', "version": "{version}"'
+    with open(f"{prefix}.meta.json", "w") as file:
+        file.write(f'{{"dim": {{"rows": {n}, "cols": {n}}}, "nnz": {sum(map(len, columns))}, "bits": {bits}, "format": "full", "stats": ["D"]{known}}}')
+    with open(f"{prefix}.vars.txt", "w") as file:
+        file.write("".join(f"rs{i}\n" for i in range(n)))
+
+
+@pytest.mark.parametrize("version", ["1.1", "2.1"])
+@pytest.mark.parametrize("piece", [3, 1 << 18])
+def test_archive_by_hand(spark, tmp_path, version, piece):
+    """Empty columns, rows far apart, first rows beyond and far before their column, several stretches."""
+    n, rng = 70_000, np.random.default_rng(7)
+    columns = [[] for _ in range(n)]
+    for j in [0, 1, 5, 4095, 4096, 9000, 69_999]:
+        rows = sorted({j, 0, n - 1, *rng.integers(0, n, 6).tolist()}) if j != 5 else [69_000, 69_001]
+        columns[j] = [(r, int(rng.integers(-128, 128))) for r in rows]
+    put_archive(tmp_path / "a", columns, version)
+    wanted = sorted((j, r, "nan" if x == -128 else str(np.float32(x) / np.float32(127))) for j, c in enumerate(columns) for r, x in c)
+    if piece == 3:
+        # In this process: pieces that cut columns.
+        import pyarrow as pa
+
+        before, archive.PIECE = archive.PIECE, piece
+        try:
+            batch = pa.RecordBatch.from_arrays([pa.array(range(-(-n // archive.STRETCH)))], names=["id"])
+            out = archive._decoder(str(tmp_path / "a"), n, 8, version, ["D"])([batch])
+            got = sorted((c, r) for b in out for c, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        finally:
+            archive.PIECE = before
+        assert got == [w[:2] for w in wanted]
+        return
+    m = archive.open_archive(spark, str(tmp_path / "a"))
+    got = sorted((r["col"], r["row"], str(np.float32(r["D"]))) for r in m.entries.collect())
+    assert got == wanted and m.n == n and m.nnz == len(wanted) and m.version == version
+    assert m.variants.where("idx = 4096").first()["id"] == "rs4096"
+
+
+@pytest.mark.parametrize("bits", [8, 16, 32, 99])
+def test_archive_roundtrip(spark, matrix, bits, tmp_path):
+    m = matrix.with_entries(matrix.entries, bits=bits)
+    archive.write_archive(m, str(tmp_path / "a"))
+    save(m, str(tmp_path / "m"))
+    back, stored = archive.open_archive(spark, str(tmp_path / "a")), open_matrix(spark, str(tmp_path / "m"))
+    assert back.meta() == stored.meta()
+    for stat in m.stats:
+        assert np.array_equal(dense(back, stat), dense(stored, stat), equal_nan=True)
+    assert archive.open_archive(spark, str(tmp_path / "a"), ["D"]).entries.columns == ["col", "row", "D"]
+    same = lambda v: [tuple(r) for r in v.select("idx", "chrom", "pos", "id", "ref", "alt").orderBy("idx").collect()]
+    assert same(back.variants) == same(m.variants)
+
+
+def test_archive_errors(spark, matrix, tmp_path):
+    prefix = str(tmp_path / "a")
+    with pytest.raises(FileNotFoundError, match="meta"):
+        archive.open_archive(spark, prefix)
+    archive.write_archive(matrix, prefix)
+    with pytest.raises(ValueError, match="not available"):
+        archive.open_archive(spark, prefix, ["N"])
+    short = (tmp_path / "a.i.bin").read_bytes()
+    (tmp_path / "a.i.bin").write_bytes(short[:-2])
+    with pytest.raises(ValueError, match="too short"):
+        archive.open_archive(spark, prefix)
+    (tmp_path / "a.io.index").unlink()
+    with pytest.raises(FileNotFoundError, match="index"):
+        archive.open_archive(spark, prefix)
+    with pytest.raises(ValueError, match="count"):
+        archive.write_archive(matrix.with_entries(matrix.entries.withColumn("N", F.lit(3.0).cast("float"))), prefix)
+
+
+def test_more_commands(spark, files, matrix, tmp_path, capsys):
+    d, sym = files
+    run = lambda *a: cli.main(list(map(str, a)), spark)
+    save(matrix, str(tmp_path / "m"))
+    run("decompress", "-i", tmp_path / "m", "-o", tmp_path / "a", "-t", "archive")
+    run("import", "-i", tmp_path / "a", "-o", tmp_path / "again")
+    assert np.array_equal(dense(open_matrix(spark, str(tmp_path / "again")), "UNPHASED_R"), sym)
+    run("index", "-i", tmp_path / "a", "-o", tmp_path / "index")
+    run("index", "-i", tmp_path / "a", "-o", tmp_path / "index2", "-s", d / "v.pvar")
+    assert spark.read.parquet(str(tmp_path / "index")).count() == spark.read.parquet(str(tmp_path / "index2")).count() == N
+    capsys.readouterr()
+    run("fetch", "-i", tmp_path / "a", "-r", "rs3", "rs1", "-c", "rs2", "rs5", "--pairwise")
+    lines = [x.split("\t") for x in capsys.readouterr().out.splitlines()]
+    assert lines[0] == ["UNPHASED_R", "var1", "var2"] and [x[1:] for x in lines[1:]] == [["rs3", "rs2"], ["rs1", "rs5"]]
+    assert np.isclose(float(lines[1][0]), sym[2, 1]) and np.isclose(float(lines[2][0]), sym[0, 4])
+    run("fetch", "-i", tmp_path / "m", "-r", 1, 2, "-c", 3, "-t", "UNPHASED_R", "D", "-o", tmp_path / "rows")
+    assert spark.read.text(str(tmp_path / "rows")).count() == 3
+    run("neighbors", "-i", tmp_path / "m", "-v", "rs3", "-t", "UNPHASED_R", "-a", 0.3, "-g", 50)
+    found = [x.split("\t")[1] for x in capsys.readouterr().out.splitlines()[1:]]
+    assert found == [f"rs{i + 1}" for i in range(8) if abs(sym[i, 2]) >= 0.3]

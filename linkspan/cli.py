@@ -4,15 +4,18 @@ stored matrices."""
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import export, index, ingest, query, transform
 from .operators.matrix import LDMatrix, open_matrix, save
+from .plans import genome
 from .schema import BITS, STATS
 from .sources import text
 from .sources.archive import is_archive, open_archive, read_archive_variants, write_archive
 from .sources.square import read_square
+from .sources.vcf import read_vcf
 
 
 def parser() -> argparse.ArgumentParser:
@@ -66,9 +69,32 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-a", "--abs_threshold", type=float, default=0.8)
     p.add_argument("-g", "--genomic_length", type=int, default=100_000)
     p.add_argument("-o", "--output", help="folder for the rows; else they are printed")
+    p = verbs.add_parser("genome", help="matrix and index of all chromosomes, from calls")
+    p.add_argument("--vcf_template", required=True, help="path of the calls, {CHR} for the chromosome")
+    p.add_argument("--chroms", default=",".join(map(str, range(1, 23))))
+    p.add_argument("-o", "--output_prefix", required=True)
+    p.add_argument("-w", "--ld_window_kb", type=int, default=1000)
+    p.add_argument("--ld_window_r2", type=float, default=0.01)
+    p.add_argument("-b", "--bits", type=int, choices=BITS, default=8)
+    p.add_argument("-m", "--min", type=float, default=0.01)
+    p.add_argument("-k", "--min_col", choices=STATS, default="PHASED_R")
+    p.add_argument("--extract", help="list of identifiers to use")
+    p.add_argument("--exclude", help="list of identifiers to leave out")
+    p.add_argument("--stage", help="folder that keeps the variants in use and the pair table")
     return top
 
 
+def _genome(spark: SparkSession, args: argparse.Namespace) -> None:
+    genome.check_parameters(vcf=args.vcf_template, bits=args.bits, min_col=args.min_col, window_kb=args.ld_window_kb, r2=args.ld_window_r2)
+    began = time.time()
+    calls = read_vcf(spark, text.expand_template(args.vcf_template, args.chroms)).drop("idx")
+    listed = {k: text.read_ids(spark, p) if p else None for k, p in (("extract", args.extract), ("exclude", args.exclude))}
+    save(genome.build_genome(calls, 1000 * args.ld_window_kb, args.ld_window_r2, args.bits, args.min, args.min_col, **listed, stage=args.stage), args.output_prefix)
+    done = open_matrix(spark, args.output_prefix)
+    index.save_index(index.build_index(done.variants), f"{args.output_prefix}/index")
+    print(f"{done.summary()}\nseconds: {time.time() - began:.1f}")
+
+
 def _asked(words: list[str]) -> list:
     """Places, if all words are numbers, else identifiers."""
     return [int(w) for w in words] if all(w.isdigit() for w in words) else words
@@ -120,6 +146,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         index.save_index(index.build_index(variants), args.output_prefix)
     elif args.verb == "fetch":
         _give(query.fetch(_open(spark, args.input), _asked(args.rows), _asked(args.cols), args.types, args.pairwise), args.output)
+    elif args.verb == "genome":
+        _genome(spark, args)
     elif args.verb == "neighbors":
         _give(query.neighbors(_open(spark, args.input), *_asked([args.variant]), args.type, args.abs_threshold, args.genomic_length), args.output)
 

@@ -23,8 +23,8 @@ def genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("rs"), (F.col("vec_id") + 1000).cast("string")).alias("id"),
         F.lit("A").alias("ref"),
         F.lit("C").alias("alt"),
-        F.transform(v, lambda x: F.when(x < -0.1, 0).when(x < 0.1, 1).otherwise(2).cast("long")).alias("g"),
-        F.transform(v, lambda x: (x > 0).cast("long")).alias("h"),
+        F.transform(v, lambda x: F.when(x < -0.1, 0).when(x < 0.1, 1).otherwise(2).cast("tinyint")).alias("g"),
+        F.transform(v, lambda x: (x > 0).cast("tinyint")).alias("h"),
     )
 
 
@@ -35,7 +35,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairs(spark: SparkSession, sf_dir: str, window: int = 60_000, least: float = 0.1) -> DataFrame:
     """Pair table of variants at most window apart with |UNPHASED_R| >= least."""
     g = genotypes(spark, sf_dir)
-    ld = chunks.ld_of_pairs(chunks.window_pairs(chunks.moments(g), window, ["ref", "alt", *chunks.MOMENTS]))
+    ld = chunks.window_ld(g, window, ["ref", "alt"])
     kept = ld.where(F.abs("UNPHASED_R") >= least)
     return kept.select(
         F.col("idx_a").alias("a"), F.col("idx_b").alias("b"), F.col("id_a").alias("ID_A"), F.col("ref_a").alias("REF_A"), F.col("alt_a").alias("ALT_A"), F.col("id_b").alias("ID_B"), F.col("ref_b").alias("REF_B"), F.col("alt_b").alias("ALT_B"),

@@ -54,16 +54,24 @@ def place_variants(variants: DataFrame) -> DataFrame:
 
 def pair_table(variants: DataFrame, window: int, r2: float, stat: str = "UNPHASED_R2") -> DataFrame:
     """LD of all pairs in the window from r2 on."""
-    pairs = chunks.ld_of_pairs(chunks.window_pairs(chunks.moments(variants), window, ["ref", "alt", *chunks.MOMENTS]))
+    pairs = chunks.window_ld(variants, window, ["ref", "alt"])
     names = {f"{c}_{s}": f"{c.upper()}_{s.upper()}" for c in ("id", "ref", "alt") for s in "ab"}
     kept = pairs.where(~F.isnan(stat) & (F.col(stat) >= r2))
     return kept.select(*(F.col(k).alias(v) for k, v in names.items()), *(F.col(c).cast("float").alias(c) for c in ("PHASED_R", "UNPHASED_R", "PHASED_R2", "UNPHASED_R2", "D", "DPRIME")))
 
 
-def build_genome(variants: DataFrame, window: int = 1_000_000, r2: float = 0.01, bits: int = 8, min_abs: float = 0.0, min_col: str = "PHASED_R", extract: DataFrame | None = None, exclude: DataFrame | None = None) -> LDMatrix:
-    """Matrix of all chromosomes of variants (chrom, pos, id, ref, alt, g, h)."""
-    used = place_variants(select_variants(variants, extract, exclude))
-    return ingest.from_pairs(pair_table(used, window, r2), used.drop("g", "h"), bits, min_abs, min_col)
+def build_genome(variants: DataFrame, window: int = 1_000_000, r2: float = 0.01, bits: int = 8, min_abs: float = 0.0, min_col: str = "PHASED_R", extract: DataFrame | None = None, exclude: DataFrame | None = None, stage: str | None = None) -> LDMatrix:
+    """Matrix of all chromosomes of variants (chrom, pos, id, ref, alt, g, h). stage: a folder that
+    keeps the variants in use and the pair table, each written once and read from there."""
+
+    def kept(frame: DataFrame, name: str) -> DataFrame:
+        if stage is None:
+            return frame
+        frame.write.parquet(f"{stage}/{name}")
+        return frame.sparkSession.read.parquet(f"{stage}/{name}")
+
+    used = kept(place_variants(select_variants(variants, extract, exclude)), "variants")
+    return ingest.from_pairs(kept(pair_table(used, window, r2), "pairs"), used.drop("g", "h"), bits, min_abs, min_col)
 
 
 def by_chunks(variants: DataFrame, window: int = 1_000_000, r2: float = 0.01, bits: int = 8, min_abs: float = 0.0, min_col: str = "PHASED_R") -> LDMatrix:

@@ -11,6 +11,7 @@ from linkspan.operators.matrix import LDMatrix, open_matrix, save
 from linkspan.plans import genome
 from linkspan.schema import MAX_ERROR
 from linkspan.sources import archive, square, text
+from linkspan.sources.vcf import read_vcf
 
 N = 23
 
@@ -397,3 +398,75 @@ def test_more_commands(spark, files, matrix, tmp_path, capsys):
     run("neighbors", "-i", tmp_path / "m", "-v", "rs3", "-t", "UNPHASED_R", "-a", 0.3, "-g", 50)
     found = [x.split("\t")[1] for x in capsys.readouterr().out.splitlines()[1:]]
     assert found == [f"rs{i + 1}" for i in range(8) if abs(sym[i, 2]) >= 0.3]
+
+
+def correlations(rows, window):
+    """r of dosages and of haplotypes, D and D' of all pairs in the window, from their definitions."""
+    out = {}
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and a[1] == b[1] and abs(a[2] - b[2]) <= window:
+                (g1, h1), (g2, h2) = ((np.array(v[6], float), np.array(v[7], float)) for v in (a, b))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    p, q = h1.mean(), h2.mean()
+                    d = (h1 * h2).mean() - p * q
+                    most = min(p * (1 - q), q * (1 - p)) if d >= 0 else min(p * q, (1 - p) * (1 - q))
+                    out[a[0], b[0]] = ((g1 * g2).mean() - g1.mean() * g2.mean()) / (g1.std() * g2.std()), d / np.sqrt(p * (1 - p) * q * (1 - q)), d, d / most
+    return out
+
+
+@pytest.mark.parametrize("tile", [3, 512])
+def test_window_ld_by_brute_force(spark, tile, monkeypatch):
+    monkeypatch.setattr(chunks, "TILE", tile)
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(70):
+        h = (rng.random(24) < 0.4).astype(int)
+        rows.append((i, str(rng.integers(1, 3)), int(rng.integers(0, 120)), f"v{i}", "A", "C", (h[::2] + h[1::2]).tolist(), h.tolist()))
+    schema = "idx long, chrom string, pos int, id string, ref string, alt string, g array<tinyint>, h array<tinyint>"
+    got = {(r["idx_a"], r["idx_b"]): r for r in chunks.window_ld(spark.createDataFrame(rows, schema), 17, ["ref", "alt"]).collect()}
+    want = correlations(rows, 17)
+    assert got.keys() == want.keys() and len(want) > 200
+    for pair, values in want.items():
+        r = got[pair]
+        assert (r["id_a"], r["id_b"], r["pos_a"], r["alt_b"]) == (f"v{pair[0]}", f"v{pair[1]}", rows[pair[0]][2], "C")
+        assert np.allclose([r[c] for c in ("UNPHASED_R", "PHASED_R", "D", "DPRIME")], values, equal_nan=True)
+    assert chunks.window_ld(spark.createDataFrame([], schema), 17, []).count() == 0
+    with pytest.raises(Exception, match="numbers of samples"):
+        chunks.window_ld(spark.createDataFrame([rows[0], (99, *rows[0][1:6], [1], [0, 1])], schema), 17, []).collect()
+
+
+def test_genome_from_calls(spark, tmp_path, capsys):
+    rng = np.random.default_rng(2)
+    rows = {}
+    for chrom in ("2", "10"):
+        lines = ["##fileformat=VCFv4.2", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *(f"s{i}" for i in range(30))])]
+        for i in range(25):
+            h = (rng.random(60) < 0.5).astype(int)
+            rows[f"rs{chrom}0{i}"] = (chrom, 1000 + 100 * i, h)
+            calls = [f"{a}|{b}:9" if a != b or i % 2 else f"{a}/{b}:9" for a, b in zip(h[::2], h[1::2])]
+            lines.append("\t".join([chrom, str(1000 + 100 * i), f"rs{chrom}0{i}", "A", "C", ".", ".", ".", "GT:DP", *calls]))
+        (tmp_path / f"c{chrom}.vcf").write_text("\n".join(lines) + "\n")
+    (tmp_path / "out.txt").write_text("rs204\n")
+    cli.main(["genome", "--vcf_template", str(tmp_path / "c{CHR}.vcf"), "--chroms", "10,2", "-o", str(tmp_path / "m"), "-w", "1", "--ld_window_r2", "0", "-b", "99", "-m", "0", "--exclude", str(tmp_path / "out.txt"), "--stage", str(tmp_path / "s")], spark)
+    assert "dimensions: 49 x 49" in capsys.readouterr().out
+    m = open_matrix(spark, str(tmp_path / "m"))
+    ids_in_order = [r["id"] for r in m.variants.orderBy("idx").collect()]
+    assert ids_in_order == [k for k in rows if k != "rs204"]
+    placed = [(i, *rows[k][:2], k, "A", "C", (rows[k][2][::2] + rows[k][2][1::2]).tolist(), rows[k][2].tolist()) for i, k in enumerate(ids_in_order)]
+    want = correlations(placed, 1000)
+    got = {(r["col"], r["row"]): r for r in m.entries.where("col < row").collect()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose([got[k][c] for c in ("UNPHASED_R", "PHASED_R", "D", "DPRIME")], v, atol=1e-6) for k, v in want.items())
+    assert spark.read.parquet(str(tmp_path / "m" / "index")).count() == spark.read.parquet(str(tmp_path / "s" / "variants")).count() == 49
+    assert spark.read.parquet(str(tmp_path / "s" / "pairs")).count() == len(want)
+
+
+@pytest.mark.parametrize("call", ["./.", "0/1", "0|2", "1", ".|1", ""])
+def test_calls_that_cannot_be_used(spark, tmp_path, call):
+    (tmp_path / "c.vcf").write_text("\t".join(["1", "5", ".", "A", "C", ".", ".", ".", "GT", "0|1", call]) + "\n")
+    with pytest.raises(Exception, match="can't be used at 1:5:A:C"):
+        read_vcf(spark, str(tmp_path / "c.vcf")).collect()
+    (tmp_path / "d.vcf").write_text("\t".join(["1", "5", ".", "A", "C", ".", ".", ".", "GT", "0|1", "1/1"]) + "\n")
+    row = read_vcf(spark, str(tmp_path / "d.vcf")).first()
+    assert (row["idx"], row["id"], list(row["g"]), list(row["h"])) == (0, "1:5:A:C", [1, 2], [0, 1, 1, 1])

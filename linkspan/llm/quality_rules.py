@@ -4,10 +4,10 @@ Base rules look at one text: words are runs outside [\\x20\\x09-\\x0D]; a text f
 ``min_words`` words or if over half of its words lie in three-word windows that occur twice or more.
 
 The method's verdict: lines are normalised (lower case, digits as 0, white space runs as one space),
-hashed, and the documents that hold a line are counted for each host (``source``). A line over the
-limit (``min_docs`` documents of the host and ``max_share`` of the host's documents) is removed; a
-document that loses more than ``max_loss`` of its words that way is depleted and rejected. The texts
-without these lines come from ``remove_lines``.
+hashed, and the documents that hold a line are counted for each host (``source``). A line in more
+than ``max_docs`` documents of a host is removed, however large the host is; a document that loses
+more than ``max_loss`` of its words that way is depleted and rejected. The texts without these lines
+come from ``remove_lines``.
 
 Plan: the base rules are one pass without a shuffle. Line hashes shuffle as 16 bytes each, with
 map-side combine, so a line of a third of the corpus is no hot task; only lines over the limit meet
@@ -15,7 +15,7 @@ the documents' lines again, and only numbers (no texts) are joined by document.
 
 Defined cases: null text has no words and fails; a null source is a host of its own; rows that share
 an id are one document where the documents of a line are counted (null ids are one), and rows of
-their own in the size of a host and in the result; repeated rows get the same verdict; an empty table
+their own in the result; repeated rows get the same verdict; an empty table
 gives an empty table.
 """
 
@@ -93,18 +93,17 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
     return docs.select(F.col(id_col).alias("_ls_id"), F.xxhash64(text).alias("_ls_mark"), host.alias("_ls_host"), F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit("[^\\x20\\x09-\\x0D]"))).alias("_ls_lines"))
 
 
-def _frequent(lines: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+def _frequent(lines: DataFrame, max_docs: int) -> DataFrame:
     """(_ls_host, _ls_h) of lines over the limit."""
     once = lines.select("_ls_host", id_or_null_stand_in(F.col("_ls_id")).alias("_ls_doc"), F.explode(F.array_distinct(F.transform("_ls_lines", lambda x: F.xxhash64(normalise(x))))).alias("_ls_h"))
-    hosts = lines.groupBy("_ls_host").agg(F.count("*").alias("_ls_docs"))
     counts = once.groupBy("_ls_host", "_ls_h").agg(F.count_distinct("_ls_doc").alias("_ls_n"))
-    return counts.where(F.col("_ls_n") > min_docs).join(hosts, "_ls_host").where(F.col("_ls_n") > max_share * F.col("_ls_docs")).select("_ls_host", "_ls_h")
+    return counts.where(F.col("_ls_n") > max_docs).select("_ls_host", "_ls_h")
 
 
-def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, max_share: float = 0.02) -> DataFrame:
+def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 20) -> DataFrame:
     """docs with the lines over the limit taken out of ``text_col`` (null: empty); rows and columns stay."""
     lines = _lines(docs, id_col, text_col, host_col)
-    often = _frequent(lines, min_docs, max_share)
+    often = _frequent(lines, max_docs)
     held = lines.select("_ls_id", "_ls_mark", "_ls_host", F.explode(F.array_distinct(F.transform("_ls_lines", lambda x: F.xxhash64(normalise(x))))).alias("_ls_h"))
     gone = held.join(often, ["_ls_host", "_ls_h"]).groupBy("_ls_id", "_ls_mark", "_ls_host").agg(F.collect_set("_ls_h").alias("_ls_gone"))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -116,12 +115,12 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def score_quality(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, min_docs: int = 20, max_share: float = 0.02, max_loss: float = 0.5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, max_docs: int = 20, max_loss: float = 0.5
 ) -> DataFrame:
     """One row per row of docs: id, the base rules' columns, lost_words, kept."""
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     lines = _lines(docs, id_col, text_col, host_col)
-    often = _frequent(lines, min_docs, max_share)
+    often = _frequent(lines, max_docs)
     placed = lines.select("_ls_id", "_ls_mark", "_ls_host", F.posexplode("_ls_lines").alias("_ls_at", "_ls_line")).select(
         "_ls_id", "_ls_mark", "_ls_host", "_ls_at", F.xxhash64(normalise(F.col("_ls_line"))).alias("_ls_h"), F.size(_words(F.col("_ls_line"))).alias("_ls_words")
     )

@@ -85,8 +85,7 @@ twice AS (SELECT doc_id, win FROM win GROUP BY doc_id, win HAVING count(*) > 1),
 places AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i+1, i+2]) AS p FROM win JOIN twice USING (doc_id, win)) GROUP BY doc_id),
 norm AS (SELECT d.doc_id, d.source, trim(regexp_replace(regexp_replace(lower(l), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS k, len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS nw
          FROM (SELECT doc_id, unnest(ls) AS l FROM w) x JOIN docs d USING (doc_id)),
-hosts AS (SELECT source, count(*) AS n FROM docs GROUP BY source),
-often AS (SELECT c.source, c.k FROM (SELECT source, k, count(DISTINCT doc_id) AS n FROM norm GROUP BY source, k) c JOIN hosts h ON c.source = h.source WHERE c.n > 20 AND c.n > 0.02 * h.n),
+often AS (SELECT source, k FROM norm GROUP BY source, k HAVING count(DISTINCT doc_id) > 20),
 lost AS (SELECT doc_id, sum(nw) AS lost FROM norm JOIN often USING (source, k) GROUP BY doc_id),
 base AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,

@@ -714,3 +714,12 @@ def test_lm_keys_are_found():
         asked = np.concatenate([held, rng.integers(-(2**63), 2**63 - 1, 100), [0, -1, 2**63 - 1, -(2**63)]])
         places = dict(zip(keys.sorted.view(np.int64).tolist(), range(len(keys))))
         assert keys.find(asked).tolist() == [places.get(x, -1) for x in asked.tolist()]
+
+
+def test_quality_limit_does_not_grow_with_the_host(spark):
+    shared = " ".join(f"shared{chr(97 + i)}" for i in range(26))
+    for size in (30, 3000):
+        rows = [(i, (f"{shared}\n" if i < 21 else "") + f"own {'z' * i}", "h") for i in range(size)]
+        rows += [(size + i, f"{shared}\nown {'q' * i}", "g") for i in range(20)]
+        lost = {r["doc_id"]: r["lost_words"] for r in quality_rules.score_quality(frame(spark, rows)).collect()}
+        assert {i for i, n in lost.items() if n} == set(range(21)) and lost[0] == 26

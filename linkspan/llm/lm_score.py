@@ -9,24 +9,29 @@ class too.
 
 The softmax within a class has a bias for each word, (c + 0.5) / (C + 0.5 * (V + 1)) over the class's
 C training tokens and V words, as the base score is smoothed, and hashed features of words: the word
-with the two words before, with the word before, and with the word before that (a skip). A token's
-context is the longest of these three that has features. The features are learnt from the corpus:
-those that a block of it repeats are candidates, the most frequent up to MAX_FEATURES are kept, so
-their number grows with the text until they fill 16 MB. As only words with a feature differ from their
-biases, the sum over a class is 1 + sum(p * (exp(weight) - 1)) over these, and is exact.
+with the two words before, with the word before, and with the word before that (a skip). A token is left
+to the longest of these three contexts that is kept. A context is kept if, of all training tokens that
+longer contexts leave to it, some word occurs at least REPEATS times; then every word of these tokens is
+a feature. Nothing depends on blocks, and the table of features has no limit: it is learnt and read in
+parts by a hash of the context, and no part is sent to all tasks or to the driver. As only words with a
+feature differ from their biases, the sum over a class is 1 + sum(p * (exp(weight) - 1)) over these, and
+is exact.
 
 1. One pass cuts the corpus into blocks and writes each as a local dictionary and word numbers, so
-   texts are split only once. Training counts of the dictionaries add up to the table of word counts.
-2. Every training token's (class history, class) is counted, and so is every training token of a kept
-   context with its class and, if kept, its feature; the gradients of the likelihood over these counts
-   are those over all tokens. For the class softmax each update sends the weights to the tasks that
-   hold the counts, adds up their gradients and takes a step scaled by the expected counts; within
-   classes, a context's words of a class are a softmax of their own, so tasks update theirs alone.
-3. Word counts are joined to the blocks' dictionaries (a row for each block and distinct word, never
-   for each token) and blocks are scored in numpy by sparse look-ups.
-
-What the driver holds is bounded: class weights (``BUCKETS`` x ``CLASSES``), the kept features' keys and
-weights, and a few totals.
+   texts are split only once. Training counts of the dictionaries add up to the table of word counts,
+   which is joined to the dictionaries (a row for each block and distinct word, never for each token).
+2. Every training token's (class history, class) is counted; the gradients of the likelihood over these
+   counts are those over all tokens. For the class softmax each update sends the weights to the tasks
+   that hold the counts, adds up their gradients and takes a step scaled by the expected counts.
+3. For each kind of context in turn, in ROUNDS over the parts, blocks send their distinct pairs of context and word, of training
+   and held-out tokens, to the context's part, as packed arrays. A part adds up its pairs, finds the
+   contexts to keep, trains their softmaxes (a context's words of a class are one of their own) and
+   answers each block with the gain of each pair, or that the context is not kept. Tokens without a gain
+   go on to the next kind.
+4. Blocks are scored in numpy from the class table, the word counts and the answers.
+
+What the driver holds is bounded: class weights (``BUCKETS`` x ``CLASSES``) and a few totals; ``fit`` also
+gathers the most frequent features, to look at.
 
 Defined cases: null or empty text is the end token alone; null ids take the fold of the empty text;
 repeated rows count and score as rows of their own; without training rows every word has count 0; an
@@ -35,6 +40,8 @@ empty table gives an empty table. Words are lower-cased (A-Z) runs outside [\\x2
 
 from __future__ import annotations
 
+import functools
+import gc
 import hashlib
 import zlib
 from dataclasses import dataclass
@@ -54,8 +61,12 @@ BUCKETS, TEMPLATES = 1 << 14, 8
 END = b"\n"  # no word can be this
 BLOCK_CHARS = 8_000_000
 STOPS = b".,;:!?\"'()"
-#: Kept features of words (16 bytes each), and the times that a block must hold a candidate.
+#: Features that ``fit`` shows on the driver (scores take all), and the times that a kept context must
+#: have some word.
 MAX_FEATURES, REPEATS = 1 << 20, 2
+#: Tokens of the corpus for each part of the pairs, and the rounds in which the pairs of each kind of
+#: context go to their parts: what one round shuffles is gone before the next.
+PART_TOKENS, ROUNDS = 1_500_000, (4, 2, 1)
 #: Variance of a weight's prior within classes, and updates of the weights there.
 SPREAD, WORD_UPDATES = 8.0, 40
 
@@ -240,14 +251,14 @@ def _hash(*parts: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def contexts(keys: np.ndarray, lens: np.ndarray) -> list[np.ndarray]:
+def contexts(keys: np.ndarray, lens: np.ndarray, kinds: int = len(ROUNDS)) -> list[np.ndarray]:
     """Hashed contexts of each token: two words before, the word before, the word before that."""
     starts = np.cumsum(lens) - lens
     offset = np.arange(len(keys)) - np.repeat(starts, lens)
     one, two = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
     one[1:], two[2:] = keys[:-1], keys[:-2]
     one[offset < 1], two[offset < 2] = 1, 2  # before the text
-    return [_hash(np.zeros(1, np.int64), one, two), _hash(np.ones(1, np.int64), one), _hash(np.full(1, 2, np.int64), two)]
+    return [_hash(np.full(1, kind, np.int64), *words) for kind, words in enumerate(((one, two), (one,), (two,))[:kinds])]
 
 
 class Keys:
@@ -279,67 +290,93 @@ class Keys:
         return out
 
 
-def _tokens(batch: pa.RecordBatch, row: int, top: dict[int, int]):
-    """(word keys, classes, lengths, training marks) of a block's tokens."""
-    words, lens, train = (_list(batch, c, row) for c in ("words", "lens", "train"))
-    ids = _ids(batch.column("ids")[row].as_py(), len(words))
-    return words[ids], classes_of(words, _list(batch, "endings", row), top)[ids], lens, np.repeat(train, lens)
-
-
 def varied(classes: np.ndarray) -> np.ndarray:
     """Tokens of classes of several words; others have probability 1 within theirs."""
     return (classes >= TOP) & (classes < END_CLASS)
 
 
-def _candidates(shared):
-    """Features that a block repeats: context, word, class, times."""
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys, classes, lens, train = _tokens(batch, i, shared.value)
-                on = np.flatnonzero(train & varied(classes))
-                for context in contexts(keys, lens):
-                    feature = _hash(context[on], keys[on])
-                    found, n = np.unique(feature, return_counts=True)
-                    often = Keys(found[n >= REPEATS])
-                    place = often.find(feature)
-                    at, times = np.zeros(len(often), np.int64), np.bincount(place[place >= 0], minlength=len(often))
-                    at[place[place >= 0]] = on[place >= 0]  # any of its tokens
-                    for s in range(0, len(at), 200_000):
-                        part = at[s : s + 200_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(context[part]), pa.array(keys[part]), pa.array(classes[part].astype(np.int8)), pa.array(times[s : s + 200_000].astype(np.int64))], names=["context", "word", "class", "n"])
-
-    return run
-
-
-def chosen(keys: np.ndarray, classes: np.ndarray, lens: np.ndarray, kept: Keys) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens with a kept context, and that context."""
-    left, found = np.flatnonzero(varied(classes)), []
-    for context in contexts(keys, lens):
-        hit = kept.find(context[left]) >= 0
-        found.append((left[hit], context[left[hit]]))
-        left = left[~hit]
-    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-
-
-def _count_features(shared):
-    """Training tokens by context and class of kept features (kind 0), and by kept feature (kind 1)."""
-
-    def run(batches):
-        top, kept, known, known_cells = shared.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys, classes, lens, train = _tokens(batch, i, top)
-                at, context = chosen(keys, classes, lens, kept)
-                context, at = context[train[at]], at[train[at]]
-                cell, feature = _hash(context, classes[at]), _hash(context, keys[at])
-                cells, n = np.unique(cell[known_cells.find(cell) >= 0], return_counts=True)
-                found, m = np.unique(feature[known.find(feature) >= 0], return_counts=True)
-                for key, times, kind in ((cells, n, 0), (found, m, 1)):
-                    for s in range(0, len(key), 200_000):
-                        part = key[s : s + 200_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), kind, np.int8)), pa.array(times[s : s + 200_000].astype(np.int64))], names=["key", "kind", "n"])
+def starts(parts: int) -> np.ndarray:
+    """The first context of each part."""
+    return np.array([(p << 64) // parts for p in range(parts)], np.uint64)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers with their first bytes together, then their second: zeros of small numbers compress away."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def asked(context: np.ndarray, keys: np.ndarray, left: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of context and word among the tokens left, sorted by context: a token of each pair,
+    the pair's place for each token left, and where each part's pairs begin and end."""
+    feature = _hash(context[left], keys[left])
+    by = np.argsort(feature)
+    new = np.ones(len(by), bool)
+    new[1:] = feature[by[1:]] != feature[by[:-1]]
+    number = np.empty(len(by), np.int64)
+    number[by] = np.cumsum(new) - 1
+    token = left[by[new]]
+    order = np.argsort(context[token].view(np.uint64), kind="stable")
+    place = np.empty(len(token), np.int64)
+    place[order] = np.arange(len(token))
+    token = token[order]
+    return token, place[number], np.append(np.searchsorted(context[token].view(np.uint64), starts(parts)), len(token))
+
+
+def _told(block: pa.Table, answers: pa.Table, top: dict[int, int], parts: int, kinds: int):
+    """A block's words' training counts and classes, its tokens' words, lengths, training marks and
+    contexts, the gains of tokens from the first kinds of context, and the tokens left."""
+    row = block.combine_chunks().to_batches()[0]
+    words, lens, train = (_list(row, c, 0) for c in ("words", "lens", "train"))
+    of_word, ids = classes_of(words, _list(row, "endings", 0), top), _ids(row.column("ids")[0].as_py(), len(words))
+    known, of_kind = np.zeros(len(words), np.int64), [{} for _ in range(kinds)]
+    for kind, part, data in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "data"))):
+        if kind < 0:  # of the block's words
+            counts = np.frombuffer(data, np.int64)
+            known[: len(counts)] = counts
+        elif kind < kinds:
+            of_kind[kind][part] = np.frombuffer(data, np.float32)
+    keys, gain, left = words[ids], np.zeros(len(ids)), np.flatnonzero(varied(of_word)[ids])
+    near = contexts(keys, lens, kinds + 1)
+    for context, given in zip(near, of_kind):
+        if len(left):
+            got = np.concatenate([given[p] for p in sorted(given)])[asked(context, keys, left, parts)[1]]
+            hit = ~np.isnan(got)
+            gain[left[hit]] = got[hit]
+            left = left[~hit]
+    return row, known, of_word, ids, keys, lens, np.repeat(train, lens), near, gain, left
+
+
+_REQUEST = "part int, block long, contexts binary, pairs binary, features binary, times binary, known binary, classes binary"
+_ANSWER = "block long, kind int, part int, data binary"
+
+
+def _ask(shared, parts: int, kind: int, low: int, high: int):
+    """A block's distinct pairs of one kind of context and word, for parts from low to before high: the
+    contexts' differences and numbers of pairs, the features, training tokens, words' counts and classes."""
+
+    def run(block, answers):
+        _, known, of_word, ids, keys, _, train, near, _, left = _told(block, answers, shared.value, parts, kind)
+        context, first = near[kind][left].view(np.uint64), starts(parts)
+        left = left[(context >= first[low]) & (context < first[high] if high < parts else True)]
+        token, place, bounds = asked(near[kind], keys, left, parts)
+        times = np.bincount(place[train[left]], minlength=len(token)).astype(np.uint32)
+        context, word = near[kind][token], ids[token]
+        feature = _hash(context, keys[token])
+        rows = []
+        for part in range(low, high):
+            at = slice(bounds[part], bounds[part + 1])
+            if at.start < at.stop:
+                heads = np.flatnonzero(np.append(True, context[at][1:] != context[at][:-1]))
+                columns = np.diff(context[at][heads], prepend=0), np.diff(heads, append=at.stop - at.start).astype(np.uint32), feature[at], times[at], known[word[at]].astype(np.uint64), of_word[word[at]].astype(np.uint8)
+                rows.append((part, *map(_planes, columns)))
+        part, *blobs = zip(*rows) if rows else [()] * 7
+        number = block.column("block")[0].as_py()
+        return pa.table([pa.array(part, pa.int32()), pa.array([number] * len(part), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=["part", "block", "contexts", "pairs", "features", "times", "known", "classes"])
 
     return run
 
@@ -360,14 +397,53 @@ def word_weights(cell: np.ndarray, p: np.ndarray, n: np.ndarray, total: np.ndarr
     return weight, np.log(sums(weight))
 
 
-def _train_words(table: pa.Table) -> pa.Table:
-    cells, cell = np.unique(table.column("cell").to_numpy(), return_inverse=True)
-    weight, log_sum = word_weights(cell, *(table.column(c).to_numpy().astype(np.float64) for c in ("p", "n", "total")))
-    return pa.table({"feature": table.column("feature"), "context": table.column("context"), "cell": table.column("cell"), "weight": weight.astype(np.float32), "log_sum": log_sum.astype(np.float32)})
+class Part:
+    """All pairs of a part's contexts, their softmaxes trained. ends: where each request's pairs end."""
+
+    def __init__(self, requests: pa.Table, class_sizes: np.ndarray):
+        pairs = [[], [], [], [], []]
+        for i in range(requests.num_rows):
+            heads, fans, *rest = (_from_planes(requests.column(c)[i].as_py(), t) for c, t in (("contexts", np.int64), ("pairs", np.uint32), ("features", np.int64), ("times", np.uint32), ("known", np.int64), ("classes", np.uint8)))
+            for column, x in zip(pairs, (np.repeat(np.cumsum(heads), fans), *rest)):
+                column.append(x)
+        self.ends = np.cumsum([len(x) for x in pairs[1]])
+        context, feature, times, known, classes = (np.concatenate(x) for x in pairs)
+        self.feature, at, self.owner = np.unique(feature, return_index=True, return_inverse=True)
+        self.context, of_class = context[at], classes[at].astype(np.int64)
+        self.n = np.bincount(self.owner, times, len(at))
+        _, of_context = np.unique(self.context, return_inverse=True)
+        most = np.zeros(of_context.max() + 1)
+        np.maximum.at(most, of_context, self.n)
+        self.kept = (most >= REPEATS)[of_context]
+        self.learnt = self.kept & (self.n > 0)
+        self.cell = _hash(self.context, of_class)
+        cells, cell = np.unique(self.cell, return_inverse=True)
+        total, log_sums = np.bincount(cell, self.n, len(cells)), np.zeros(len(cells))
+        self.weight, on = np.zeros(len(at)), cell[self.learnt]
+        p = (known[at] + 0.5) / class_sizes[of_class]
+        self.weight[self.learnt], log_sums[on] = word_weights(np.unique(on, return_inverse=True)[1], p[self.learnt], self.n[self.learnt], total[on])
+        self.log_sum = log_sums[cell]
+
+    def gains(self) -> list[np.ndarray]:
+        """Each request's gains; no number where the context is not kept."""
+        gain = np.where(self.kept, self.weight - self.log_sum, np.nan).astype(np.float32)
+        return np.split(gain[self.owner], self.ends[:-1])
+
+    def features(self) -> pa.Table:
+        got = {"feature": self.feature, "context": self.context, "cell": self.cell, "weight": self.weight.astype(np.float32), "log_sum": self.log_sum.astype(np.float32), "n": self.n.astype(np.int64)}
+        return pa.table({k: x[self.learnt] for k, x in got.items()})
+
+
+def _answer(class_sizes: np.ndarray, kind: int):
+    def run(requests):
+        gains = [x.tobytes() for x in Part(requests, class_sizes).gains()]
+        return pa.table([requests.column("block"), pa.array([kind] * len(gains), pa.int32()), requests.column("part"), pa.array(gains, pa.binary())], names=["block", "kind", "part", "data"])
+
+    return run
 
 
 class WordModel:
-    """The softmaxes within classes: contexts, features with weights, cells with their sums."""
+    """Softmaxes within classes, to look at: contexts, features with weights, cells with their sums."""
 
     def __init__(self, rows: pa.Table):
         self.contexts = Keys(rows.column("context").to_numpy())
@@ -381,16 +457,6 @@ class WordModel:
         values[keys.find(hashes)] = rows.column(value).to_numpy()
         return keys, values[: len(keys)]
 
-    def gain(self, keys: np.ndarray, classes: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """What each token's log probability within its class gains over its bias."""
-        out = np.zeros(len(keys))
-        at, context = chosen(keys, classes, lens, self.contexts)
-        for table, values, sign, key in ((self.features, self.weights, 1, keys), (self.cells, self.log_sums, -1, classes)):
-            found = table.find(_hash(context, key[at]))
-            hit = found >= 0
-            out[at[hit]] += sign * values[found[hit]]
-        return out
-
 
 def most_frequent(found: DataFrame, most: int) -> DataFrame:
     """Some ``most`` rows of the greatest n; of the least n that still fits, those that a hash picks. No
@@ -406,74 +472,71 @@ def most_frequent(found: DataFrame, most: int) -> DataFrame:
     return found.where((level > least) | (level == least) & picked)
 
 
-def train_words(blocks: DataFrame, counts: DataFrame, shared_top, sizes: np.ndarray, types: np.ndarray) -> WordModel:
-    """Features learnt from the blocks' training tokens, with their weights."""
-    context = blocks.sparkSession.sparkContext
-    every = blocks.select("words", "lens", "train", "endings", "ids")
-    found = every.mapInArrow(_candidates(shared_top), "context long, word long, class byte, n long").groupBy("context", "word").agg(F.sum("n").alias("n"), F.max("class").alias("class"))
-    kept = materialise(most_frequent(materialise(found), MAX_FEATURES))
-    pairs = kept.select("context", "word", "class").toArrow()
-    of_context, word, of_class = (pairs.column(c).to_numpy() for c in ("context", "word", "class"))
-    shared = context.broadcast((shared_top.value, Keys(of_context), Keys(_hash(of_context, word)), Keys(_hash(of_context, of_class))))
-    times = materialise(every.mapInArrow(_count_features(shared), "key long, kind byte, n long").groupBy("key", "kind").agg(F.sum("n").alias("n")))
-    shared.unpersist()
-    size = F.element_at(F.lit((sizes + 0.5 * (types + 1)).tolist()).cast("array<double>"), F.col("class") + 1)
-
-    def keyed(batches):
-        for b in batches:
-            c, w, k = (b.column(x).to_numpy() for x in ("context", "word", "class"))
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(_hash(c, w)), pa.array(_hash(c, k)), b.column("p")], names=["context", "feature", "cell", "p"])
-
-    biased = kept.join(counts.select(F.col("words").alias("word"), "c"), "word").select("context", "word", "class", ((F.col("c") + 0.5) / size).alias("p"))
-    rows = biased.mapInArrow(keyed, "context long, feature long, cell long, p double")
-    rows = rows.join(times.where("kind = 1").select(F.col("key").alias("feature"), "n"), "feature").join(times.where("kind = 0").select(F.col("key").alias("cell"), F.col("n").alias("total")), "cell")
-    # At most MAX_FEATURES rows in all; a softmax is trained as a whole.
-    trained = rows.groupBy(F.pmod("cell", F.lit(64)).alias("_part")).applyInArrow(_train_words, "feature long, context long, cell long, weight float, log_sum float")
-    return WordModel(trained.toArrow())
-
-
-def _gains(shared):
-    """Blocks without their words, with each document's gain within classes (log10)."""
-
-    def run(batches):
-        top, model = shared.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys, classes, lens, _ = _tokens(batch, i, top)
-                gain = np.add.reduceat(model.gain(keys, classes, lens), np.cumsum(lens) - lens) / np.log(10)
-                kept = [batch.column(c).slice(i, 1) for c in ("block", "docs", "lens", "train", "endings", "ids")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([gain.tolist()], pa.list_(pa.float64()))], names=["block", "docs", "lens", "train", "endings", "ids", "gain"])
-
-    return run
-
-
-def _score(shared):
-    def run(batches):
-        table, log_class_size, base_total = shared.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                of_word = _list(batch, "endings", i).astype(np.int64) + TOP
-                known = np.zeros(len(of_word))
-                found = batch.column("known")[i]
-                if found.is_valid:
-                    pos, count, leads = (found.values.field(c).to_numpy() for c in ("pos", "c", "top"))
-                    known[pos] = count
-                    of_word[pos[leads >= 0]] = leads[leads >= 0]
-                ids, lens = _ids(batch.column("ids")[i].as_py(), len(of_word)), _list(batch, "lens", i)
-                classes = of_word[ids]
-                base_word = np.log10(known + 0.5) - base_total
-                # Words that are classes have probability 1 within them.
-                in_class = np.where((of_word < TOP) | (of_word == END_CLASS), 0.0, np.log10(known + 0.5) - log_class_size[of_word])
-                token = table[histories(classes, lens) * CLASSES + classes].astype(np.float64) + in_class[ids]
-                starts = np.cumsum(lens) - lens
-                yield pa.RecordBatch.from_pydict({
-                    "_ls_doc": batch.column("docs")[i].values,
-                    "train": batch.column("train")[i].values,
-                    "n_tokens": pa.array(lens.astype(np.int64)),
-                    "n_known": pa.array(np.add.reduceat((known > 0)[ids].astype(np.int64), starts), pa.int64()),
-                    "base_score": pa.array(np.add.reduceat(base_word[ids], starts)),
-                    "score": pa.array(np.add.reduceat(token, starts) + _list(batch, "gain", i)),
-                })
+def _pack_known(batches):
+    """Blocks' training counts by place in the dictionary, as answers of kind -1."""
+    for batch in batches:
+        rows = []
+        for found in batch.column("known"):
+            pos, count = (found.values.field(c).to_numpy() for c in ("pos", "c"))
+            counts = np.zeros(int(pos.max()) + 1, np.int64)
+            counts[pos] = count
+            rows.append(counts.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array([-1] * len(rows), pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["block", "kind", "part", "data"])
+
+
+def known_words(blocks: DataFrame, counts: DataFrame) -> DataFrame:
+    """The training counts of the words of each block."""
+    words = blocks.select("block", F.posexplode("words").alias("pos", "words")).join(counts.select("words", "c"), "words")
+    return materialise(words.groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("known")).mapInArrow(_pack_known, _ANSWER))
+
+
+def _free_shuffles(spark) -> None:
+    """Let go of the files of shuffles that no plan needs any more; else the next come on top of them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _by_block(blocks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
+    return blocks.select("block", "docs", "lens", "train", "words", "endings", "ids").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+
+
+def train_words(blocks: DataFrame, known: DataFrame, shared_top, class_sizes: np.ndarray, parts: int, features: list[DataFrame] | None = None) -> DataFrame:
+    """The answers to all blocks: their words' counts, and gains by kind of context and part. The features
+    themselves are put into the list, if there is one."""
+    answers = known
+    for kind, rounds in enumerate(ROUNDS):
+        told = answers
+        for low, high in {(r * parts // rounds, (r + 1) * parts // rounds) for r in range(rounds)}:
+            if low < high:
+                _free_shuffles(blocks.sparkSession)
+                requests = _by_block(blocks, told, _ask(shared_top, parts, kind, low, high), _REQUEST)
+                if features is not None:
+                    requests = materialise(requests)
+                    features.append(requests.groupBy("part").applyInArrow(lambda table: Part(table, class_sizes).features(), "feature long, context long, cell long, weight float, log_sum float, n long"))
+                answers = answers.unionByName(materialise(requests.groupBy("part").applyInArrow(_answer(class_sizes, kind), _ANSWER)))
+                del requests
+    _free_shuffles(blocks.sparkSession)
+    return answers
+
+
+def _score(shared, parts: int):
+    def run(block, answers):
+        top, table, log_class_size, base_total = shared.value
+        row, known, of_word, ids, _, lens, _, _, gain, _ = _told(block, answers, top, parts, len(ROUNDS))
+        classes = of_word[ids]
+        base_word = np.log10(known + 0.5) - base_total
+        # Words that are classes have probability 1 within them.
+        in_class = np.where(varied(of_word), np.log10(known + 0.5) - log_class_size[of_word], 0.0)
+        token = table[histories(classes, lens) * CLASSES + classes].astype(np.float64) + in_class[ids] + gain / np.log(10)
+        starts = np.cumsum(lens) - lens
+        return pa.table({
+            "_ls_doc": row.column("docs")[0].values,
+            "train": row.column("train")[0].values,
+            "n_tokens": pa.array(lens.astype(np.int64)),
+            "n_known": pa.array(np.add.reduceat((known > 0)[ids].astype(np.int64), starts), pa.int64()),
+            "base_score": pa.array(np.add.reduceat(base_word[ids], starts)),
+            "score": pa.array(np.add.reduceat(token, starts)),
+        })
 
     return run
 
@@ -481,18 +544,19 @@ def _score(shared):
 @dataclass
 class Model:
     """top: classes of the frequent words; table: log10 P(class | class history), flat; log_sizes: log10
-    of the smoothed tokens of each class; words: the softmaxes within classes."""
+    of the smoothed tokens of each class; words: of the softmaxes within classes, the MAX_FEATURES most
+    frequent features (scores take all)."""
 
     top: dict[int, int]
     table: np.ndarray
     log_sizes: np.ndarray
     n_train: int
     n_types: int
-    words: WordModel
+    words: WordModel | None = None
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1) -> tuple[DataFrame, DataFrame, Model]:
-    """Blocks, counts of training words, and the model of the training rows."""
+def fit_classes(docs: DataFrame, id_col: str, text_col: str, folds: int, held_out: int) -> tuple[DataFrame, DataFrame, Model]:
+    """Blocks, counts of training words, and the model of the training rows but for its features of words."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("_ls_doc"), (crc_mod(F.col(id_col), folds) != held_out).alias("_ls_train"), F.col(text_col).cast("binary").alias("_ls_text"))
@@ -515,25 +579,31 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     weights = train_classes(materialise(cells.repartition(6, F.expr(f"cell div {CLASSES}"))))
     table = np.concatenate([log_softmax(weights, features(np.arange(s, s + CLASSES**2)))for s in range(0, CLASSES**3, CLASSES**2)])
     table = (table / np.log(10)).astype(np.float32).ravel()
-    words = train_words(blocks, counts, shared_top, sizes, types)
-    return blocks, counts, Model(top, table, np.log10(sizes + 0.5 * (types + 1)), n_train, n_types, words)
+    return blocks, counts, Model(top, table, np.log10(sizes + 0.5 * (types + 1)), n_train, n_types)
+
+
+def _words_of(blocks: DataFrame, counts: DataFrame, model: Model, features: list[DataFrame] | None = None) -> tuple[DataFrame, int]:
+    tokens = blocks.agg(F.sum(F.expr("aggregate(lens, 0L, (a, x) -> a + x)"))).first()[0] or 0
+    parts = tokens // PART_TOKENS + 1
+    shared_top = blocks.sparkSession.sparkContext.broadcast(model.top)
+    _free_shuffles(blocks.sparkSession)
+    return train_words(blocks, known_words(blocks, counts), shared_top, 10**model.log_sizes, parts, features), parts
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1) -> tuple[DataFrame, DataFrame, Model]:
+    """Blocks, counts of training words, and the model of the training rows."""
+    blocks, counts, model = fit_classes(docs, id_col, text_col, folds, held_out)
+    features: list[DataFrame] = []
+    _words_of(blocks, counts, model, features)
+    every = materialise(functools.reduce(DataFrame.unionByName, features).withColumn("word", F.col("feature")))
+    model.words = WordModel(most_frequent(every, MAX_FEATURES).toArrow())
+    return blocks, counts, model
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1) -> DataFrame:
     """One row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    blocks, counts, model = fit(docs, id_col, text_col, folds, held_out)
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((model.table, model.log_sizes, float(np.log10(model.n_train + 0.5 * (model.n_types + 1)))))
-    shared_words = context.broadcast((model.top, model.words))
-    gained = blocks.mapInArrow(_gains(shared_words), "block long, docs array<bigint>, lens array<int>, train array<boolean>, endings array<tinyint>, ids binary, gain array<double>")
-    leading = F.lit(-1).cast("tinyint")
-    for key, number in model.top.items():
-        leading = F.when(F.col("words") == key, F.lit(number).cast("tinyint")).otherwise(leading)
-    looked_up = (
-        blocks.select("block", F.posexplode("words").alias("pos", "words"))
-        .join(counts.select("words", "c", leading.alias("top")), "words")
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("pos", "c", "top")).alias("known"))
-    )
-    scored = gained.join(looked_up, "block", "left").mapInArrow(_score(shared), "_ls_doc long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    blocks, counts, model = fit_classes(docs, id_col, text_col, folds, held_out)
+    answers, parts = _words_of(blocks, counts, model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.top, model.table, model.log_sizes, float(np.log10(model.n_train + 0.5 * (model.n_types + 1)))))
+    scored = _by_block(blocks, answers, _score(shared, parts), "_ls_doc long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("_ls_doc").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_train).cast("long").alias("train_tokens"), "base_score", "score")

@@ -657,6 +657,50 @@ def test_most_frequent_features_without_a_sort(spark):
     assert got[7] == got[6] == 1000 and 400 < got[5] < 600 and not got[4]
 
 
+def test_lm_features_have_no_limit_and_no_blocks(spark, monkeypatch):
+    """A passage that two blocks hold once each is learnt; nothing hangs on blocks or numbers of features."""
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1]
+    shared = " ".join(f"rare{chr(97 + i % 26)}{i}" for i in range(60))
+    rows = [(i, f"{shared if i in train[:2] else ''} " + " ".join(f"w{(i * 7 + j * j) % 300}" for j in range(120)), "s") for i in range(400)]
+    rows.append((10**6, " ".join(f"lone{chr(97 + i % 26)}{i}" for i in range(60)), "s"))
+    assert zlib.crc32(b"1000000") % 5 != 1
+    docs = frame(spark, rows)
+
+    def scores(docs):
+        return {r["doc_id"]: r["score"] for r in lm_score.score_documents(docs).collect()}
+
+    one = scores(docs.coalesce(1))
+    assert scores(docs.repartition(5, (F.col("doc_id") == train[0]).cast("int"), F.col("doc_id") % 7)) == pytest.approx(one, rel=1e-6)
+    monkeypatch.setattr(lm_score, "MAX_FEATURES", 10)
+    monkeypatch.setattr(lm_score, "PART_TOKENS", 3000)
+    assert scores(docs.coalesce(1)) == pytest.approx(one, rel=1e-6)
+
+
+def test_lm_features_by_brute_force(spark):
+    """Features, kept contexts and their counts are those of all training tokens, kind by kind."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    _, _, model = lm_score.fit(docs.repartition(4))
+    number = lambda *xs: int(lm_score._hash(*(np.array([x]) for x in xs))[0])
+    left = []
+    for r in docs.collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1:
+            one, two = 1, 2
+            for word in [*(r["text"] or "").encode().lower().split(), lm_score.END]:
+                key = lm_score.word_key(word)
+                if lm_score.TOP <= model.top.get(key, lm_score.TOP + lm_score.ending(word)) < lm_score.END_CLASS:
+                    left.append(((0, one, two), (1, one), (2, two), key))
+                one, two = key, one if one != 1 else 2
+    contexts, features = set(), set()
+    for kind in range(3):
+        counts = Counter((t[kind], t[3]) for t in left)
+        kept = {c for (c, _), n in counts.items() if n >= 2}
+        contexts |= {number(*c) for c in kept}
+        features |= {number(number(*c), key) for c, key in counts if c in kept}
+        left = [t for t in left if t[kind] not in kept]
+    assert set(model.words.contexts.sorted.view(np.int64).tolist()) == contexts
+    assert set(model.words.features.sorted.view(np.int64).tolist()) == features and len(features) > 2000
+
+
 def test_quality_lines_are_removed(spark):
     shared, twice = "A shared line 7 of the host", "a shared line 9 OF the host"  # one line, normalised
     rows = [(i, "\n".join(["", shared if i % 2 else twice, f"own line {'x' * (i + 1)}", " "]), "h") for i in range(30)]

@@ -43,6 +43,7 @@ from __future__ import annotations
 import functools
 import gc
 import hashlib
+import time
 import zlib
 from dataclasses import dataclass
 from zlib import crc32
@@ -491,9 +492,12 @@ def known_words(blocks: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def _free_shuffles(spark) -> None:
-    """Let go of the files of shuffles that no plan needs any more; else the next come on top of them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let go of the files of shuffles that no plan needs any more; else the next come on top of them.
+    Spark's cleaner works on its own after a collection, and the last plan is let go a little later."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _by_block(blocks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:

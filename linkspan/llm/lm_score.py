@@ -23,12 +23,14 @@ is exact.
 2. Every training token's (class history, class) is counted; the gradients of the likelihood over these
    counts are those over all tokens. For the class softmax each update sends the weights to the tasks
    that hold the counts, adds up their gradients and takes a step scaled by the expected counts.
-3. For each kind of context in turn, in ROUNDS over the parts, blocks send their distinct pairs of context and word, of training
-   and held-out tokens, to the context's part, as packed arrays. A part adds up its pairs, finds the
-   contexts to keep, trains their softmaxes (a context's words of a class are one of their own) and
-   answers each block with the gain of each pair, or that the context is not kept. Tokens without a gain
-   go on to the next kind.
-4. Blocks are scored in numpy from the class table, the word counts and the answers.
+3. Each block is stored with its words' training counts, the tokens left and the gains so far, so that
+   asking needs no shuffle of blocks. For each kind of context in turn, in ROUNDS over the parts, blocks
+   send their distinct pairs of context and word, of training and held-out tokens, to the context's part,
+   as packed arrays. A part adds up its pairs, finds the contexts to keep, trains their softmaxes (a
+   context's words of a class are one of their own) and answers each block with the gain of each pair, or
+   that the context is not kept. Tokens without a gain go on to the next kind. The answers of the first
+   STORED kinds are added to the stored blocks, in SHARES one after the other, and their files go.
+4. Blocks are scored in numpy from the class table, the word counts, the stored gains and the answers.
 
 What the driver holds is bounded: class weights (``BUCKETS`` x ``CLASSES``) and a few totals; ``fit`` also
 gathers the most frequent features, to look at.
@@ -43,8 +45,9 @@ from __future__ import annotations
 import functools
 import gc
 import hashlib
+import itertools
 import time
-import zlib
+from collections import defaultdict
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -68,6 +71,8 @@ MAX_FEATURES, REPEATS = 1 << 20, 2
 #: Tokens of the corpus for each part of the pairs, and the rounds in which the pairs of each kind of
 #: context go to their parts: what one round shuffles is gone before the next.
 PART_TOKENS, ROUNDS = 1_500_000, (4, 2, 1)
+#: Kinds whose answers are added to the stored blocks, and the shares of blocks in which they are.
+STORED, SHARES = 1, 2
 #: Variance of a weight's prior within classes, and updates of the weights there.
 SPREAD, WORD_UPDATES = 8.0, 40
 
@@ -76,17 +81,26 @@ def word_key(word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
 
 
+def word_keys(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words]), "<i8")
+
+
 def ending(word: bytes) -> int:
     return ENDINGS if word == END else crc32((word.rstrip(STOPS) or word)[-3:]) % ENDINGS
 
 
+def _as_list(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A list column of one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+
+
 def _encode(batches):
     """Rows of blocks: documents, lengths, training marks, dictionary, training counts, endings, numbers."""
     part, number = TaskContext.get().partitionId(), 0
     state: dict = {}
 
     def fresh():
-        state.update(docs=[], lens=[], train=[], words={}, ids=[], chars=0)
+        state.update(docs=[], lens=[], train=[], words=defaultdict(itertools.count().__next__), ids=[], chars=0)
 
     def block():
         nonlocal number
@@ -98,10 +112,10 @@ def _encode(batches):
             "docs": pa.array([state["docs"]], pa.list_(pa.int64())),
             "lens": pa.array([state["lens"]], pa.list_(pa.int32())),
             "train": pa.array([state["train"]], pa.list_(pa.bool_())),
-            "words": pa.array([[word_key(w) for w in words]], pa.list_(pa.int64())),
-            "counts": pa.array([counts.tolist()], pa.list_(pa.int64())),
+            "words": _as_list(word_keys(words), pa.int64()),
+            "counts": _as_list(counts, pa.int64()),
             "endings": pa.array([[ending(w) for w in words]], pa.list_(pa.int8())),
-            "ids": pa.array([zlib.compress(ids.astype(np.uint16 if len(words) <= 65536 else np.uint32).tobytes(), 1)], pa.binary()),
+            "ids": pa.array([pa.compress(_planes(ids.astype(np.uint16 if len(words) <= 65536 else np.uint32)), "zstd", asbytes=True)], pa.binary()),
         }
         number += 1
         fresh()
@@ -112,8 +126,7 @@ def _encode(batches):
         for doc, train, text in zip(batch.column("_ls_doc").to_pylist(), batch.column("_ls_train").to_pylist(), batch.column("_ls_text").to_pylist()):
             words = text.lower().split() if text else []
             words.append(END)
-            known = state["words"]
-            state["ids"].append(np.fromiter([known.setdefault(w, len(known)) for w in words], np.int64, len(words)))
+            state["ids"].append(np.fromiter(map(state["words"].__getitem__, words), np.int64, len(words)))
             state["docs"].append(doc)
             state["lens"].append(len(words))
             state["train"].append(train)
@@ -138,8 +151,9 @@ def classes_of(keys: np.ndarray, endings: np.ndarray, top: dict[int, int]) -> np
     return out
 
 
-def _ids(raw: bytes, n_words: int) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), np.uint16 if n_words <= 65536 else np.uint32).astype(np.int64)
+def _ids(raw: bytes, n_words: int, n_tokens: int) -> np.ndarray:
+    kind = np.uint16 if n_words <= 65536 else np.uint32
+    return _from_planes(pa.decompress(raw, n_tokens * np.dtype(kind).itemsize, "zstd", asbytes=True), kind).astype(np.int64)
 
 
 def _list(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
@@ -166,7 +180,7 @@ def _count_histories(shared):
         for batch in batches:
             for i in range(batch.num_rows):
                 keys, lens, train = (_list(batch, c, i) for c in ("words", "lens", "train"))
-                classes = classes_of(keys, _list(batch, "endings", i), shared.value)[_ids(batch.column("ids")[i].as_py(), len(keys))]
+                classes = classes_of(keys, _list(batch, "endings", i), shared.value)[_ids(batch.column("ids")[i].as_py(), len(keys), int(lens.sum()))]
                 cell = histories(classes, lens) * CLASSES + classes
                 cells += np.bincount(cell[np.repeat(train, lens)], minlength=len(cells))
         at = np.flatnonzero(cells)
@@ -252,14 +266,14 @@ def _hash(*parts: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def contexts(keys: np.ndarray, lens: np.ndarray, kinds: int = len(ROUNDS)) -> list[np.ndarray]:
-    """Hashed contexts of each token: two words before, the word before, the word before that."""
+def contexts(keys: np.ndarray, lens: np.ndarray, kind: int) -> np.ndarray:
+    """Hashed context of each token: two words before, the word before, or the word before that."""
     starts = np.cumsum(lens) - lens
     offset = np.arange(len(keys)) - np.repeat(starts, lens)
     one, two = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
     one[1:], two[2:] = keys[:-1], keys[:-2]
     one[offset < 1], two[offset < 2] = 1, 2  # before the text
-    return [_hash(np.full(1, kind, np.int64), *words) for kind, words in enumerate(((one, two), (one,), (two,))[:kinds])]
+    return _hash(np.full(1, kind, np.int64), *((one, two), (one,), (two,))[kind])
 
 
 class Keys:
@@ -303,81 +317,165 @@ def starts(parts: int) -> np.ndarray:
 
 def _planes(x: np.ndarray) -> bytes:
     """Numbers with their first bytes together, then their second: zeros of small numbers compress away."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    raw, planes = x.view(np.uint8).reshape(len(x), x.itemsize), np.empty((x.itemsize, len(x)), np.uint8)
+    for i in range(x.itemsize):  # some times as fast as a copy of the transpose
+        planes[i] = raw[:, i]
+    return planes.tobytes()
 
 
 def _from_planes(raw: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    planes = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    out = np.empty(planes.shape[::-1], np.uint8)
+    for i, plane in enumerate(planes):
+        out[:, i] = plane
+    return out.view(kind).ravel()
+
+
+def stable_order(hashes: np.ndarray) -> np.ndarray:
+    """What a stable argsort gives. First bits and places are sorted as one number, which is several times
+    as fast; where different hashes with the same first bits come out of order, all bits are sorted."""
+    hashes, places = hashes.view(np.uint64), np.uint64((1 << len(hashes).bit_length()) - 1)
+    order = (np.sort(hashes & ~places | np.arange(len(hashes), dtype=np.uint64)) & places).view(np.int64)
+    got = hashes[order]
+    return order if (got[1:] >= got[:-1]).all() else np.argsort(hashes, kind="stable")
+
+
+def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each different hash, in their order, and the number of each hash in this order."""
+    by = stable_order(hashes)
+    got, new, number = hashes[by], np.ones(len(by), bool), np.empty(len(by), np.int64)
+    new[1:] = got[1:] != got[:-1]
+    number[by] = np.cumsum(new) - 1
+    return by[new], number
 
 
 def asked(context: np.ndarray, keys: np.ndarray, left: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs of context and word among the tokens left, sorted by context: a token of each pair,
     the pair's place for each token left, and where each part's pairs begin and end."""
-    feature = _hash(context[left], keys[left])
-    by = np.argsort(feature)
-    new = np.ones(len(by), bool)
-    new[1:] = feature[by[1:]] != feature[by[:-1]]
-    number = np.empty(len(by), np.int64)
-    number[by] = np.cumsum(new) - 1
-    token = left[by[new]]
-    order = np.argsort(context[token].view(np.uint64), kind="stable")
+    first, number = numbered(_hash(context[left], keys[left]))
+    token = left[first]
+    order = stable_order(context[token])
     place = np.empty(len(token), np.int64)
     place[order] = np.arange(len(token))
     token = token[order]
     return token, place[number], np.append(np.searchsorted(context[token].view(np.uint64), starts(parts)), len(token))
 
 
-def _told(block: pa.Table, answers: pa.Table, top: dict[int, int], parts: int, kinds: int):
-    """A block's words' training counts and classes, its tokens' words, lengths, training marks and
-    contexts, the gains of tokens from the first kinds of context, and the tokens left."""
-    row = block.combine_chunks().to_batches()[0]
-    words, lens, train = (_list(row, c, 0) for c in ("words", "lens", "train"))
-    of_word, ids = classes_of(words, _list(row, "endings", 0), top), _ids(row.column("ids")[0].as_py(), len(words))
-    known, of_kind = np.zeros(len(words), np.int64), [{} for _ in range(kinds)]
-    for kind, part, data in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "data"))):
-        if kind < 0:  # of the block's words
-            counts = np.frombuffer(data, np.int64)
-            known[: len(counts)] = counts
-        elif kind < kinds:
-            of_kind[kind][part] = np.frombuffer(data, np.float32)
-    keys, gain, left = words[ids], np.zeros(len(ids)), np.flatnonzero(varied(of_word)[ids])
-    near = contexts(keys, lens, kinds + 1)
-    for context, given in zip(near, of_kind):
-        if len(left):
-            got = np.concatenate([given[p] for p in sorted(given)])[asked(context, keys, left, parts)[1]]
-            hit = ~np.isnan(got)
-            gain[left[hit]] = got[hit]
-            left = left[~hit]
-    return row, known, of_word, ids, keys, lens, np.repeat(train, lens), near, gain, left
+_STATE = "block long, docs array<bigint>, lens array<int>, train array<boolean>, words array<bigint>, endings array<tinyint>, ids binary, known binary, left binary, gains binary"
 
 
-_REQUEST = "part int, block long, contexts binary, pairs binary, features binary, times binary, known binary, classes binary"
-_ANSWER = "block long, kind int, part int, data binary"
+def _store(shared):
+    """A block with its words' training counts, all tokens of classes of several words left, and no gains."""
 
+    def run(block, counts):
+        row = block.combine_chunks().to_batches()[0]
+        words, known = _list(row, "words", 0), np.zeros(len(row.column("words")[0]), np.int64)
+        for data in counts.column("data").to_pylist():
+            found = np.frombuffer(data, np.int64)
+            known[: len(found)] = found
+        left = varied(classes_of(words, _list(row, "endings", 0), shared.value))[_ids(row.column("ids")[0].as_py(), len(words), int(_list(row, "lens", 0).sum()))]
+        more = _planes(known), np.packbits(left).tobytes(), bytes(8 * len(row.column("lens")[0]))
+        return pa.table([*(row.column(c) for c in _STATIC), *(pa.array([x], pa.binary()) for x in more)], names=[*_STATIC, "known", "left", "gains"])
 
-def _ask(shared, parts: int, kind: int, low: int, high: int):
-    """A block's distinct pairs of one kind of context and word, for parts from low to before high: the
-    contexts' differences and numbers of pairs, the features, training tokens, words' counts and classes."""
+    return run
 
-    def run(block, answers):
-        _, known, of_word, ids, keys, _, train, near, _, left = _told(block, answers, shared.value, parts, kind)
-        context, first = near[kind][left].view(np.uint64), starts(parts)
-        left = left[(context >= first[low]) & (context < first[high] if high < parts else True)]
-        token, place, bounds = asked(near[kind], keys, left, parts)
-        times = np.bincount(place[train[left]], minlength=len(token)).astype(np.uint32)
-        context, word = near[kind][token], ids[token]
-        feature = _hash(context, keys[token])
+
+_STATIC = ["block", "docs", "lens", "train", "words", "endings", "ids"]
+
+
+class Block:
+    """A stored block: its words' training counts and classes, its tokens' words, lengths and training
+    marks, the tokens left and the gains of its documents."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, top: dict[int, int]):
+        self.number = batch.column("block")[i].as_py()
+        words, self.lens, train = (_list(batch, c, i) for c in ("words", "lens", "train"))
+        raw, known, left, gains = (batch.column(c)[i].as_py() for c in ("ids", "known", "left", "gains"))
+        self.of_word, self.ids, self.known = classes_of(words, _list(batch, "endings", i), top), _ids(raw, len(words), int(self.lens.sum())), _from_planes(known, np.int64)
+        self.keys, self.train = words[self.ids], np.repeat(train, self.lens)
+        self.left = np.flatnonzero(np.unpackbits(np.frombuffer(left, np.uint8), count=len(self.ids)))
+        self.gains = np.frombuffer(gains, np.float64)
+
+    def add(self, answers: pa.Table, kinds, parts: int) -> Block:
+        """Add the gains that these kinds of context give, in their order, and take their tokens out."""
+        given: dict[int, dict] = {kind: {} for kind in kinds}
+        for kind, part, data in zip(*(answers.column(c).to_pylist() for c in ("kind", "part", "data"))):
+            given[kind][part] = np.frombuffer(data, np.float32)
+        gain = np.zeros(len(self.ids))
+        for kind in kinds:
+            if len(self.left):
+                got = np.concatenate([given[kind][p] for p in sorted(given[kind])])[asked(contexts(self.keys, self.lens, kind), self.keys, self.left, parts)[1]]
+                hit = ~np.isnan(got)
+                gain[self.left[hit]] = got[hit]
+                self.left = self.left[~hit]
+        self.gains = self.gains + np.add.reduceat(gain, np.cumsum(self.lens) - self.lens)
+        return self
+
+    def ask(self, parts: int, kind: int, low: int, high: int) -> pa.RecordBatch:
+        """The distinct pairs of one kind of context and word, for parts from low to before high: the
+        contexts' differences and numbers of pairs, the features, training tokens, words' counts and classes."""
+        near, first, left = contexts(self.keys, self.lens, kind), starts(parts), self.left
+        if high - low < parts:
+            context = near[left].view(np.uint64)
+            left = left[(context >= first[low]) & (context < first[high] if high < parts else True)]
+        token, place, bounds = asked(near, self.keys, left, parts)
+        times = np.bincount(place[self.train[left]], minlength=len(token)).astype(np.uint32)
+        context, word = near[token], self.ids[token]
+        feature, known, of_word = _hash(context, self.keys[token]), self.known[word].view(np.uint64), self.of_word[word].astype(np.uint8)
         rows = []
         for part in range(low, high):
             at = slice(bounds[part], bounds[part + 1])
             if at.start < at.stop:
                 heads = np.flatnonzero(np.append(True, context[at][1:] != context[at][:-1]))
-                columns = np.diff(context[at][heads], prepend=0), np.diff(heads, append=at.stop - at.start).astype(np.uint32), feature[at], times[at], known[word[at]].astype(np.uint64), of_word[word[at]].astype(np.uint8)
+                columns = np.diff(context[at][heads], prepend=0), np.diff(heads, append=at.stop - at.start).astype(np.uint32), feature[at], times[at], known[at], of_word[at]
                 rows.append((part, *map(_planes, columns)))
         part, *blobs = zip(*rows) if rows else [()] * 7
-        number = block.column("block")[0].as_py()
-        return pa.table([pa.array(part, pa.int32()), pa.array([number] * len(part), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=["part", "block", "contexts", "pairs", "features", "times", "known", "classes"])
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([self.number] * len(part), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=["part", "block", "contexts", "pairs", "features", "times", "known", "classes"])
+
+
+def _told(shared, parts: int, kinds):
+    """The block of a group, with the answers of some kinds added."""
+
+    def run(block: pa.Table, answers: pa.Table) -> tuple[pa.RecordBatch, Block]:
+        row = block.combine_chunks().to_batches()[0]
+        return row, Block(row, 0, shared.value).add(answers, kinds, parts)
+
+    return run
+
+
+def _update(shared, parts: int, kind: int):
+    """Stored blocks with the answers of one more kind added."""
+    told = _told(shared, parts, (kind,))
+
+    def run(block, answers):
+        row, got = told(block, answers)
+        left = np.zeros(len(got.ids), bool)
+        left[got.left] = True
+        more = np.packbits(left).tobytes(), got.gains.tobytes()
+        return pa.table([*(row.column(c) for c in (*_STATIC, "known")), *(pa.array([x], pa.binary()) for x in more)], names=[*_STATIC, "known", "left", "gains"])
+
+    return run
+
+
+_REQUEST = "part int, block long, contexts binary, pairs binary, features binary, times binary, known binary, classes binary"
+_ANSWER = "block long, kind int, part int, data binary"
+
+
+def _ask(shared, parts: int, kind: int, low: int, high: int):
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield Block(batch, i, shared.value).ask(parts, kind, low, high)
+
+    return run
+
+
+def _ask_on(shared, parts: int, kind: int, low: int, high: int):
+    """As _ask, with the answers since the stored kinds."""
+    told = _told(shared, parts, range(STORED, kind))
+
+    def run(block, answers):
+        return pa.Table.from_batches([told(block, answers)[1].ask(parts, kind, low, high)])
 
     return run
 
@@ -409,20 +507,21 @@ class Part:
                 column.append(x)
         self.ends = np.cumsum([len(x) for x in pairs[1]])
         context, feature, times, known, classes = (np.concatenate(x) for x in pairs)
-        self.feature, at, self.owner = np.unique(feature, return_index=True, return_inverse=True)
-        self.context, of_class = context[at], classes[at].astype(np.int64)
+        at, self.owner = numbered(feature)
+        self.feature, self.context, of_class = feature[at], context[at], classes[at].astype(np.int64)
         self.n = np.bincount(self.owner, times, len(at))
-        _, of_context = np.unique(self.context, return_inverse=True)
-        most = np.zeros(of_context.max() + 1)
+        first, of_context = numbered(self.context)
+        most = np.zeros(len(first))
         np.maximum.at(most, of_context, self.n)
         self.kept = (most >= REPEATS)[of_context]
         self.learnt = self.kept & (self.n > 0)
         self.cell = _hash(self.context, of_class)
-        cells, cell = np.unique(self.cell, return_inverse=True)
-        total, log_sums = np.bincount(cell, self.n, len(cells)), np.zeros(len(cells))
+        first, cell = numbered(self.cell)
+        total, log_sums = np.bincount(cell, self.n, len(first)), np.zeros(len(first))
         self.weight, on = np.zeros(len(at)), cell[self.learnt]
+        among = np.cumsum(np.bincount(on, minlength=len(first)) > 0) - 1
         p = (known[at] + 0.5) / class_sizes[of_class]
-        self.weight[self.learnt], log_sums[on] = word_weights(np.unique(on, return_inverse=True)[1], p[self.learnt], self.n[self.learnt], total[on])
+        self.weight[self.learnt], log_sums[on] = word_weights(among[on], p[self.learnt], self.n[self.learnt], total[on])
         self.log_sum = log_sums[cell]
 
     def gains(self) -> list[np.ndarray]:
@@ -474,7 +573,7 @@ def most_frequent(found: DataFrame, most: int) -> DataFrame:
 
 
 def _pack_known(batches):
-    """Blocks' training counts by place in the dictionary, as answers of kind -1."""
+    """Blocks' training counts by place in the dictionary."""
     for batch in batches:
         rows = []
         for found in batch.column("known"):
@@ -482,13 +581,13 @@ def _pack_known(batches):
             counts = np.zeros(int(pos.max()) + 1, np.int64)
             counts[pos] = count
             rows.append(counts.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array([-1] * len(rows), pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["block", "kind", "part", "data"])
+        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(rows, pa.binary())], names=["block", "data"])
 
 
 def known_words(blocks: DataFrame, counts: DataFrame) -> DataFrame:
     """The training counts of the words of each block."""
     words = blocks.select("block", F.posexplode("words").alias("pos", "words")).join(counts.select("words", "c"), "words")
-    return materialise(words.groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("known")).mapInArrow(_pack_known, _ANSWER))
+    return materialise(words.groupBy("block").agg(F.collect_list(F.struct("pos", "c")).alias("known")).mapInArrow(_pack_known, "block long, data binary"))
 
 
 def _free_shuffles(spark) -> None:
@@ -500,38 +599,78 @@ def _free_shuffles(spark) -> None:
         time.sleep(0.5)
 
 
+def _discard(stored: DataFrame) -> None:
+    """Delete the files of a table that was materialised here and that nothing reads any more."""
+    jvm, conf = stored.sparkSession.sparkContext._jvm, stored.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in stored.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(conf).delete(path, True)
+
+
 def _by_block(blocks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
-    return blocks.select("block", "docs", "lens", "train", "words", "endings", "ids").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+
+
+def _share(rows: DataFrame, share: int) -> DataFrame:
+    return rows.where(F.pmod(F.xxhash64("block"), F.lit(SHARES)) == share)
 
 
-def train_words(blocks: DataFrame, known: DataFrame, shared_top, class_sizes: np.ndarray, parts: int, features: list[DataFrame] | None = None) -> DataFrame:
-    """The answers to all blocks: their words' counts, and gains by kind of context and part. The features
-    themselves are put into the list, if there is one."""
-    answers = known
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, frames)
+
+
+def store_blocks(blocks: DataFrame, known: DataFrame, shared_top) -> list[DataFrame]:
+    """The blocks with what is known of their words, by share."""
+    out = []
+    for share in range(SHARES):
+        _free_shuffles(blocks.sparkSession)
+        out.append(materialise(_by_block(_share(blocks.select(*_STATIC), share), _share(known, share), _store(shared_top), _STATE)))
+    return out
+
+
+def train_words(stored: list[DataFrame], shared_top, class_sizes: np.ndarray, parts: int, features: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The blocks with the gains of the first STORED kinds of context, and the answers of the other kinds,
+    by part. The features themselves are put into the list, if there is one."""
+    spark = stored[0].sparkSession
+    told: list[DataFrame] = []
     for kind, rounds in enumerate(ROUNDS):
-        told = answers
-        for low, high in {(r * parts // rounds, (r + 1) * parts // rounds) for r in range(rounds)}:
+        answers = []
+        for low, high in sorted({(r * parts // rounds, (r + 1) * parts // rounds) for r in range(rounds)}):
             if low < high:
-                _free_shuffles(blocks.sparkSession)
-                requests = _by_block(blocks, told, _ask(shared_top, parts, kind, low, high), _REQUEST)
+                _free_shuffles(spark)
+                if told:
+                    requests = _by_block(_union(stored), _union(told), _ask_on(shared_top, parts, kind, low, high), _REQUEST)
+                else:
+                    requests = _union(stored).mapInArrow(_ask(shared_top, parts, kind, low, high), _REQUEST)
                 if features is not None:
                     requests = materialise(requests)
                     features.append(requests.groupBy("part").applyInArrow(lambda table: Part(table, class_sizes).features(), "feature long, context long, cell long, weight float, log_sum float, n long"))
-                answers = answers.unionByName(materialise(requests.groupBy("part").applyInArrow(_answer(class_sizes, kind), _ANSWER)))
+                answers.append(materialise(requests.groupBy("part").applyInArrow(_answer(class_sizes, kind), _ANSWER)))
                 del requests
-    _free_shuffles(blocks.sparkSession)
-    return answers
+        if kind >= STORED:
+            told += answers
+            continue
+        for share, before in enumerate(stored):
+            _free_shuffles(spark)
+            stored[share] = materialise(_by_block(before, _share(_union(answers), share), _update(shared_top, parts, kind), _STATE))
+            _discard(before)
+        for frame in answers:
+            _discard(frame)
+    _free_shuffles(spark)
+    return _union(stored), _union(told)
 
 
 def _score(shared, parts: int):
     def run(block, answers):
         top, table, log_class_size, base_total = shared.value
-        row, known, of_word, ids, _, lens, _, _, gain, _ = _told(block, answers, top, parts, len(ROUNDS))
+        row = block.combine_chunks().to_batches()[0]
+        got = Block(row, 0, top).add(answers, range(STORED, len(ROUNDS)), parts)
+        known, of_word, ids, lens = got.known, got.of_word, got.ids, got.lens
         classes = of_word[ids]
         base_word = np.log10(known + 0.5) - base_total
         # Words that are classes have probability 1 within them.
         in_class = np.where(varied(of_word), np.log10(known + 0.5) - log_class_size[of_word], 0.0)
-        token = table[histories(classes, lens) * CLASSES + classes].astype(np.float64) + in_class[ids] + gain / np.log(10)
+        token = table[histories(classes, lens) * CLASSES + classes].astype(np.float64) + in_class[ids]
         starts = np.cumsum(lens) - lens
         return pa.table({
             "_ls_doc": row.column("docs")[0].values,
@@ -539,7 +678,7 @@ def _score(shared, parts: int):
             "n_tokens": pa.array(lens.astype(np.int64)),
             "n_known": pa.array(np.add.reduceat((known > 0)[ids].astype(np.int64), starts), pa.int64()),
             "base_score": pa.array(np.add.reduceat(base_word[ids], starts)),
-            "score": pa.array(np.add.reduceat(token, starts)),
+            "score": pa.array(np.add.reduceat(token, starts) + got.gains / np.log(10)),
         })
 
     return run
@@ -586,12 +725,19 @@ def fit_classes(docs: DataFrame, id_col: str, text_col: str, folds: int, held_ou
     return blocks, counts, Model(top, table, np.log10(sizes + 0.5 * (types + 1)), n_train, n_types)
 
 
-def _words_of(blocks: DataFrame, counts: DataFrame, model: Model, features: list[DataFrame] | None = None) -> tuple[DataFrame, int]:
+def _words_of(blocks: DataFrame, counts: DataFrame, model: Model, features: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """What train_words returns, and the number of parts. Without a list of features the files of blocks
+    go as soon as the blocks are stored with more."""
     tokens = blocks.agg(F.sum(F.expr("aggregate(lens, 0L, (a, x) -> a + x)"))).first()[0] or 0
     parts = tokens // PART_TOKENS + 1
     shared_top = blocks.sparkSession.sparkContext.broadcast(model.top)
     _free_shuffles(blocks.sparkSession)
-    return train_words(blocks, known_words(blocks, counts), shared_top, 10**model.log_sizes, parts, features), parts
+    known = known_words(blocks, counts)
+    stored = store_blocks(blocks, known, shared_top)
+    _discard(known)
+    if features is None:
+        _discard(blocks)
+    return *train_words(stored, shared_top, 10**model.log_sizes, parts, features), parts
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1) -> tuple[DataFrame, DataFrame, Model]:
@@ -599,7 +745,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     blocks, counts, model = fit_classes(docs, id_col, text_col, folds, held_out)
     features: list[DataFrame] = []
     _words_of(blocks, counts, model, features)
-    every = materialise(functools.reduce(DataFrame.unionByName, features).withColumn("word", F.col("feature")))
+    every = materialise(_union(features).withColumn("word", F.col("feature")))
     model.words = WordModel(most_frequent(every, MAX_FEATURES).toArrow())
     return blocks, counts, model
 
@@ -607,7 +753,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1) -> DataFrame:
     """One row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     blocks, counts, model = fit_classes(docs, id_col, text_col, folds, held_out)
-    answers, parts = _words_of(blocks, counts, model)
+    stored, answers, parts = _words_of(blocks, counts, model)
     shared = docs.sparkSession.sparkContext.broadcast((model.top, model.table, model.log_sizes, float(np.log10(model.n_train + 0.5 * (model.n_types + 1)))))
-    scored = _by_block(blocks, answers, _score(shared, parts), "_ls_doc long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = _by_block(stored, answers, _score(shared, parts), "_ls_doc long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("_ls_doc").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_train).cast("long").alias("train_tokens"), "base_score", "score")

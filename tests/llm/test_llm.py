@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -701,6 +702,40 @@ def test_lm_features_by_brute_force(spark):
     assert set(model.words.features.sorted.view(np.int64).tolist()) == features and len(features) > 2000
 
 
+def test_lm_blocks_are_shuffled_once_a_step_and_stale_files_go(spark, monkeypatch):
+    """Scores don't hang on rounds and shares; asking of the first two kinds reads stored blocks without a
+    shuffle, and of what is stored on the way only the blocks and answers that scores read stay."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").repartition(6)
+    shuffled, gone = [], []
+    by_block, discard = lm_score._by_block, lm_score._discard
+    monkeypatch.setattr(lm_score, "_by_block", lambda *args: shuffled.append(args[3]) or by_block(*args))
+    monkeypatch.setattr(lm_score, "_discard", lambda stored: gone.extend(stored.inputFiles()) or discard(stored))
+    monkeypatch.setattr(lm_score, "PART_TOKENS", 5000)
+
+    def scores():
+        shuffled.clear()
+        return {r["doc_id"]: r["score"] for r in lm_score.score_documents(docs).collect()}
+
+    first = scores()
+    assert len(shuffled) == 2 * lm_score.SHARES + 2  # stored, told the first kind; asked the last kind, scored
+    assert gone and not any(os.path.exists(f.removeprefix("file:")) for f in gone)
+    monkeypatch.setattr(lm_score, "ROUNDS", (1, 3, 2))
+    monkeypatch.setattr(lm_score, "SHARES", 3)
+    assert scores() == pytest.approx(first, rel=1e-9)
+
+
+def test_lm_orders_and_planes():
+    rng = np.random.default_rng(5)
+    near = np.repeat(rng.integers(-(2**63), 2**63 - 1, 40), 50) ^ rng.integers(0, 4, 2000)  # the same first bits
+    for x in (near, rng.integers(-(2**63), 2**63 - 1, 3000), np.repeat(rng.integers(0, 2**62, 30), 9), np.array([], np.int64), np.array([-1, 0, -1])):
+        assert (lm_score.stable_order(x) == np.argsort(x.view(np.uint64), kind="stable")).all()
+        first, number = lm_score.numbered(x)
+        want = np.unique(x.view(np.uint64), return_index=True, return_inverse=True)[1:]
+        assert (first == want[0]).all() and (number == want[1]).all()
+        for y in (x, x.astype(np.uint32), x.astype(np.uint8)):
+            assert (lm_score._from_planes(lm_score._planes(y), y.dtype.type) == y).all()
+
+
 def test_quality_lines_are_removed(spark):
     shared, twice = "A shared line 7 of the host", "a shared line 9 OF the host"  # one line, normalised
     rows = [(i, "\n".join(["", shared if i % 2 else twice, f"own line {'x' * (i + 1)}", " "]), "h") for i in range(30)]

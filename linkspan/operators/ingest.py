@@ -105,9 +105,19 @@ def from_pairs(pairs: DataFrame, variants: DataFrame, bits: int = 8, min_abs: fl
     return LDMatrix(through_codec(entries, bits), variants, n, bits, layout)
 
 
+#: Columns in which the reference column is sought before all others.
+LEADING = 64
+
+
 def reference_column(square: DataFrame, stat: str) -> int | None:
-    """First column that isn't all not-a-number."""
-    return square.where(~F.isnan(stat)).agg(F.min("col")).first()[0]
+    """First column that isn't all not-a-number. It is mostly among the leading ones; all others are
+    read only if these have no number."""
+    numbers = square.where(~F.isnan(stat))
+    for part in (numbers.where(F.col("col") < LEADING), numbers.where(F.col("col") >= LEADING)):
+        first = part.agg(F.min("col")).first()[0]
+        if first is not None:
+            return first
+    return None
 
 
 def good_variants(square: DataFrame, stat: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixtures
 from .functions import codec, ids
 from .operators import chunks, export, index, ingest, metrics, query, transform
-from .operators.matrix import LDMatrix, column_pointers, delta_decode, delta_encode, open_matrix, quantised, read_meta, save
+from .operators.matrix import LDMatrix, column_pointers, delta_decode, delta_encode, dense_cells, open_matrix, quantised, read_meta, save
 from .plans import genome
 from .session import fresh_path
 from .sources import text
@@ -240,14 +240,12 @@ _SQUARE = _PAIRS + """, sq AS (SELECT x.idx AS col, y.idx AS row, CASE WHEN x.id
 
 
 def _square(spark: SparkSession, d: str) -> DataFrame:
-    v = fixtures.variants(spark, d).select("idx")
-    n = v.count()
-    cells = v.select(F.col("idx").alias("col"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias("row"))
-    p = fixtures.pairs(spark, d).select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("UNPHASED_R").alias("_r"))
-    joined = cells.join(p, (F.least("col", "row") == F.col("_a")) & (F.greatest("col", "row") == F.col("_b")), "left")
+    """All cells, made where they are used: only the pairs are shuffled."""
+    p = fixtures.pairs(spark, d).select(F.col("a").alias("col"), F.col("b").alias("row"), "UNPHASED_R")
+    cells = dense_cells(ingest.symmetrise(p), fixtures.variants(spark, d).count(), "UNPHASED_R")
     nan = F.lit(float("nan")).cast("float")
-    r = F.when((F.col("col") % 37 == 0) | (F.col("row") % 37 == 0), nan).when(F.col("col") == F.col("row"), F.lit(1.0).cast("float")).otherwise(F.coalesce("_r", F.lit(0.0).cast("float")))
-    return joined.select("col", "row", r.alias("UNPHASED_R"))
+    r = F.when((F.col("col") % 37 == 0) | (F.col("row") % 37 == 0), nan).when(F.col("col") == F.col("row"), F.lit(1.0).cast("float")).otherwise(F.col("UNPHASED_R"))
+    return cells.select("col", "row", r.alias("UNPHASED_R"))
 
 
 @_register("square_bad_variants", _SQUARE + ", first AS (SELECT min(col) AS c FROM sq WHERE NOT isnan(r)) SELECT row::BIGINT AS idx, (row_number() OVER (ORDER BY row) - 1)::BIGINT AS new FROM sq, first WHERE col = c AND NOT isnan(r)")

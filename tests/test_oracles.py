@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from linkspan.operators import query
+from linkspan.operators import ingest, query
 from linkspan.operators.matrix import dense_cells
 from linkspan.queries import ORACLES, QUERIES, _stored
 
@@ -75,14 +75,14 @@ def _shuffled(spark, frame):
     return sum(n for k, n in stages().items() if k > last)
 
 
-@pytest.mark.parametrize("name", ["densify_square"])
+@pytest.mark.parametrize("name", ["densify_square", "square_bad_variants"])
 def test_no_disk_holds_all_cells(spark, duck, name):
     """Stored entries are shuffled, not the n * n cells."""
     n = duck.execute("SELECT count(*) FROM embeddings").fetchone()[0]
     assert 0 < _shuffled(spark, QUERIES[name](spark, DATA)) < n * n / 4
 
 
-@pytest.mark.parametrize("name", ["densify_square"])
+@pytest.mark.parametrize("name", ["densify_square", "square_bad_variants"])
 def test_squares_of_odd_vectors_equal_sql(spark, name, tmp_path):
     """Vectors without variance among the first and last ones and one of its like, so that correlations are not numbers."""
     con = duckdb.connect()
@@ -93,6 +93,14 @@ def test_squares_of_odd_vectors_equal_sql(spark, name, tmp_path):
     assert rows(frame.columns, [tuple(r) for r in frame.collect()]) == rows(columns, found.fetchall())
 
 
+@pytest.mark.parametrize("bad", [0, 1, 2, 3, 5, 6])
+def test_reference_column_beyond_the_leading_ones(spark, monkeypatch, bad):
+    """A square of 6 whose first columns are not numbers: the first column with a number, wherever it is."""
+    monkeypatch.setattr(ingest, "LEADING", 2)
+    cells = spark.createDataFrame([(c, r, float("nan") if min(c, r) < bad else 0.5) for c in range(6) for r in range(6)], "col long, row long, D float")
+    assert ingest.reference_column(cells, "D") == (bad if bad < 6 else None)
+
+
 def test_dense_cells_at_the_ends(spark):
     """Empty columns, first and last rows, cells that are not numbers, one cell, no cell."""
     frame = lambda cells: spark.createDataFrame(cells, "col long, row long, D float")

@@ -145,6 +145,8 @@ def from_square(square: DataFrame, variants: DataFrame, bits: int = 8, min_abs:
     cells = min_filter(square, min_abs, stat)
     if layout == "upper":
         cells = cells.where("row >= col")
+    # A generated value is a column of its own; else the codec repeats its whole expression many times over.
+    cells = cells.select("col", "row", F.explode(F.array(stat)).alias(stat))
     entries = restrict(cells, kept, n)
     left = variants.join(sized(kept, n), "idx").withColumn("idx", F.col("new")).drop("new")
     return LDMatrix(through_codec(entries, bits), left, kept.count(), bits, layout)

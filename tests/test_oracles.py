@@ -75,14 +75,14 @@ def _shuffled(spark, frame):
     return sum(n for k, n in stages().items() if k > last)
 
 
-@pytest.mark.parametrize("name", ["densify_square", "square_bad_variants", "square_min_filter"])
+@pytest.mark.parametrize("name", ["densify_square", "square_bad_variants", "square_min_filter", "ingest_square"])
 def test_no_disk_holds_all_cells(spark, duck, name):
     """Stored entries are shuffled, not the n * n cells."""
     n = duck.execute("SELECT count(*) FROM embeddings").fetchone()[0]
     assert 0 < _shuffled(spark, QUERIES[name](spark, DATA)) < n * n / 4
 
 
-@pytest.mark.parametrize("name", ["densify_square", "square_bad_variants", "square_min_filter"])
+@pytest.mark.parametrize("name", ["densify_square", "square_bad_variants", "square_min_filter", "ingest_square"])
 def test_squares_of_odd_vectors_equal_sql(spark, name, tmp_path):
     """Vectors without variance among the first and last ones and one of its like, so that correlations are not numbers."""
     con = duckdb.connect()
